@@ -182,4 +182,140 @@ def oracle_queries() -> dict[str, str]:
     }
     for short in PRED_SQL:
         out[f"cand_{short}"] = with_pairs(f"SELECT {P} FROM pairs WHERE {pred(short)}")
+    out.update(oracle_model_queries())
     return out
+
+
+# --- prompts and the model job ---------------------------------------------------
+
+def render(layout, s: str = "nl_sentence", f: str = "fol_expression") -> str:
+    return f"({q(layout.prefix)} || {s} || {q(layout.middle)} || {f} || {q(layout.suffix)})"
+
+
+def key_sql(model: str, system: str, prompt: str) -> str:
+    return f"sha256({q(model)} || chr(1) || {q(system)} || chr(1) || {prompt})"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{SP}+|{SP}+$', '', 'g')"
+
+
+def single_rule(prompt: str) -> str:
+    from pairwright.plans.catalogue import ANSWER_APPLIES, ANSWER_NOT_APPLIES, NO_LABEL
+    d = f"substr(md5({prompt}), 1, 1)"
+    return (f"CASE WHEN {prompt} IS NULL THEN NULL "
+            f"WHEN {d} IN ('0','1','2','3','4','5','6','7') THEN {q(ANSWER_APPLIES)} "
+            f"WHEN {d} IN ('8','9','a','b','c','d') THEN {q(ANSWER_NOT_APPLIES)} "
+            f"WHEN {d} = 'e' THEN {q(ANSWER_APPLIES + '.')} ELSE {q(NO_LABEL)} END")
+
+
+def multi_rule(prompt: str) -> str:
+    cats = category_array()
+    return (f"CASE WHEN {prompt} IS NULL THEN NULL WHEN len({cats}) = 0 THEN '[\"none\"]' "
+            f"ELSE to_json({cats})::VARCHAR END")
+
+
+def corrector_rule(prompt: str) -> str:
+    return f"CASE WHEN {prompt} IS NULL THEN NULL ELSE replace(fol_expression, '∀y', '∃y') END"
+
+
+def sample_sql(src: str, n: int, seed: int) -> str:
+    return f"SELECT * FROM {src} ORDER BY md5(pair_id::VARCHAR || '#{seed}'), pair_id LIMIT {n}"
+
+
+def single_prompt_sql(category: str = "category") -> str:
+    from pairwright.plans import catalogue as cat
+    from pairwright.plans import prompts as PR
+    whens = " ".join(f"WHEN {q(c['label'])} THEN {q(PR.layout_single(c['label']).prefix)}" for c in cat.CATALOGUE)
+    any_layout = PR.layout_single(cat.CATALOGUE[0]["label"])
+    return (f"((CASE {category} {whens} END) || nl_sentence || {q(any_layout.middle)} || fol_expression "
+            f"|| {q(any_layout.suffix)})")
+
+
+def flagged_working(categories) -> str:
+    whens = ", ".join(f"CASE WHEN {pred(c)} THEN {q(c)} END" for c in categories)
+    return f"list_filter([{whens}], lambda x: x IS NOT NULL)"
+
+
+def oracle_model_queries() -> dict[str, str]:
+    from pairwright.plans import catalogue as cat
+    from pairwright.plans import loop
+    from pairwright.plans import prompts as PR
+    from pairwright.plans import queries as QQ
+
+    single = PR.layout_single(QQ.SINGLE_CATEGORY)
+    single_ann = (f"SELECT {P}, {strip_sql(single_rule(render(single)))} AS error_type "
+                  f"FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}")
+    corr = PR.layout_correction()
+    corrected = (f"SELECT {P}, fol_corrected, fol_expression = fol_corrected AS is_equal FROM "
+                 f"(SELECT *, {strip_sql(corrector_rule(render(corr)))} AS fol_corrected FROM pairs)")
+    working = loop.WORKING_CATEGORIES
+    detect = (f"SELECT *, {strip_sql(single_rule(single_prompt_sql()))} AS error_type FROM "
+              f"(SELECT *, unnest({flagged_working(working)}) AS category FROM both_versions)")
+    loop_ctes = (
+        f"corrected AS ({corrected})",
+        "both_versions AS (SELECT pair_id, nl_sentence, fol_expression, 'original' AS version FROM pairs "
+        "UNION ALL SELECT pair_id, nl_sentence, fol_corrected AS fol_expression, 'corrected' AS version FROM corrected)",
+        f"detected AS ({detect})",
+        f"counts AS (SELECT category, 'parts' AS dataset, version, count(*)::BIGINT AS n FROM detected "
+        f"WHERE error_type = {q(cat.ANSWER_APPLIES)} GROUP BY category, version)",
+    )
+    multi = (lambda layout: with_pairs(
+        f"SELECT {P}, {strip_sql(multi_rule(render(layout)))} AS error_type FROM sampled",
+        f"sampled AS ({sample_sql('pairs', QQ.MULTI_N, QQ.SAMPLE_SEED)})"))
+    pre_ann = (f"SELECT {P}, 'parts' AS dataset, 'original' AS version, category, "
+               f"{strip_sql(single_rule(single_prompt_sql()))} AS error_type FROM "
+               f"(SELECT *, unnest({flagged_working(working)}) AS category FROM pairs)")
+    return {
+        "sample_n": with_pairs(f"SELECT {P} FROM ({sample_sql('pairs', QQ.SAMPLE_N, QQ.SAMPLE_SEED)})"),
+        "row_index": with_pairs(f"SELECT row_number() OVER (ORDER BY pair_id)::BIGINT AS row, {P} FROM pairs"),
+        "source_json_pairs": with_pairs(f"SELECT {P} FROM pairs"),
+        "select_pairs": with_pairs(f"SELECT {P} FROM pairs"),
+        "format_categories": with_pairs(
+            "SELECT pair_id, array_to_string(list_transform(" + category_array() + ", lambda c: CASE c "
+            + " ".join(f"WHEN {q(c['label'])} THEN {q(PR.category_block(c))}" for c in cat.entries())
+            + " ELSE '' END), '') AS categories_text FROM pairs"),
+        "prompt_catalogue": with_pairs(f"SELECT pair_id, {render(PR.layout_catalogue())} AS prompt FROM pairs"),
+        "prompt_paired": with_pairs(f"SELECT pair_id, {render(PR.layout_paired())} AS prompt FROM pairs"),
+        "prompt_single": with_pairs(
+            f"SELECT pair_id, category, {single_prompt_sql()} AS prompt FROM "
+            f"(SELECT *, unnest({category_array()}) AS category FROM pairs)"),
+        "prompt_correction": with_pairs(f"SELECT pair_id, {render(corr)} AS prompt FROM pairs"),
+        "model_call": with_pairs(
+            f"SELECT DISTINCT {key_sql('rule-single', single.system, 'prompt')} AS key, "
+            f"{strip_sql(single_rule('prompt'))} AS answer, 'ok' AS status FROM "
+            f"(SELECT {render(single)} AS prompt FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}) WHERE prompt IS NOT NULL"),
+        "annotate_single": with_pairs(single_ann),
+        "annotate_single_sample": with_pairs(
+            f"SELECT {P}, {strip_sql(single_rule(render(PR.layout_single(QQ.SINGLE_SAMPLE_CATEGORY))))} AS error_type "
+            f"FROM sampled",
+            f"cands AS (SELECT * FROM pairs WHERE {pred(QQ.SINGLE_SAMPLE_CATEGORY)})",
+            f"sampled AS ({sample_sql('cands', QQ.SINGLE_SAMPLE_N, QQ.SINGLE_SAMPLE_SEED)})"),
+        "annotate_multi": multi(PR.layout_catalogue()),
+        "annotate_multi_paired": multi(PR.layout_paired()),
+        "correct_pairs": with_pairs(corrected),
+        "is_equal": with_pairs(f"SELECT pair_id, is_equal FROM ({corrected})"),
+        "write_corrected": with_pairs(f"SELECT *, 'parts' AS dataset FROM ({corrected})"),
+        "source_corrected": with_pairs(corrected),
+        "promote_corrected": with_pairs(
+            f"SELECT pair_id, nl_sentence, fol_corrected AS fol_expression FROM ({corrected})"),
+        "write_annotations": with_pairs(pre_ann),
+        "source_annotations": with_pairs(
+            f"SELECT {P}, error_type FROM ({pre_ann}) WHERE category = {q(QQ.SINGLE_CATEGORY)}"),
+        "audit_applies": with_pairs(f"SELECT * FROM ({single_ann}) WHERE error_type = {q(cat.ANSWER_APPLIES)}"),
+        "audit_unexpected": with_pairs(
+            f"SELECT * FROM ({single_ann}) WHERE error_type <> {q(cat.ANSWER_APPLIES)} "
+            f"AND error_type <> {q(cat.ANSWER_NOT_APPLIES)}"),
+        "before_after_counts": with_pairs(
+            "SELECT category, dataset, original, corrected, (corrected - original)::BIGINT AS delta, "
+            "CASE WHEN original <> 0 THEN round((corrected - original)::DOUBLE * 100.0 / original, 2) END AS pct_change "
+            "FROM (SELECT category, dataset, "
+            "coalesce(sum(n) FILTER (WHERE version = 'original'), 0)::BIGINT AS original, "
+            "coalesce(sum(n) FILTER (WHERE version = 'corrected'), 0)::BIGINT AS corrected "
+            "FROM counts GROUP BY category, dataset)", *loop_ctes),
+        "source_counts": with_pairs("SELECT category, dataset, version, n FROM counts", *loop_ctes),
+        "chart_data": with_pairs(
+            "SELECT category, dataset, version, n, 1::BIGINT AS dataset_rank, "
+            "(CASE version WHEN 'original' THEN 1 WHEN 'corrected' THEN 2 END)::BIGINT AS version_rank "
+            f"FROM counts WHERE category = {q(QQ.CHART_CATEGORY)}", *loop_ctes),
+    }

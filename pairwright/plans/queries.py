@@ -133,3 +133,229 @@ QUERIES = {
     "candidate_flags": q_candidate_flags,
     "candidate_counts": q_candidate_counts,
 }
+
+
+# --- sampling, index, JSON source, projections ---------------------------------
+
+from pairwright.operators.indexing import row_index  # noqa: E402
+from pairwright.operators.sampling import sample_n  # noqa: E402
+from pairwright.sources.pairs import read_json_pairs, select_pairs  # noqa: E402
+
+SAMPLE_N = 500
+SAMPLE_SEED = 3
+
+
+def q_sample_n(spark, sf_dir):
+    return sample_n(_pairs(spark, sf_dir), SAMPLE_N, seed=SAMPLE_SEED)
+
+
+def q_row_index(spark, sf_dir):
+    return row_index(_pairs(spark, sf_dir))
+
+
+def q_source_json_pairs(spark, sf_dir):
+    path = scratch_path(spark, "pairs-json")
+    (_pairs(spark, sf_dir)
+        .select("pair_id", F.col("nl_sentence").alias("NL"), F.col("fol_expression").alias("FOL"))
+        .write.mode("overwrite").json(path))
+    return read_json_pairs(spark, path)
+
+
+def q_select_pairs(spark, sf_dir):
+    raw = _pairs(spark, sf_dir).select("pair_id", F.col("nl_sentence").alias("NL"),
+                                       F.col("fol_expression").alias("FOL"))
+    return select_pairs(raw)
+
+
+# --- prompts ------------------------------------------------------------------
+
+from pairwright.plans import prompts as PR  # noqa: E402
+
+
+def q_format_categories(spark, sf_dir):
+    df = _pairs(spark, sf_dir)
+    return df.select("pair_id", PR.blocks_for(C.category_array()).alias("categories_text"))
+
+
+def q_prompt_catalogue(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("pair_id", PR.layout_catalogue().render().alias("prompt"))
+
+
+def q_prompt_paired(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("pair_id", PR.layout_paired().render().alias("prompt"))
+
+
+def q_prompt_single(spark, sf_dir):
+    df = _pairs(spark, sf_dir).withColumn("category", F.explode(C.category_array()))
+    return df.select("pair_id", "category", PR.single_prompt("category").alias("prompt"))
+
+
+def q_prompt_correction(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("pair_id", PR.layout_correction().render().alias("prompt"))
+
+
+# --- model job ----------------------------------------------------------------
+
+from pairwright.operators import audit  # noqa: E402
+from pairwright.plans import annotate as AN  # noqa: E402
+from pairwright.plans import backends as B  # noqa: E402
+from pairwright.plans import loop  # noqa: E402
+from pairwright.plans.model_job import answer_key, call_model, strip_answer  # noqa: E402
+from pairwright.sources import tables  # noqa: E402
+
+SINGLE_CATEGORY = "wrong_variable_binding"
+SINGLE_SAMPLE_CATEGORY = "neither_nor_translation_error"
+SINGLE_SAMPLE_N = 300
+SINGLE_SAMPLE_SEED = 42
+MULTI_N = 500
+DATASET = "parts"
+CHART_CATEGORY = "overgeneralization"
+
+
+def _with_dataset(df):
+    return df.withColumn("dataset", F.lit(DATASET))
+
+
+def q_model_call(spark, sf_dir):
+    layout = PR.layout_single(SINGLE_CATEGORY)
+    backend = B.SingleAnswerRule()
+    rows = C.candidates(_pairs(spark, sf_dir), SINGLE_CATEGORY)
+    prompt = layout.render()
+    requests = rows.select(answer_key(backend.name, layout.system, prompt).alias("key"), prompt.alias("prompt"))
+    answers = call_model(requests, system=layout.system, backend=backend, store=scratch_path(spark, "answers"))
+    return answers.select("key", strip_answer(F.col("answer")).alias("answer"), "status")
+
+
+def q_annotate_single(spark, sf_dir):
+    return AN.annotate_single(_pairs(spark, sf_dir), SINGLE_CATEGORY, backend=B.SingleAnswerRule(),
+                              store=scratch_path(spark, "answers"))
+
+
+def q_annotate_single_sample(spark, sf_dir):
+    return AN.annotate_single_sample(_pairs(spark, sf_dir), SINGLE_SAMPLE_CATEGORY, SINGLE_SAMPLE_N,
+                                     seed=SINGLE_SAMPLE_SEED, backend=B.SingleAnswerRule(),
+                                     store=scratch_path(spark, "answers"))
+
+
+def q_annotate_multi(spark, sf_dir):
+    return AN.annotate_multi(_pairs(spark, sf_dir), MULTI_N, seed=SAMPLE_SEED, design=1,
+                             backend=B.MultiLabelRule(PR.layout_catalogue()),
+                             store=scratch_path(spark, "answers"))
+
+
+def q_annotate_multi_paired(spark, sf_dir):
+    return AN.annotate_multi(_pairs(spark, sf_dir), MULTI_N, seed=SAMPLE_SEED, design=2,
+                             backend=B.MultiLabelRule(PR.layout_paired()),
+                             store=scratch_path(spark, "answers"))
+
+
+def _corrector():
+    return B.CorrectorRule(PR.layout_correction())
+
+
+def q_correct_pairs(spark, sf_dir):
+    return AN.correct_pairs(_pairs(spark, sf_dir), backend=_corrector(), store=scratch_path(spark, "answers"))
+
+
+def q_is_equal(spark, sf_dir):
+    return q_correct_pairs(spark, sf_dir).select("pair_id", "is_equal")
+
+
+def _stored_corrected(spark, sf_dir):
+    work = scratch_path(spark, "loop")
+    return loop.correct_and_store(_with_dataset(_pairs(spark, sf_dir)), corrector=_corrector(), workdir=work)
+
+
+def q_write_corrected(spark, sf_dir):
+    return _stored_corrected(spark, sf_dir)
+
+
+def q_source_corrected(spark, sf_dir):
+    work = scratch_path(spark, "loop")
+    loop.correct_and_store(_with_dataset(_pairs(spark, sf_dir)), corrector=_corrector(), workdir=work)
+    return tables.read_corrected(spark, f"{work}/corrected", dataset=DATASET).drop("dataset")
+
+
+def q_promote_corrected(spark, sf_dir):
+    return AN.promote_corrected(_stored_corrected(spark, sf_dir)).select(*PAIR)
+
+
+def _stored_annotations(spark, sf_dir):
+    work = scratch_path(spark, "annotations")
+    pairs = _with_dataset(_pairs(spark, sf_dir)).withColumn("version", F.lit("original"))
+    ann = AN.annotate_categories(pairs, loop.WORKING_CATEGORIES, backend=B.SingleAnswerRule(),
+                                 store=f"{work}/answers")
+    tables.write_annotations(ann, f"{work}/annotations")
+    return work
+
+
+def q_write_annotations(spark, sf_dir):
+    work = _stored_annotations(spark, sf_dir)
+    return tables.read_annotations(spark, f"{work}/annotations")
+
+
+def q_source_annotations(spark, sf_dir):
+    work = _stored_annotations(spark, sf_dir)
+    return tables.read_annotations(spark, f"{work}/annotations", dataset=DATASET, version="original",
+                                   category=SINGLE_CATEGORY).select(*PAIR, "error_type")
+
+
+def _single_annotations(spark, sf_dir):
+    return q_annotate_single(spark, sf_dir)
+
+
+def q_audit_applies(spark, sf_dir):
+    return audit.audit_applies(_single_annotations(spark, sf_dir))
+
+
+def q_audit_unexpected(spark, sf_dir):
+    return audit.audit_unexpected(_single_annotations(spark, sf_dir))
+
+
+def _loop_counts(spark, sf_dir):
+    return loop.run_loop(_with_dataset(_pairs(spark, sf_dir)), detector=B.SingleAnswerRule(),
+                         corrector=_corrector(), workdir=scratch_path(spark, "loop"))
+
+
+def q_before_after_counts(spark, sf_dir):
+    return audit.before_after(_loop_counts(spark, sf_dir))
+
+
+def q_source_counts(spark, sf_dir):
+    path = scratch_path(spark, "counts-csv")
+    tables.write_counts(_loop_counts(spark, sf_dir), path, fmt="csv")
+    return tables.read_counts(spark, path, fmt="csv")
+
+
+def q_chart_data(spark, sf_dir):
+    return audit.chart_data(_loop_counts(spark, sf_dir), CHART_CATEGORY, [DATASET])
+
+
+QUERIES.update({
+    "sample_n": q_sample_n,
+    "row_index": q_row_index,
+    "source_json_pairs": q_source_json_pairs,
+    "select_pairs": q_select_pairs,
+    "format_categories": q_format_categories,
+    "prompt_catalogue": q_prompt_catalogue,
+    "prompt_paired": q_prompt_paired,
+    "prompt_single": q_prompt_single,
+    "prompt_correction": q_prompt_correction,
+    "model_call": q_model_call,
+    "annotate_single": q_annotate_single,
+    "annotate_single_sample": q_annotate_single_sample,
+    "annotate_multi": q_annotate_multi,
+    "annotate_multi_paired": q_annotate_multi_paired,
+    "correct_pairs": q_correct_pairs,
+    "is_equal": q_is_equal,
+    "write_corrected": q_write_corrected,
+    "source_corrected": q_source_corrected,
+    "promote_corrected": q_promote_corrected,
+    "write_annotations": q_write_annotations,
+    "source_annotations": q_source_annotations,
+    "audit_applies": q_audit_applies,
+    "audit_unexpected": q_audit_unexpected,
+    "before_after_counts": q_before_after_counts,
+    "source_counts": q_source_counts,
+    "chart_data": q_chart_data,
+})
