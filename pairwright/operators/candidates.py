@@ -93,6 +93,11 @@ PREDICATES: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
 LABEL_TO_SHORT = {label: short for short, (label, _) in PREDICATES.items()}
 
 
+def label_of(name: str) -> str:
+    """Category label of a short predicate name (labels pass through)."""
+    return PREDICATES[name][0] if name in PREDICATES else name
+
+
 def predicate(name: str, formula: str = FOL, sentence: str = NL) -> Column:
     """The candidate predicate of a short name or a category label."""
     short = LABEL_TO_SHORT.get(name, name)

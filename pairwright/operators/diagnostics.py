@@ -32,15 +32,26 @@ def lowercase_diff(df: DataFrame, col: str = FOL, out: str = "fol_modified") ->
 
 
 def quoted_terms(df: DataFrame, col: str = FOL, out: str = "quoted_words") -> DataFrame:
-    """Rows with at least one quoted span, the spans listed in ``out``."""
-    return (df.withColumn(out, extract_all(col, QUOTED_SPAN_PATTERN))
+    """Rows with at least one quoted span, the spans listed in ``out``.
+
+    A text without any quote character cannot hold a span, so a plain
+    character test runs first and only the remaining texts are scanned by the
+    span pattern.
+    """
+    return (df.filter(F.col(col).rlike("[\"`´']"))
+              .withColumn(out, extract_all(col, QUOTED_SPAN_PATTERN))
               .filter(F.size(out) > 0))
 
 
 def punctuated_tokens(df: DataFrame, col: str = FOL, out: str = "punctuated_words") -> DataFrame:
-    """Rows with a whitespace token holding ``- : ; ! ?``, those tokens in ``out``."""
+    """Rows with a whitespace token holding ``- : ; ! ?``, those tokens in ``out``.
+
+    None of these characters is whitespace, so a text holds such a token
+    exactly when it holds the character: that test runs before tokenizing.
+    """
     tokens = F.filter(whitespace_tokens(col), lambda t: t.rlike(PUNCTUATION_CLASS))
-    return df.withColumn(out, tokens).filter(F.size(out) > 0)
+    return (df.filter(F.col(col).rlike(PUNCTUATION_CLASS))
+              .withColumn(out, tokens).filter(F.size(out) > 0))
 
 
 def adverb_matches(df: DataFrame, words, col: str = NL) -> DataFrame:

@@ -28,7 +28,7 @@ def annotate_single(df: DataFrame, category: str, *, backend, store: str, prefil
                     out: str = "error_type", **job) -> DataFrame:
     """Design 3: one category's prompt for every (candidate) row."""
     rows = C.candidates(df, category) if prefilter else df
-    layout = P.layout_single(category)
+    layout = P.layout_single(C.label_of(category))
     return with_answers(rows, layout.render(NL, FOL), out, system=layout.system,
                         backend=backend, store=store, **job)
 
@@ -44,9 +44,7 @@ def annotate_categories(df: DataFrame, categories, *, backend, store: str, out:
                         **job) -> DataFrame:
     """Design 3 for several categories in one model job: each row is paired with
     every listed category it is a candidate for (column ``category``)."""
-    categories = list(categories)
-    labels = [C.PREDICATES[C.LABEL_TO_SHORT.get(c, c)][0] if C.LABEL_TO_SHORT.get(c, c) in C.PREDICATES
-              else c for c in categories]
+    labels = [C.label_of(c) for c in categories]
     flagged = F.array_compact(F.array(*[
         F.when(C.predicate(lab), F.lit(lab)) if lab in C.LABEL_TO_SHORT else F.lit(lab)
         for lab in labels]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.session import path_exists
+from pairwright.session import path_exists, ship_package
 
 ANSWER_SCHEMA = "key STRING, model STRING, answer STRING, status STRING, error STRING, attempts INT"
 SEP = "\u0001"
@@ -91,6 +91,7 @@ def call_model(requests: DataFrame, *, system: str, backend, store: str, model:
     ``key, model, answer, status, error, attempts`` for every ok key in the store.
     """
     spark = requests.sparkSession
+    ship_package(spark)
     model = model or backend.name
     todo = requests.select("key", "prompt").filter(F.col("key").isNotNull()).dropDuplicates(["key"])
     if path_exists(spark, store):
