@@ -192,8 +192,9 @@ def render(layout, s: str = "nl_sentence", f: str = "fol_expression") -> str:
     return f"({q(layout.prefix)} || {s} || {q(layout.middle)} || {f} || {q(layout.suffix)})"
 
 
-def key_sql(model: str, system: str, prompt: str) -> str:
-    return f"sha256({q(model)} || chr(1) || {q(system)} || chr(1) || {prompt})"
+def key_sql(model: str, digest: str, *inputs: str) -> str:
+    parts = " || ".join(f"chr(1) || sha256({c})" for c in inputs)
+    return f"sha256({q(model)} || chr(1) || {q(digest)} || {parts})"
 
 
 def strip_sql(x: str) -> str:
@@ -282,9 +283,10 @@ def oracle_model_queries() -> dict[str, str]:
             f"(SELECT *, unnest({category_array()}) AS category FROM pairs)"),
         "prompt_correction": with_pairs(f"SELECT pair_id, {render(corr)} AS prompt FROM pairs"),
         "model_call": with_pairs(
-            f"SELECT DISTINCT {key_sql('rule-single', single.system, 'prompt')} AS key, "
+            f"SELECT DISTINCT {key_sql('rule-single', single.spec().digest, 'nl_sentence', 'fol_expression')} AS key, "
             f"{strip_sql(single_rule('prompt'))} AS answer, 'ok' AS status FROM "
-            f"(SELECT {render(single)} AS prompt FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}) WHERE prompt IS NOT NULL"),
+            f"(SELECT nl_sentence, fol_expression, {render(single)} AS prompt FROM pairs "
+            f"WHERE {pred(QQ.SINGLE_CATEGORY)}) WHERE prompt IS NOT NULL"),
         "annotate_single": with_pairs(single_ann),
         "annotate_single_sample": with_pairs(
             f"SELECT {P}, {strip_sql(single_rule(render(PR.layout_single(QQ.SINGLE_SAMPLE_CATEGORY))))} AS error_type "

@@ -20,8 +20,7 @@ def annotate_multi(df: DataFrame, n: int, *, backend, store: str, seed: int = 3,
     a list of labels as raw text."""
     layout = P.layout_catalogue(labels) if design == 1 else P.layout_paired(labels)
     sample = sample_n(df, n, seed=seed)
-    return with_answers(sample, layout.render(NL, FOL), out, system=layout.system,
-                        backend=backend, store=store, **job)
+    return with_answers(sample, layout.spec(), [NL, FOL], out, backend=backend, store=store, **job)
 
 
 def annotate_single(df: DataFrame, category: str, *, backend, store: str, prefilter: bool = True,
@@ -29,8 +28,7 @@ def annotate_single(df: DataFrame, category: str, *, backend, store: str, prefil
     """Design 3: one category's prompt for every (candidate) row."""
     rows = C.candidates(df, category) if prefilter else df
     layout = P.layout_single(C.label_of(category))
-    return with_answers(rows, layout.render(NL, FOL), out, system=layout.system,
-                        backend=backend, store=store, **job)
+    return with_answers(rows, layout.spec(), [NL, FOL], out, backend=backend, store=store, **job)
 
 
 def annotate_single_sample(df: DataFrame, category: str, n: int, *, backend, store: str,
@@ -49,16 +47,15 @@ def annotate_categories(df: DataFrame, categories, *, backend, store: str, out:
         F.when(C.predicate(lab), F.lit(lab)) if lab in C.LABEL_TO_SHORT else F.lit(lab)
         for lab in labels]))
     rows = df.withColumn("category", F.explode(flagged))
-    prompt = P.single_prompt("category")
-    return with_answers(rows, prompt, out, system=P.SYSTEM_SINGLE, backend=backend, store=store, **job)
+    return with_answers(rows, P.single_prompt_spec(), ["category", NL, FOL], out,
+                        backend=backend, store=store, **job)
 
 
 def correct_pairs(df: DataFrame, *, backend, store: str, variant: str = "examples",
                   out: str = "fol_corrected", **job) -> DataFrame:
     """One correction call per row, then ``is_equal`` (exact string compare)."""
     layout = P.layout_correction(variant)
-    corrected = with_answers(df, layout.render(NL, FOL), out, system=layout.system,
-                             backend=backend, store=store, **job)
+    corrected = with_answers(df, layout.spec(), [NL, FOL], out, backend=backend, store=store, **job)
     return corrected.transform(is_equal, FOL, out)
 
 

@@ -1,19 +1,24 @@
-"""The model job: pay once per distinct prompt, survive failures, resume.
-
-1. Render the prompt column; ``key = sha256(model \\1 system \\1 prompt)``
-   (``concat``, so a null prompt gives a null key and is never sent).
-2. Drop null keys and duplicate keys (partial aggregation, so a prompt shared
-   by a third of all rows still sends one row per task to the shuffle).
-3. ``left_anti`` join with the answers already stored: a rerun only pays for
-   keys that have no ``ok`` answer yet.
-4. ``repartition(concurrency)`` and ``mapInPandas``: the client is opened
-   once per partition, prompts go in batches, bounded retries per batch and
-   then per prompt; a failure becomes ``status='failed'``, not a failed stage.
+"""The model job: pay once per distinct request, survive failures, resume.
+
+1. A request is identified without building its prompt:
+   ``key = sha256(model \\1 digest \\1 sha256(input_1) \\1 sha256(input_2) ...)``
+   where ``digest`` identifies all constant prompt text (system text included).
+   The parts are fixed-length hex, so the key is unambiguous, and per row
+   only the short inputs are hashed. A null input gives a null key: no call.
+2. Distinct (key, inputs), null keys dropped: a hash aggregate with a map-side
+   partial step, so a request shared by a third of all rows still sends one
+   row per task to the shuffle.
+3. ``left_anti`` join with the ``ok`` answers already stored: a rerun only
+   pays for keys that have no answer yet.
+4. Only now is the prompt rendered, once per distinct key.
+   ``repartition(concurrency)`` + ``mapInPandas``: the client is opened once
+   per partition, prompts go in batches, bounded retries per batch and then
+   per prompt; a failure becomes ``status='failed'``, not a failed stage.
 5. Append to the answer store (parquet) and read it back before any other
    use: a lazy model column would be recomputed (and paid) by every action.
-6. Equi-join the answers to the rows on ``key``. Parquet statistics let the
-   planner broadcast a small answer table; otherwise a sort-merge join with
-   AQE skew splitting handles a hot key on the row side.
+6. Equi-join the answers to the rows on ``key``. The planner broadcasts the
+   answer table only when its parquet size is under the broadcast threshold;
+   otherwise a sort-merge join with AQE skew splitting handles a hot key.
 """
 
 from __future__ import annotations
@@ -24,14 +29,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.plans.prompts import PromptSpec
 from pairwright.session import path_exists, ship_package
 
 ANSWER_SCHEMA = "key STRING, model STRING, answer STRING, status STRING, error STRING, attempts INT"
 SEP = "\u0001"
 
 
-def answer_key(model: str, system: str, prompt: Column) -> Column:
-    return F.sha2(F.concat(F.lit(model), F.lit(SEP), F.lit(system), F.lit(SEP), prompt), 256)
+def request_key(model: str, digest: str, *inputs: Column) -> Column:
+    parts = [F.lit(model), F.lit(SEP), F.lit(digest)]
+    for c in inputs:
+        parts += [F.lit(SEP), F.sha2(c, 256)]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def strip_answer(c: Column) -> Column:
@@ -83,33 +92,37 @@ def read_answers(spark, store: str, include_failed: bool = False) -> DataFrame:
     return df.dropDuplicates(["key"])
 
 
-def call_model(requests: DataFrame, *, system: str, backend, store: str, model: str | None = None,
+def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, model: str | None = None,
                concurrency: int | None = None, max_retries: int = 2, batch_size: int = 16) -> DataFrame:
-    """Send each distinct (key, prompt) of ``requests`` once; return the stored answers.
+    """Answer each distinct request once; return the stored answers.
 
-    ``requests`` has columns ``key`` and ``prompt``. Returns
-    ``key, model, answer, status, error, attempts`` for every ok key in the store.
+    ``requests`` has a ``key`` column followed by the spec's input columns.
+    Returns ``key, model, answer, status, error, attempts`` of every ok key.
     """
     spark = requests.sparkSession
     ship_package(spark)
     model = model or backend.name
-    todo = requests.select("key", "prompt").filter(F.col("key").isNotNull()).dropDuplicates(["key"])
+    inputs = [c for c in requests.columns if c != "key"]
+    todo = requests.filter(F.col("key").isNotNull()).distinct()
     if path_exists(spark, store):
         done = spark.read.schema(ANSWER_SCHEMA).parquet(store).filter(F.col("status") == "ok").select("key")
         todo = todo.join(done, "key", "left_anti")
+    todo = todo.select("key", spec.render(*[F.col(c) for c in inputs]).alias("prompt"))
     concurrency = concurrency or spark.sparkContext.defaultParallelism
     answered = todo.repartition(concurrency).mapInPandas(
-        _caller(backend, system, model, max_retries, batch_size), ANSWER_SCHEMA)
+        _caller(backend, spec.system, model, max_retries, batch_size), ANSWER_SCHEMA)
     answered.write.mode("append").parquet(store)
     return read_answers(spark, store)
 
 
-def with_answers(df: DataFrame, prompt: Column, out: str, *, system: str, backend, store: str,
+def with_answers(df: DataFrame, spec: PromptSpec, inputs, out: str, *, backend, store: str,
                  model: str | None = None, **job) -> DataFrame:
-    """``df`` plus column ``out``: the stripped model answer to ``prompt`` (null if none)."""
+    """``df`` plus column ``out``: the stripped model answer for the prompt made
+    from the ``inputs`` columns (null where an input is null or the call failed)."""
     model = model or backend.name
-    keyed = df.withColumn("_key", answer_key(model, system, prompt))
-    requests = keyed.select(F.col("_key").alias("key"), prompt.alias("prompt"))
-    answers = call_model(requests, system=system, backend=backend, store=store, model=model, **job)
+    inputs = [F.col(c) if isinstance(c, str) else c for c in inputs]
+    keyed = df.withColumn("_key", request_key(model, spec.digest, *inputs))
+    requests = keyed.select(F.col("_key").alias("key"), *[c.alias(f"_in{i}") for i, c in enumerate(inputs)])
+    answers = call_model(requests, spec, backend=backend, store=store, model=model, **job)
     answers = answers.select(F.col("key").alias("_key"), strip_answer(F.col("answer")).alias(out))
     return keyed.join(answers, "_key", "left").drop("_key")

@@ -8,6 +8,8 @@ prompt, which the model job skips (no call, null answer).
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,26 @@ SYSTEM_CORRECTION_STRICT = (
 )
 
 
+def text_digest(*parts: str) -> str:
+    """SHA-256 of constant prompt text (parts joined by \\u0001)."""
+    return hashlib.sha256("\u0001".join(parts).encode("utf-8")).hexdigest()
+
+
+@dataclass(frozen=True)
+class PromptSpec:
+    """How a prompt is made from input columns.
+
+    ``render`` builds the prompt from the input columns; ``digest`` identifies
+    all constant text (system text included), so a request is identified by
+    the digest and its inputs without building the prompt.
+    """
+
+    render: Callable[..., Column]
+    digest: str
+    system: str
+    arity: int = 2
+
+
 @dataclass(frozen=True)
 class Layout:
     prefix: str
@@ -52,6 +74,10 @@ class Layout:
         f = F.col(formula) if isinstance(formula, str) else formula
         return F.concat(F.lit(self.prefix), s, F.lit(self.middle), f, F.lit(self.suffix))
 
+    def spec(self) -> PromptSpec:
+        return PromptSpec(self.render, text_digest(self.system, self.prefix, self.middle, self.suffix),
+                          self.system, 2)
+
     def split(self, prompt: str) -> tuple[str, str]:
         """Sentence and formula back out of a rendered prompt (used by test backends)."""
         body = prompt[len(self.prefix): len(prompt) - len(self.suffix)]
@@ -152,15 +178,28 @@ def layout_single(label: str) -> Layout:
     return Layout(single_category_text(label) + "Example:\nSentence: ", "\nFOL: ", "\nAnswer:", SYSTEM_SINGLE)
 
 
-def single_prompt(category: str | Column, sentence: str = "nl_sentence", formula: str = "fol_expression",
-                  labels=None) -> Column:
+def _all_labels(labels=None):
+    return [c["label"] for c in cat.CATALOGUE] if labels is None else list(labels)
+
+
+def single_prompt(category: str | Column, sentence: str | Column = "nl_sentence",
+                  formula: str | Column = "fol_expression", labels=None) -> Column:
     """Design-3 prompt for rows that carry their category in a column."""
-    labels = [c["label"] for c in cat.CATALOGUE] if labels is None else labels
+    labels = _all_labels(labels)
     lookup = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(layout_single(lab).prefix))])
-    category = F.col(category) if isinstance(category, str) else category
+    category, sentence, formula = (F.col(c) if isinstance(c, str) else c for c in (category, sentence, formula))
+    any_layout = layout_single(labels[0])
+    return F.concat(F.try_element_at(lookup, category), sentence, F.lit(any_layout.middle),
+                    formula, F.lit(any_layout.suffix))
+
+
+def single_prompt_spec(labels=None) -> PromptSpec:
+    """Spec over inputs (category, sentence, formula) for ``single_prompt``."""
+    labels = _all_labels(labels)
     any_layout = layout_single(labels[0])
-    return F.concat(F.try_element_at(lookup, category), F.col(sentence), F.lit(any_layout.middle),
-                    F.col(formula), F.lit(any_layout.suffix))
+    parts = [SYSTEM_SINGLE, any_layout.middle, any_layout.suffix]
+    parts += [x for lab in labels for x in (lab, layout_single(lab).prefix)]
+    return PromptSpec(lambda c, s, f: single_prompt(c, s, f, labels), text_digest(*parts), SYSTEM_SINGLE, 3)
 
 
 # --- correction ---------------------------------------------------------------

@@ -200,7 +200,7 @@ from pairwright.operators import audit  # noqa: E402
 from pairwright.plans import annotate as AN  # noqa: E402
 from pairwright.plans import backends as B  # noqa: E402
 from pairwright.plans import loop  # noqa: E402
-from pairwright.plans.model_job import answer_key, call_model, strip_answer  # noqa: E402
+from pairwright.plans.model_job import call_model, request_key, strip_answer  # noqa: E402
 from pairwright.sources import tables  # noqa: E402
 
 SINGLE_CATEGORY = "wrong_variable_binding"
@@ -219,10 +219,11 @@ def _with_dataset(df):
 def q_model_call(spark, sf_dir):
     layout = PR.layout_single(SINGLE_CATEGORY)
     backend = B.SingleAnswerRule()
+    spec = layout.spec()
     rows = C.candidates(_pairs(spark, sf_dir), SINGLE_CATEGORY)
-    prompt = layout.render()
-    requests = rows.select(answer_key(backend.name, layout.system, prompt).alias("key"), prompt.alias("prompt"))
-    answers = call_model(requests, system=layout.system, backend=backend, store=scratch_path(spark, "answers"))
+    requests = rows.select(request_key(backend.name, spec.digest, F.col("nl_sentence"), F.col("fol_expression"))
+                           .alias("key"), "nl_sentence", "fol_expression")
+    answers = call_model(requests, spec, backend=backend, store=scratch_path(spark, "answers"))
     return answers.select("key", strip_answer(F.col("answer")).alias("answer"), "status")
 
 

@@ -12,7 +12,7 @@ from pairwright.operators import candidates as C
 from pairwright.plans import annotate as AN
 from pairwright.plans import backends as B
 from pairwright.plans import prompts as PR
-from pairwright.plans.model_job import ANSWER_SCHEMA, answer_key
+from pairwright.plans.model_job import ANSWER_SCHEMA, request_key
 
 
 def _store_rows(spark, store):
@@ -39,7 +39,10 @@ def test_calls_equal_distinct_keys_and_resume(spark, pairs, tmp_dir):
     out = AN.annotate_single(pairs, "wrong_variable_binding", backend=B.SingleAnswerRule(), store=tmp_dir)
     assert out.count() == cands.count()
     layout = PR.layout_single("wrong_variable_binding")
-    distinct_keys = cands.select(answer_key("rule-single", layout.system, layout.render())).distinct().count()
+    distinct_keys = cands.select(layout.render()).distinct().count()
+    keys = cands.select(request_key("rule-single", layout.spec().digest, F.col("nl_sentence"),
+                                    F.col("fol_expression"))).distinct().count()
+    assert keys == distinct_keys
     assert _store_rows(spark, tmp_dir).count() == distinct_keys
     # a second run pays for nothing
     again = AN.annotate_single(pairs, "wrong_variable_binding", backend=B.SingleAnswerRule(), store=tmp_dir)
