@@ -11,19 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# These must equal the rule set's own values for equal results.
-# Characters deleted from a formula by the special-character cleaner.
-STRIP_CHARS = "-:;!?\"'`´"
-# Quoted spans: "...", `...`, ´...´ and '...'.
-QUOTED_SPAN_PATTERN = "\"[^\"]*\"|`[^`]*`|´[^´]*´|'[^']*'"
-# A whitespace token counts as punctuated if it holds one of these.
-PUNCTUATION_CLASS = "[-:;!?]"
-# Adverb word lists (time, duration, frequency), in the rule set's order.
-TIME_ADVERBS = ("now", "today", "yesterday", "tomorrow", "later", "soon", "recently")
-DURATION_ADVERBS = ("forever", "briefly", "permanently", "temporarily")
-FREQUENCY_ADVERBS = ("often", "usually", "sometimes", "rarely", "occasionally")
-# ---------------------------------------------------------------------------
+from pairwright import fixed_values as FV
+from pairwright.fixed_values import (  # noqa: F401
+    DURATION_ADVERBS,
+    FREQUENCY_ADVERBS,
+    PUNCTUATION_CLASS,
+    QUOTED_SPAN_PATTERN,
+    STRIP_CHARS,
+    TIME_ADVERBS,
+)
 
 ADVERB_GROUPS = {
     "time": TIME_ADVERBS,
@@ -36,8 +32,8 @@ ALL_ADVERBS = TIME_ADVERBS + DURATION_ADVERBS + FREQUENCY_ADVERBS
 NON_SPACE_RUN = r"(?U)\S+"
 WORD_OR_GAP_RUN = r"(?U)\w+|\W+"
 WORD_RUN_MIN2 = r"(?U)\w{2,}"
-WORD_BEFORE_PAREN = r"(?U)\b\w+\s*\("
-NAME_BEFORE_PAREN = r"(?U)\b\w+(?=\s*\()"
+WORD_BEFORE_PAREN = "(?U)" + FV.WORD_BEFORE_PAREN
+NAME_BEFORE_PAREN = "(?U)" + FV.NAME_BEFORE_PAREN
 IS_WORD_MIN2 = r"(?U)^\w{2,}$"
 
 

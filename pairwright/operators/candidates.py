@@ -17,24 +17,7 @@ from pairwright.functions.text import count_char
 NL = "nl_sentence"
 FOL = "fol_expression"
 
-# Category labels in catalogue order.
-CATEGORY_LABELS = (
-    "missing_category",
-    "overgeneralization",
-    "wrong_variable_binding",
-    "free_variable_error",
-    "biconditional_instead_implication",
-    "conjunction_instead_implication",
-    "invalid_xor_usage",
-    "missing_parentheses",
-    "global_negation_error",
-    "missing_condition_negation",
-    "wrong_negation_scope",
-    "neither_nor_translation_error",
-    "predicate_naming_error",
-)
-# The single-category design adds one more category without a prefilter.
-PREDICATE_NESTING = "predicate_nesting_error"
+from pairwright.fixed_values import CATEGORY_LABELS, NEITHER_WORD, ONE_LETTER_WORD, PREDICATE_NESTING  # noqa: F401
 
 
 def overgeneralization(f: Column, s: Column) -> Column:
@@ -46,7 +29,7 @@ def wrong_binding(f: Column, s: Column) -> Column:
 
 
 def free_variable(f: Column, s: Column) -> Column:
-    return f.rlike(r"(?U)\b[a-z]\b")
+    return f.rlike("(?U)" + ONE_LETTER_WORD)
 
 
 def biconditional(f: Column, s: Column) -> Column:
@@ -74,7 +57,7 @@ def both_negated(f: Column, s: Column) -> Column:
 
 
 def neither_nor(f: Column, s: Column) -> Column:
-    return s.rlike(r"(?iU)\bneither\b")
+    return s.rlike("(?U)" + NEITHER_WORD)
 
 
 # short name -> (category label, predicate over (formula, sentence))

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.fixed_values import SEED_MULTI
+
 # Top-k is used while n * input partitions stays under this many rows.
 TOPK_MERGE_ROWS = 2_000_000
 SELECT_BUCKETS = 1024
 
 
-def sample_rank(id_col: str = "pair_id", seed: int = 3) -> Column:
+def sample_rank(id_col: str = "pair_id", seed: int = SEED_MULTI) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))
 
 
@@ -28,7 +30,7 @@ def _rank_prefix(rank: Column) -> Column:
     return F.conv(F.substr(rank, F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 3, id_col: str = "pair_id",
+def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_id",
              strict: bool = False, topk_merge_rows: int = TOPK_MERGE_ROWS) -> DataFrame:
     """Exactly ``min(n, rows)`` rows; ``strict=True`` raises if n exceeds the rows."""
     if n < 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.fixed_values import SEED_MULTI, SEED_SINGLE
 from pairwright.operators import candidates as C
 from pairwright.operators.sampling import sample_n
 from pairwright.plans import prompts as P
@@ -14,7 +15,7 @@ NL = "nl_sentence"
 FOL = "fol_expression"
 
 
-def annotate_multi(df: DataFrame, n: int, *, backend, store: str, seed: int = 3, design: int = 1,
+def annotate_multi(df: DataFrame, n: int, *, backend, store: str, seed: int = SEED_MULTI, design: int = 1,
                    labels=None, out: str = "error_type", **job) -> DataFrame:
     """Designs 1 and 2: a seeded sample of n rows, one call each; the answer is
     a list of labels as raw text."""
@@ -32,7 +33,7 @@ def annotate_single(df: DataFrame, category: str, *, backend, store: str, prefil
 
 
 def annotate_single_sample(df: DataFrame, category: str, n: int, *, backend, store: str,
-                           seed: int = 42, prefilter: bool = True, out: str = "error_type", **job) -> DataFrame:
+                           seed: int = SEED_SINGLE, prefilter: bool = True, out: str = "error_type", **job) -> DataFrame:
     rows = C.candidates(df, category) if prefilter else df
     return annotate_single(sample_n(rows, n, seed=seed), category, backend=backend, store=store,
                            prefilter=False, out=out, **job)

@@ -15,6 +15,7 @@ import json
 import re
 import urllib.request
 
+from pairwright.fixed_values import MAX_RETRIES, NEITHER_WORD, ONE_LETTER_WORD, TEMPERATURE  # noqa: F401
 from pairwright.plans import catalogue as cat
 from pairwright.plans.prompts import Layout
 
@@ -45,14 +46,14 @@ def rule_labels(sentence: str, formula: str) -> list[str]:
     hits = {
         "overgeneralization": formula.count("∀") >= 2,
         "wrong_variable_binding": "," in formula,
-        "free_variable_error": re.search(r"\b[a-z]\b", formula) is not None,
+        "free_variable_error": re.search(ONE_LETTER_WORD, formula) is not None,
         "biconditional_instead_implication": "↔" in formula,
         "conjunction_instead_implication": "∧" in formula,
         "invalid_xor_usage": formula.count("⊕") >= 2,
         "global_negation_error": formula.startswith("¬"),
         "missing_condition_negation": "→" in formula,
         "wrong_negation_scope": formula.count("¬") >= 2 and "→" in formula,
-        "neither_nor_translation_error": re.search(r"(?i)\bneither\b", sentence) is not None,
+        "neither_nor_translation_error": re.search(NEITHER_WORD, sentence) is not None,
     }
     return [label for label in cat.CATEGORY_LABELS if hits.get(label)]
 
@@ -93,7 +94,7 @@ class ChatCompletionsBackend:
     """
 
     def __init__(self, url: str, model: str, api_key: str | None = None,
-                 temperature: float = 0.0, timeout: float | None = None):
+                 temperature: float = TEMPERATURE, timeout: float | None = None):
         self.url, self.name, self.api_key = url, model, api_key
         self.temperature, self.timeout = temperature, timeout
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.operators.candidates import CATEGORY_LABELS, PREDICATE_NESTING
-
-# The two allowed answers of a single-category check.
-ANSWER_APPLIES = "error category does apply"
-ANSWER_NOT_APPLIES = "error category does not apply"
-# Fixed value: answer of the multi-label check when nothing applies.
-NO_LABEL = "none"
+from pairwright.fixed_values import (  # noqa: F401
+    ANSWER_APPLIES,
+    ANSWER_NOT_APPLIES,
+    CATEGORY_LABELS,
+    NO_LABEL,
+    PREDICATE_NESTING,
+)
 
 CATALOGUE = [
     dict(label="missing_category",

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.fixed_values import MAX_RETRIES
 from pairwright.plans.prompts import PromptSpec
 from pairwright.session import path_exists, ship_package
 
@@ -93,7 +94,7 @@ def read_answers(spark, store: str, include_failed: bool = False) -> DataFrame:
 
 
 def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, model: str | None = None,
-               concurrency: int | None = None, max_retries: int = 2, batch_size: int = 16) -> DataFrame:
+               concurrency: int | None = None, max_retries: int = MAX_RETRIES, batch_size: int = 16) -> DataFrame:
     """Answer each distinct request once; return the stored answers.
 
     ``requests`` has a ``key`` column followed by the spec's input columns.
