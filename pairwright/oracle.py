@@ -250,23 +250,29 @@ def oracle_model_queries() -> dict[str, str]:
     corr = PR.layout_correction()
     corrected = (f"SELECT {P}, fol_corrected, fol_expression = fol_corrected AS is_equal FROM "
                  f"(SELECT *, {strip_sql(corrector_rule(render(corr)))} AS fol_corrected FROM pairs)")
+    corpora = (f"corpora AS (SELECT {P}, {q(QQ.DATASET)} AS dataset FROM pairs UNION ALL "
+               f"SELECT *, {q(QQ.CLEANED_DATASET)} AS dataset FROM ({cleaned()}))")
+    corrected_corpora = (f"SELECT {P}, dataset, fol_corrected, fol_expression = fol_corrected AS is_equal FROM "
+                         f"(SELECT *, {strip_sql(corrector_rule(render(corr)))} AS fol_corrected FROM corpora)")
     working = loop.WORKING_CATEGORIES
     detect = (f"SELECT *, {strip_sql(single_rule(single_prompt_sql()))} AS error_type FROM "
               f"(SELECT *, unnest({flagged_working(working)}) AS category FROM both_versions)")
     loop_ctes = (
-        f"corrected AS ({corrected})",
-        "both_versions AS (SELECT pair_id, nl_sentence, fol_expression, 'original' AS version FROM pairs "
-        "UNION ALL SELECT pair_id, nl_sentence, fol_corrected AS fol_expression, 'corrected' AS version FROM corrected)",
+        corpora,
+        f"corrected AS ({corrected_corpora})",
+        "both_versions AS (SELECT pair_id, nl_sentence, fol_expression, dataset, 'original' AS version FROM corpora "
+        "UNION ALL SELECT pair_id, nl_sentence, fol_corrected AS fol_expression, dataset, 'corrected' AS version "
+        "FROM corrected)",
         f"detected AS ({detect})",
-        f"counts AS (SELECT category, 'parts' AS dataset, version, count(*)::BIGINT AS n FROM detected "
-        f"WHERE error_type = {q(cat.ANSWER_APPLIES)} GROUP BY category, version)",
+        f"counts AS (SELECT category, dataset, version, count(*)::BIGINT AS n FROM detected "
+        f"WHERE error_type = {q(cat.ANSWER_APPLIES)} GROUP BY category, dataset, version)",
     )
     multi = (lambda layout: with_pairs(
         f"SELECT {P}, {strip_sql(multi_rule(render(layout)))} AS error_type FROM sampled",
         f"sampled AS ({sample_sql('pairs', QQ.MULTI_N, QQ.SAMPLE_SEED)})"))
-    pre_ann = (f"SELECT {P}, 'parts' AS dataset, 'original' AS version, category, "
+    pre_ann = (f"SELECT {P}, dataset, 'original' AS version, category, "
                f"{strip_sql(single_rule(single_prompt_sql()))} AS error_type FROM "
-               f"(SELECT *, unnest({flagged_working(working)}) AS category FROM pairs)")
+               f"(SELECT *, unnest({flagged_working(working)}) AS category FROM corpora)")
     return {
         "sample_n": with_pairs(f"SELECT {P} FROM ({sample_sql('pairs', QQ.SAMPLE_N, QQ.SAMPLE_SEED)})"),
         "row_index": with_pairs(f"SELECT row_number() OVER (ORDER BY pair_id)::BIGINT AS row, {P} FROM pairs"),
@@ -297,13 +303,15 @@ def oracle_model_queries() -> dict[str, str]:
         "annotate_multi_paired": multi(PR.layout_paired()),
         "correct_pairs": with_pairs(corrected),
         "is_equal": with_pairs(f"SELECT pair_id, is_equal FROM ({corrected})"),
-        "write_corrected": with_pairs(f"SELECT *, 'parts' AS dataset FROM ({corrected})"),
-        "source_corrected": with_pairs(corrected),
+        "write_corrected": with_pairs(corrected_corpora, corpora),
+        "source_corrected": with_pairs(
+            f"SELECT {P}, fol_corrected, is_equal FROM ({corrected_corpora}) WHERE dataset = {q(QQ.DATASET)}", corpora),
         "promote_corrected": with_pairs(
-            f"SELECT pair_id, nl_sentence, fol_corrected AS fol_expression FROM ({corrected})"),
-        "write_annotations": with_pairs(pre_ann),
+            f"SELECT pair_id, nl_sentence, fol_corrected AS fol_expression, dataset FROM ({corrected_corpora})", corpora),
+        "write_annotations": with_pairs(pre_ann, corpora),
         "source_annotations": with_pairs(
-            f"SELECT {P}, error_type FROM ({pre_ann}) WHERE category = {q(QQ.SINGLE_CATEGORY)}"),
+            f"SELECT {P}, error_type FROM ({pre_ann}) WHERE category = {q(QQ.SINGLE_CATEGORY)} "
+            f"AND dataset = {q(QQ.DATASET)}", corpora),
         "audit_applies": with_pairs(f"SELECT * FROM ({single_ann}) WHERE error_type = {q(cat.ANSWER_APPLIES)}"),
         "audit_unexpected": with_pairs(
             f"SELECT * FROM ({single_ann}) WHERE error_type <> {q(cat.ANSWER_APPLIES)} "
@@ -317,7 +325,8 @@ def oracle_model_queries() -> dict[str, str]:
             "FROM counts GROUP BY category, dataset)", *loop_ctes),
         "source_counts": with_pairs("SELECT category, dataset, version, n FROM counts", *loop_ctes),
         "chart_data": with_pairs(
-            "SELECT category, dataset, version, n, 1::BIGINT AS dataset_rank, "
+            "SELECT category, dataset, version, n, "
+            f"(CASE dataset WHEN {q(QQ.DATASET)} THEN 1 WHEN {q(QQ.CLEANED_DATASET)} THEN 2 END)::BIGINT AS dataset_rank, "
             "(CASE version WHEN 'original' THEN 1 WHEN 'corrected' THEN 2 END)::BIGINT AS version_rank "
             f"FROM counts WHERE category = {q(QQ.CHART_CATEGORY)}", *loop_ctes),
     }

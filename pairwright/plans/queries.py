@@ -209,13 +209,22 @@ SINGLE_SAMPLE_N = 300
 SINGLE_SAMPLE_SEED = 42
 MULTI_N = 500
 DATASET = "parts"
-CHART_CATEGORY = "overgeneralization"
+CLEANED_DATASET = "parts_cleaned"
+DATASETS = (DATASET, CLEANED_DATASET)
+CHART_CATEGORY = "wrong_variable_binding"
 
 
 def _with_dataset(df):
     return df.withColumn("dataset", F.lit(DATASET))
 
 
+def _corpora(spark, sf_dir):
+    """Two corpora, as in the study: the raw pairs and their rule-cleaned form."""
+    raw = _pairs(spark, sf_dir)
+    return (raw.withColumn("dataset", F.lit(DATASET))
+               .unionByName(cleaning.clean_pairs(raw).withColumn("dataset", F.lit(CLEANED_DATASET))))
+
+
 def q_model_call(spark, sf_dir):
     layout = PR.layout_single(SINGLE_CATEGORY)
     backend = B.SingleAnswerRule()
@@ -264,7 +273,7 @@ def q_is_equal(spark, sf_dir):
 
 def _stored_corrected(spark, sf_dir):
     work = scratch_path(spark, "loop")
-    return loop.correct_and_store(_with_dataset(_pairs(spark, sf_dir)), corrector=_corrector(), workdir=work)
+    return loop.correct_and_store(_corpora(spark, sf_dir), corrector=_corrector(), workdir=work)
 
 
 def q_write_corrected(spark, sf_dir):
@@ -273,17 +282,17 @@ def q_write_corrected(spark, sf_dir):
 
 def q_source_corrected(spark, sf_dir):
     work = scratch_path(spark, "loop")
-    loop.correct_and_store(_with_dataset(_pairs(spark, sf_dir)), corrector=_corrector(), workdir=work)
+    loop.correct_and_store(_corpora(spark, sf_dir), corrector=_corrector(), workdir=work)
     return tables.read_corrected(spark, f"{work}/corrected", dataset=DATASET).drop("dataset")
 
 
 def q_promote_corrected(spark, sf_dir):
-    return AN.promote_corrected(_stored_corrected(spark, sf_dir)).select(*PAIR)
+    return AN.promote_corrected(_stored_corrected(spark, sf_dir)).select(*PAIR, "dataset")
 
 
 def _stored_annotations(spark, sf_dir):
     work = scratch_path(spark, "annotations")
-    pairs = _with_dataset(_pairs(spark, sf_dir)).withColumn("version", F.lit("original"))
+    pairs = _corpora(spark, sf_dir).withColumn("version", F.lit("original"))
     ann = AN.annotate_categories(pairs, loop.WORKING_CATEGORIES, backend=B.SingleAnswerRule(),
                                  store=f"{work}/answers")
     tables.write_annotations(ann, f"{work}/annotations")
@@ -314,7 +323,7 @@ def q_audit_unexpected(spark, sf_dir):
 
 
 def _loop_counts(spark, sf_dir):
-    return loop.run_loop(_with_dataset(_pairs(spark, sf_dir)), detector=B.SingleAnswerRule(),
+    return loop.run_loop(_corpora(spark, sf_dir), detector=B.SingleAnswerRule(),
                          corrector=_corrector(), workdir=scratch_path(spark, "loop"))
 
 
@@ -329,7 +338,7 @@ def q_source_counts(spark, sf_dir):
 
 
 def q_chart_data(spark, sf_dir):
-    return audit.chart_data(_loop_counts(spark, sf_dir), CHART_CATEGORY, [DATASET])
+    return audit.chart_data(_loop_counts(spark, sf_dir), CHART_CATEGORY, DATASETS)
 
 
 QUERIES.update({
