@@ -165,6 +165,10 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT {P}, to_json(quoted)::VARCHAR AS quoted_words FROM "
             f"(SELECT {P}, regexp_extract_all(fol_expression, {q(QUOTED_SPAN_PATTERN)}) AS quoted FROM pairs) "
             "WHERE len(quoted) > 0"),
+        "quoted_terms_documents": (
+            "SELECT doc_id, to_json(quoted)::VARCHAR AS quoted_words FROM "
+            f"(SELECT doc_id, regexp_extract_all(text, {q(QUOTED_SPAN_PATTERN)}) AS quoted FROM documents) "
+            "WHERE len(quoted) > 0"),
         "punctuated_tokens": with_pairs(
             f"SELECT {P}, to_json(pw)::VARCHAR AS punctuated_words FROM "
             f"(SELECT {P}, list_filter(regexp_extract_all(fol_expression, '{NS}'), "
@@ -193,7 +197,7 @@ def render(layout, s: str = "nl_sentence", f: str = "fol_expression") -> str:
 
 
 def key_sql(model: str, digest: str, *inputs: str) -> str:
-    parts = " || ".join(f"chr(1) || sha256({c})" for c in inputs)
+    parts = " || ".join(f"chr(1) || length({c})::VARCHAR || chr(1) || {c}" for c in inputs)
     return f"sha256({q(model)} || chr(1) || {q(digest)} || {parts})"
 
 

@@ -1,10 +1,10 @@
 """The model job: pay once per distinct request, survive failures, resume.
 
 1. A request is identified without building its prompt:
-   ``key = sha256(model \\1 digest \\1 sha256(input_1) \\1 sha256(input_2) ...)``
+   ``key = sha256(model \\1 digest \\1 len(input_1) \\1 input_1 \\1 len(input_2) \\1 input_2 ...)``
    where ``digest`` identifies all constant prompt text (system text included).
-   The parts are fixed-length hex, so the key is unambiguous, and per row
-   only the short inputs are hashed. A null input gives a null key: no call.
+   The lengths make the encoding unambiguous; per row one digest over the
+   short inputs is computed. A null input gives a null key: no call.
 2. Distinct (key, inputs), null keys dropped: a hash aggregate with a map-side
    partial step, so a request shared by a third of all rows still sends one
    row per task to the shuffle.
@@ -40,7 +40,7 @@ SEP = "\u0001"
 def request_key(model: str, digest: str, *inputs: Column) -> Column:
     parts = [F.lit(model), F.lit(SEP), F.lit(digest)]
     for c in inputs:
-        parts += [F.lit(SEP), F.sha2(c, 256)]
+        parts += [F.lit(SEP), F.char_length(c).cast("string"), F.lit(SEP), c]
     return F.sha2(F.concat(*parts), 256)
 
 

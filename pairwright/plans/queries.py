@@ -78,6 +78,11 @@ def q_quoted_terms(spark, sf_dir):
     return df.withColumn("quoted_words", F.to_json("quoted_words"))
 
 
+def q_quoted_terms_documents(spark, sf_dir):
+    df = diagnostics.quoted_terms(_documents(spark, sf_dir), col="text")
+    return df.select("doc_id", F.to_json("quoted_words").alias("quoted_words"))
+
+
 def q_punctuated_tokens(spark, sf_dir):
     df = diagnostics.punctuated_tokens(_pairs(spark, sf_dir))
     return df.withColumn("punctuated_words", F.to_json("punctuated_words"))
@@ -125,6 +130,7 @@ QUERIES = {
     "not_terminated_documents": q_not_terminated_documents,
     "lowercase_diff": q_lowercase_diff,
     "quoted_terms": q_quoted_terms,
+    "quoted_terms_documents": q_quoted_terms_documents,
     "punctuated_tokens": q_punctuated_tokens,
     "punctuated_tokens_documents": q_punctuated_tokens_documents,
     "adverb_matches": q_adverb_matches,
