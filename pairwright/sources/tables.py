@@ -57,8 +57,20 @@ def write_counts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def read_counts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(COUNTS_SCHEMA)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+def read_counts(spark: SparkSession, path: str, fmt: str = "parquet",
+                names: dict[str, str] | None = None) -> DataFrame:
+    """Read a count table. ``names`` maps the file's column names to
+    ``category, dataset, version, n`` for tables filled in by hand."""
+    if names is None:
+        reader = spark.read.schema(COUNTS_SCHEMA)
+        if fmt == "csv":
+            reader = reader.option("header", True)
+        return reader.format(fmt).load(path)
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    raw = reader.format(fmt).load(path)
+    out = {dst: src for src, dst in names.items()}
+    return raw.select(
+        F.col(out["category"]).cast("string").alias("category"),
+        F.col(out["dataset"]).cast("string").alias("dataset"),
+        F.col(out["version"]).cast("string").alias("version"),
+        F.col(out["n"]).cast("bigint").alias("n"))

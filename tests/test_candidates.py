@@ -46,3 +46,9 @@ def test_contains_pushed_to_parquet(spark, pairs, tmp_dir):
 
 def test_missing_category_has_no_prefilter(pairs):
     assert C.candidates(pairs, "missing_category").count() == pairs.count()
+
+
+def test_candidates_are_subsets(pairs):
+    for short in C.PREDICATES:
+        extra = C.candidates(pairs, short).exceptAll(pairs)
+        assert extra.count() == 0, short

@@ -74,3 +74,44 @@ def test_annotation_partitions_dynamic_overwrite(spark, pairs, tmp_dir):
     # partition pruning: the choice is a partition filter of the scan
     explained = spark.sparkContext._jvm.PythonSQLUtils.explainString(only_b._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(dataset" in explained and "(category#" in explained
+
+
+def test_hand_filled_counts_with_own_names(spark, tmp_dir):
+    path = local_fs_path(tmp_dir)
+    os.makedirs(path)
+    with open(os.path.join(path, "counts.csv"), "w", encoding="utf-8") as fh:
+        fh.write("Kategorie,Datensatz,Version,Anzahl\nXOR,A,original,78\nXOR,A,corrected,9\n")
+    df = tables.read_counts(spark, tmp_dir, fmt="csv",
+                            names={"Kategorie": "category", "Datensatz": "dataset",
+                                   "Version": "version", "Anzahl": "n"})
+    assert df.columns == ["category", "dataset", "version", "n"]
+    assert sorted((r.version, r.n) for r in df.collect()) == [("corrected", 9), ("original", 78)]
+
+
+def test_chat_backend_request_shape(monkeypatch):
+    """The HTTP client builds a chat request; the transport is replaced in-process."""
+    import io
+    import urllib.request
+
+    from pairwright.plans.backends import ChatCompletionsBackend
+
+    seen = {}
+
+    class Reply(io.BytesIO):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *exc):
+            return False
+
+    def fake_urlopen(req, timeout=None):
+        seen["url"], seen["body"] = req.full_url, json.loads(req.data.decode("utf-8"))
+        seen["auth"] = req.headers.get("Authorization")
+        return Reply(json.dumps({"choices": [{"message": {"content": "  ok  "}}]}).encode("utf-8"))
+
+    monkeypatch.setattr(urllib.request, "urlopen", fake_urlopen)
+    client = ChatCompletionsBackend("http://model.invalid/v1/chat/completions", "m1", api_key="k")
+    assert client.complete("sys", ["p1"]) == ["  ok  "]
+    assert seen["body"]["temperature"] == 0.0 and seen["body"]["model"] == "m1"
+    assert [m["role"] for m in seen["body"]["messages"]] == ["system", "user"]
+    assert seen["auth"] == "Bearer k"
