@@ -81,3 +81,15 @@ def word_list(words) -> Column:
 def hits_words(tokens: Column, words) -> Column:
     """True if any token equals one of ``words``; null tokens give null."""
     return F.arrays_overlap(tokens, word_list(words))
+
+
+def has_token(c: str | Column, words, lowercase: bool = True) -> Column:
+    """True if a whitespace token of the (lowercased) text equals one of ``words``.
+
+    Same result as comparing the token list, without building it: a token is a
+    maximal run of non-whitespace, so it equals a word exactly when the word
+    sits between whitespace or the text's ends. Null text gives null.
+    """
+    text = F.lower(col_of(c)) if lowercase else col_of(c)
+    alternatives = "|".join(_quote_regex(w) for w in words)
+    return text.rlike(r"(?U)(?:^|\s)(?:" + alternatives + r")(?=\s|$)")

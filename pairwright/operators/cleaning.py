@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.rules import lowercase_position_rule
-from pairwright.functions.text import ALL_ADVERBS, STRIP_CHARS, hits_words, lower_tokens
+from pairwright.functions.text import ALL_ADVERBS, STRIP_CHARS, has_token
 
 NL = "nl_sentence"
 FOL = "fol_expression"
@@ -29,7 +29,7 @@ def lowercase_constants(df: DataFrame, col: str = FOL) -> DataFrame:
 
 def has_adverb(col: str = NL, words=ALL_ADVERBS):
     """Any lowercased whitespace token equals a listed word; ``later.`` is not ``later``."""
-    return hits_words(lower_tokens(col), words)
+    return has_token(col, words)
 
 
 def remove_adverb_sentences(df: DataFrame, col: str = NL, words=ALL_ADVERBS) -> DataFrame:

@@ -11,7 +11,7 @@ from pairwright.functions.text import (
     PUNCTUATION_CLASS,
     QUOTED_SPAN_PATTERN,
     extract_all,
-    hits_words,
+    has_token,
     lower_tokens,
     whitespace_tokens,
 )
@@ -56,7 +56,7 @@ def punctuated_tokens(df: DataFrame, col: str = FOL, out: str = "punctuated_word
 
 def adverb_matches(df: DataFrame, words, col: str = NL) -> DataFrame:
     """Rows whose lowercased whitespace tokens hit one of ``words``."""
-    return df.filter(hits_words(lower_tokens(col), words))
+    return df.filter(has_token(col, words))
 
 
 def adverb_counts(df: DataFrame, groups: dict | None = None, col: str = NL,

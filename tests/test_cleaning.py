@@ -52,3 +52,21 @@ def test_chain_has_no_python_and_filter_first(spark, pairs, tmp_dir):
     assert optimized.index("Filter") > optimized.index("Project")
     assert df.count() == 1800
     assert F is not None
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from pairwright.functions.text import ALL_ADVERBS, has_token, hits_words, lower_tokens  # noqa: E402
+
+_piece = st.sampled_from(["now", "Now", "later.", "later", "often", "soon", "x", "Temporarily", "nowhere",
+                          " ", "  ", "\t", "\n", NBSP, ",", "!", "é", "today's"])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(_piece, max_size=8).map("".join), min_size=1, max_size=30))
+def test_token_regex_equals_token_list(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "s string")
+    a = hits_words(lower_tokens("s"), ALL_ADVERBS)
+    b = has_token("s", ALL_ADVERBS)
+    assert df.filter(~a.eqNullSafe(b)).count() == 0
