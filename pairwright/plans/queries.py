@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import FREQUENCY_ADVERBS
+from pairwright.operators import audit, cleaning, diagnostics
 from pairwright.operators import candidates as C
-from pairwright.operators import cleaning, diagnostics
+from pairwright.operators.indexing import row_index
+from pairwright.operators.sampling import sample_n
+from pairwright.plans import annotate as AN
+from pairwright.plans import backends as B
+from pairwright.plans import loop
+from pairwright.plans import prompts as PR
+from pairwright.plans.model_job import call_model, request_key, strip_answer
 from pairwright.session import ensure_parallelism, scratch_path
+from pairwright.sources import tables
 from pairwright.sources.fixture import load_fixture_pairs
-from pairwright.sources.pairs import read_pairs, write_pairs
+from pairwright.sources.pairs import read_json_pairs, read_pairs, select_pairs, write_pairs
 
 PAIR = ["pair_id", "nl_sentence", "fol_expression"]
 
@@ -143,9 +151,6 @@ QUERIES = {
 
 # --- sampling, index, JSON source, projections ---------------------------------
 
-from pairwright.operators.indexing import row_index  # noqa: E402
-from pairwright.operators.sampling import sample_n  # noqa: E402
-from pairwright.sources.pairs import read_json_pairs, select_pairs  # noqa: E402
 
 SAMPLE_N = 500
 SAMPLE_SEED = 3
@@ -175,8 +180,6 @@ def q_select_pairs(spark, sf_dir):
 
 # --- prompts ------------------------------------------------------------------
 
-from pairwright.plans import prompts as PR  # noqa: E402
-
 
 def q_format_categories(spark, sf_dir):
     df = _pairs(spark, sf_dir)
@@ -202,12 +205,6 @@ def q_prompt_correction(spark, sf_dir):
 
 # --- model job ----------------------------------------------------------------
 
-from pairwright.operators import audit  # noqa: E402
-from pairwright.plans import annotate as AN  # noqa: E402
-from pairwright.plans import backends as B  # noqa: E402
-from pairwright.plans import loop  # noqa: E402
-from pairwright.plans.model_job import call_model, request_key, strip_answer  # noqa: E402
-from pairwright.sources import tables  # noqa: E402
 
 SINGLE_CATEGORY = "wrong_variable_binding"
 SINGLE_SAMPLE_CATEGORY = "neither_nor_translation_error"
@@ -220,10 +217,6 @@ DATASETS = (DATASET, CLEANED_DATASET)
 CHART_CATEGORY = "wrong_variable_binding"
 
 
-def _with_dataset(df):
-    return df.withColumn("dataset", F.lit(DATASET))
-
-
 def _corpora(spark, sf_dir):
     """Two corpora, as in the study: the raw pairs and their rule-cleaned form."""
     raw = _pairs(spark, sf_dir)
