@@ -19,16 +19,24 @@ CORRECTED_SCHEMA = ("pair_id BIGINT, nl_sentence STRING, fol_expression STRING,
 COUNTS_SCHEMA = "category STRING, dataset STRING, version STRING, n BIGINT"
 
 
-def _dynamic_overwrite(df: DataFrame, path: str, parts: list[str]) -> None:
+def _dynamic_overwrite(df: DataFrame, path: str, parts: list[str], rebalance: bool = True) -> None:
+    """Replace only the partition folders present in ``df``.
+
+    ``rebalance`` groups rows by partition value before writing, so each folder
+    gets few files instead of one per task; with AQE a value holding most rows
+    is split over several tasks, and small ones are merged.
+    """
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if rebalance:
+        df = df.hint("rebalance", *parts)
     df.write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
-def write_annotations(df: DataFrame, path: str) -> None:
+def write_annotations(df: DataFrame, path: str, rebalance: bool = True) -> None:
     """Replace only the (dataset, version, category) folders present in ``df``."""
     cols = [c.split(" ")[0] for c in ANNOTATION_SCHEMA.split(", ")]
-    _dynamic_overwrite(df.select(*cols), path, ["dataset", "version", "category"])
+    _dynamic_overwrite(df.select(*cols), path, ["dataset", "version", "category"], rebalance)
 
 
 def read_annotations(spark: SparkSession, path: str, dataset: str | None = None,
@@ -40,9 +48,9 @@ def read_annotations(spark: SparkSession, path: str, dataset: str | None = None,
     return df
 
 
-def write_corrected(df: DataFrame, path: str) -> None:
+def write_corrected(df: DataFrame, path: str, rebalance: bool = True) -> None:
     cols = [c.split(" ")[0] for c in CORRECTED_SCHEMA.split(", ")]
-    _dynamic_overwrite(df.select(*cols), path, ["dataset"])
+    _dynamic_overwrite(df.select(*cols), path, ["dataset"], rebalance)
 
 
 def read_corrected(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
