@@ -3,12 +3,15 @@
 The cleaners and candidate predicates are row-wise, so they apply to a
 streaming DataFrame unchanged (no state, no watermark needed). Model
 annotation runs per micro-batch through ``foreachBatch``: the answer store's
-anti-join makes a replayed batch (after a failure) pay for no key twice.
+anti-join makes a replayed batch (after a failure) pay for no key twice, and
+each batch replaces its own ``batch_id`` folder of the sink, so a replay
+rewrites the batch instead of appending it again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairwright.operators.candidates import candidate_flags
@@ -46,13 +49,15 @@ def write_stream(df: DataFrame, sink: str, checkpoint: str | None = None,
 
 def annotate_stream(stream: DataFrame, category: str, *, backend, store: str, sink: str,
                     checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Design-3 annotation of each micro-batch, appended to ``sink``."""
+    """Design-3 annotation of each micro-batch into ``sink`` (partition ``batch_id``)."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         annotated = annotate_single(batch, category, backend=backend, store=store)
-        annotated.write.mode("append").parquet(sink)
+        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        (annotated.withColumn("batch_id", F.lit(batch_id))
+                  .write.mode("overwrite").partitionBy("batch_id").parquet(sink))
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:
