@@ -10,12 +10,17 @@
    row per task to the shuffle.
 3. ``left_anti`` join with the ``ok`` answers already stored: a rerun only
    pays for keys that have no answer yet.
-4. Only now is the prompt rendered, once per distinct key.
-   ``repartition(concurrency)`` + ``mapInPandas``: the client is opened once
-   per partition, prompts go in batches, bounded retries per batch and then
-   per prompt; a failure becomes ``status='failed'``, not a failed stage.
-5. Append to the answer store (parquet) and read it back before any other
-   use: a lazy model column would be recomputed (and paid) by every action.
+4. Only now is the prompt rendered, once per distinct key, and the pending
+   requests are written to ``<store>/_pending/<run>`` (hidden from readers of
+   the store). This cuts the lineage: a task lost during the calls re-reads
+   this small table instead of recomputing the scan and the deduplication.
+5. ``repartition(concurrency)`` + ``mapInPandas`` per chunk of the key range
+   (``chunks`` jobs, each committed on its own, so a crash loses at most one
+   chunk's calls): the client is opened once per partition, prompts go in
+   batches, bounded retries per batch and then per prompt; a failure becomes
+   ``status='failed'``, not a failed stage. Each chunk is appended to the
+   answer store (parquet), which is read back before any other use: a lazy
+   model column would be recomputed (and paid) by every action.
 6. Equi-join the answers to the rows on ``key``. The planner broadcasts the
    answer table only when its parquet size is under the broadcast threshold;
    otherwise a sort-merge join with AQE skew splitting handles a hot key.
@@ -23,6 +28,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +41,7 @@ from pairwright.session import path_exists, ship_package
 
 ANSWER_SCHEMA = "key STRING, model STRING, answer STRING, status STRING, error STRING, attempts INT"
 SEP = "\u0001"
+HEX = "0123456789abcdef"
 
 
 def request_key(model: str, digest: str, *inputs: Column) -> Column:
@@ -93,8 +100,23 @@ def read_answers(spark, store: str, include_failed: bool = False) -> DataFrame:
     return df.dropDuplicates(["key"])
 
 
+def _key_ranges(chunks: int) -> list[list[str]]:
+    """Split the first hex digit of the key into ``chunks`` ranges (1, 2, 4, 8 or 16)."""
+    if chunks not in (1, 2, 4, 8, 16):
+        raise ValueError("chunks must be 1, 2, 4, 8 or 16")
+    step = 16 // chunks
+    return [list(HEX[i:i + step]) for i in range(0, 16, step)]
+
+
+def _delete(spark, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, model: str | None = None,
-               concurrency: int | None = None, max_retries: int = MAX_RETRIES, batch_size: int = 16) -> DataFrame:
+               concurrency: int | None = None, max_retries: int = MAX_RETRIES, batch_size: int = 16,
+               chunks: int = 1) -> DataFrame:
     """Answer each distinct request once; return the stored answers.
 
     ``requests`` has a ``key`` column followed by the spec's input columns.
@@ -109,10 +131,15 @@ def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, mo
         done = spark.read.schema(ANSWER_SCHEMA).parquet(store).filter(F.col("status") == "ok").select("key")
         todo = todo.join(done, "key", "left_anti")
     todo = todo.select("key", spec.render(*[F.col(c) for c in inputs]).alias("prompt"))
+    pending_path = f"{store}/_pending/{uuid.uuid4().hex}"
+    todo.write.parquet(pending_path)
+    pending = spark.read.schema("key STRING, prompt STRING").parquet(pending_path)
     concurrency = concurrency or spark.sparkContext.defaultParallelism
-    answered = todo.repartition(concurrency).mapInPandas(
-        _caller(backend, spec.system, model, max_retries, batch_size), ANSWER_SCHEMA)
-    answered.write.mode("append").parquet(store)
+    call = _caller(backend, spec.system, model, max_retries, batch_size)
+    for digits in _key_ranges(chunks):
+        part = pending if chunks == 1 else pending.filter(F.substr("key", F.lit(1), F.lit(1)).isin(digits))
+        part.repartition(concurrency).mapInPandas(call, ANSWER_SCHEMA).write.mode("append").parquet(store)
+    _delete(spark, pending_path)
     return read_answers(spark, store)
 
 

@@ -98,3 +98,10 @@ def test_multi_label_answers(spark, pairs, tmp_dir):
             assert r.error_type is None
         else:
             assert r.error_type.startswith("[")
+
+
+def test_chunked_calls_equal_single_job(spark, pairs, tmp_dir):
+    one = AN.annotate_single(pairs, "conjunction", backend=B.SingleAnswerRule(), store=tmp_dir + "-a")
+    many = AN.annotate_single(pairs, "conjunction", backend=B.SingleAnswerRule(), store=tmp_dir + "-b", chunks=4)
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    assert _store_rows(spark, tmp_dir + "-a").count() == _store_rows(spark, tmp_dir + "-b").count()
