@@ -1,9 +1,13 @@
 """The full curation loop: correct, detect again, count before and after.
 
-original pairs ──correct──> corrected table ──promote──> corrected pairs
-      └────────────── detect (one model job over both versions) ──> annotations
+pairs ──correct──> corrected table (original formula + corrected formula)
+                        ├── original version  (fol_expression)
+                        └── corrected version (fol_corrected, promoted)
+                              └── detect (one model job over both) ──> annotations
                                       └──> applies per category × corpus × version
-Before and after are one query: ``version`` is a column, not a second notebook run.
+Before and after are one query: ``version`` is a column, not a second run.
+Both versions are read from the stored corrected table, so the input corpus
+is not computed again for the detection.
 """
 
 from __future__ import annotations
@@ -32,23 +36,24 @@ def correct_and_store(pairs: DataFrame, *, corrector, workdir: str, variant: str
     return tables.read_corrected(pairs.sparkSession, f"{workdir}/corrected")
 
 
-def detect_versions(pairs: DataFrame, corrected: DataFrame, *, detector, workdir: str,
+def detect_versions(corrected: DataFrame, *, detector, workdir: str,
                     categories=WORKING_CATEGORIES) -> DataFrame:
-    """Annotate original and corrected pairs in one job; store and read back."""
+    """Annotate the original and the corrected formulas of a corrected table in
+    one model job; store the annotations and read them back."""
     cols = ["pair_id", "nl_sentence", "fol_expression", "dataset"]
-    original = pairs.select(*cols).withColumn("version", F.lit("original"))
+    original = corrected.select(*cols).withColumn("version", F.lit("original"))
     promoted = promote_corrected(corrected).select(*cols).withColumn("version", F.lit("corrected"))
     both = original.unionByName(promoted)
     annotated = annotate_categories(both, categories, backend=detector, store=f"{workdir}/answers-detection")
     tables.write_annotations(annotated, f"{workdir}/annotations")
-    return tables.read_annotations(pairs.sparkSession, f"{workdir}/annotations")
+    return tables.read_annotations(corrected.sparkSession, f"{workdir}/annotations")
 
 
 def run_loop(pairs: DataFrame, *, detector, corrector, workdir: str,
              categories=WORKING_CATEGORIES) -> DataFrame:
     """Counts of 'applies' answers per category, corpus and version."""
     corrected = correct_and_store(pairs, corrector=corrector, workdir=workdir)
-    annotations = detect_versions(pairs, corrected, detector=detector, workdir=workdir, categories=categories)
+    annotations = detect_versions(corrected, detector=detector, workdir=workdir, categories=categories)
     return applies_counts(annotations)
 
 
