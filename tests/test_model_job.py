@@ -105,3 +105,17 @@ def test_chunked_calls_equal_single_job(spark, pairs, tmp_dir):
     many = AN.annotate_single(pairs, "conjunction", backend=B.SingleAnswerRule(), store=tmp_dir + "-b", chunks=4)
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
     assert _store_rows(spark, tmp_dir + "-a").count() == _store_rows(spark, tmp_dir + "-b").count()
+
+
+def test_category_without_prefilter_takes_all_rows(spark, pairs, tmp_dir):
+    out = AN.annotate_single(pairs, "missing_category", backend=B.SingleAnswerRule(), store=tmp_dir)
+    assert out.count() == pairs.count()
+    with_prompt = pairs.filter(F.col("nl_sentence").isNotNull() & F.col("fol_expression").isNotNull())
+    distinct_pairs = with_prompt.select("nl_sentence", "fol_expression").distinct().count()
+    assert _store_rows(spark, tmp_dir).count() == distinct_pairs
+
+
+def test_other_column_names(spark, pairs, tmp_dir):
+    renamed = pairs.withColumnRenamed("nl_sentence", "s").withColumnRenamed("fol_expression", "f")
+    out = AN.annotate_single(renamed, "xor", backend=B.SingleAnswerRule(), store=tmp_dir, sentence="s", formula="f")
+    assert out.count() == 200 and "error_type" in out.columns
