@@ -21,9 +21,10 @@
    ``status='failed'``, not a failed stage. Each chunk is appended to the
    answer store (parquet), which is read back before any other use: a lazy
    model column would be recomputed (and paid) by every action.
-6. Equi-join the answers to the rows on ``key``. The planner broadcasts the
-   answer table only when its parquet size is under the broadcast threshold;
-   otherwise a sort-merge join with AQE skew splitting handles a hot key.
+6. Equi-join the answers to the rows on ``key``. The answer table is
+   broadcast only when the store's size on disk is under ``broadcast_bytes``
+   (a metadata call, checked every run); beyond it the planner's sort-merge
+   join applies, with AQE splitting a hot key on the row side.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from pairwright.session import path_exists, ship_package
 ANSWER_SCHEMA = "key STRING, model STRING, answer STRING, status STRING, error STRING, attempts INT"
 SEP = "\u0001"
 HEX = "0123456789abcdef"
+# Largest answer store (bytes on disk, compressed parquet) that is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def request_key(model: str, digest: str, *inputs: Column) -> Column:
@@ -108,6 +111,14 @@ def _key_ranges(chunks: int) -> list[list[str]]:
     return [list(HEX[i:i + step]) for i in range(0, 16, step)]
 
 
+def stored_bytes(spark, path: str) -> int:
+    """Bytes on disk under ``path`` (any Hadoop filesystem; metadata only)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return int(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+               .getContentSummary(hpath).getLength())
+
+
 def _delete(spark, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -144,13 +155,16 @@ def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, mo
 
 
 def with_answers(df: DataFrame, spec: PromptSpec, inputs, out: str, *, backend, store: str,
-                 model: str | None = None, **job) -> DataFrame:
+                 model: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, **job) -> DataFrame:
     """``df`` plus column ``out``: the stripped model answer for the prompt made
     from the ``inputs`` columns (null where an input is null or the call failed)."""
+    spark = df.sparkSession
     model = model or backend.name
     inputs = [F.col(c) if isinstance(c, str) else c for c in inputs]
     keyed = df.withColumn("_key", request_key(model, spec.digest, *inputs))
     requests = keyed.select(F.col("_key").alias("key"), *[c.alias(f"_in{i}") for i, c in enumerate(inputs)])
     answers = call_model(requests, spec, backend=backend, store=store, model=model, **job)
     answers = answers.select(F.col("key").alias("_key"), strip_answer(F.col("answer")).alias(out))
+    if stored_bytes(spark, store) <= broadcast_bytes:
+        answers = F.broadcast(answers)
     return keyed.join(answers, "_key", "left").drop("_key")

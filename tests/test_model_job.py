@@ -119,3 +119,17 @@ def test_other_column_names(spark, pairs, tmp_dir):
     renamed = pairs.withColumnRenamed("nl_sentence", "s").withColumnRenamed("fol_expression", "f")
     out = AN.annotate_single(renamed, "xor", backend=B.SingleAnswerRule(), store=tmp_dir, sentence="s", formula="f")
     assert out.count() == 200 and "error_type" in out.columns
+
+
+def test_answer_join_broadcast_only_under_size_check(spark, pairs, tmp_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = AN.annotate_single(pairs, "xor", backend=B.SingleAnswerRule(), store=tmp_dir)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
+        big = AN.annotate_single(pairs, "xor", backend=B.SingleAnswerRule(), store=tmp_dir, broadcast_bytes=0)
+        plan = big._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert small.exceptAll(big).count() == 0 and big.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
