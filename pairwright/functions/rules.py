@@ -27,17 +27,19 @@ from pairwright.functions.text import (
 )
 
 
-def _rewrite_with_set(c: Column, word_set: Column, keep) -> Column:
-    """Join the runs of ``c``; a run ``t`` is lowered where ``keep(set, t)`` is false."""
+def _rewrite_with_set(c: Column, word_set: Column, keep, skip_if_empty: bool = False) -> Column:
+    """Join the runs of ``c``; a run ``t`` is lowered where ``keep(set, t)`` is false.
+
+    With ``skip_if_empty`` a row whose set is empty is returned as is, without
+    splitting it into runs (nothing in it can change).
+    """
     runs = word_gap_runs(c)
-    bound = F.transform(
-        F.array(word_set),
-        lambda s: F.array_join(
-            F.transform(runs, lambda t: F.when(keep(s, t), t).otherwise(lower_first(t))),
-            "",
-        ),
-    )
-    return F.get(bound, 0)
+
+    def rewrite(s):
+        joined = F.array_join(F.transform(runs, lambda t: F.when(keep(s, t), t).otherwise(lower_first(t))), "")
+        return F.when(F.size(s) == 0, c).otherwise(joined) if skip_if_empty else joined
+
+    return F.get(F.transform(F.array(word_set), rewrite), 0)
 
 
 def constant_words(c: str | Column) -> Column:
@@ -55,7 +57,7 @@ def lowercase_position_rule(c: str | Column) -> Column:
     """Rule used by the cleaner: words found in argument position are lowered
     everywhere they occur as whole words (a predicate of the same name too)."""
     c = col_of(c)
-    return _rewrite_with_set(c, constant_words(c), lambda s, t: ~F.array_contains(s, t))
+    return _rewrite_with_set(c, constant_words(c), lambda s, t: ~F.array_contains(s, t), skip_if_empty=True)
 
 
 def lowercase_name_rule(c: str | Column) -> Column:
