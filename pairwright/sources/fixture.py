@@ -44,14 +44,20 @@ def _fill(template, a, b, c):
     return F.replace(F.replace(F.replace(template, F.lit("{A}"), a), F.lit("{B}"), b), F.lit("{C}"), c)
 
 
+def _sql_string(s: str | None) -> str:
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The template array as one SQL expression: one parse instead of a py4j call
+# per literal.
+TEMPLATE_ARRAY_SQL = "inline(array(" + ", ".join(
+    f"named_struct('k', {k}, 'n', {_sql_string(n)}, 'f', {_sql_string(f)})" for k, n, f in TEMPLATES) + "))"
+
+
 def pairs_from_parts(part: DataFrame) -> DataFrame:
     """Explode every part row into the fourteen template pairs."""
-    templates = F.array(*[
-        F.struct(F.lit(k).alias("k"),
-                 F.lit(n).cast("string").alias("n"),
-                 F.lit(f).cast("string").alias("f"))
-        for k, n, f in TEMPLATES
-    ])
     words = part.select(
         "p_partkey",
         _capitalised(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("a"),
@@ -60,7 +66,7 @@ def pairs_from_parts(part: DataFrame) -> DataFrame:
                  F.lower(F.substr("p_type", F.lit(2)))).alias("c"),
     )
     words = ensure_parallelism(words)
-    exploded = words.select("p_partkey", "a", "b", "c", F.inline(templates))
+    exploded = words.select("p_partkey", "a", "b", "c", F.expr(TEMPLATE_ARRAY_SQL))
     return exploded.select(
         (F.col("p_partkey") * 100 + F.col("k")).cast("bigint").alias("pair_id"),
         _fill(F.col("n"), F.col("a"), F.col("b"), F.col("c")).alias("nl_sentence"),
