@@ -115,3 +115,19 @@ def test_chat_backend_request_shape(monkeypatch):
     assert seen["body"]["temperature"] == 0.0 and seen["body"]["model"] == "m1"
     assert [m["role"] for m in seen["body"]["messages"]] == ["system", "user"]
     assert seen["auth"] == "Bearer k"
+
+
+def test_labels_named_in_system_texts_are_in_catalogue():
+    import re
+
+    known = {c["label"] for c in cat.CATALOGUE} | {cat.NO_LABEL}
+    for text in (PR.SYSTEM_MULTI, PR.SYSTEM_SINGLE, PR.SYSTEM_CORRECTION, PR.SYSTEM_CORRECTION_STRICT):
+        for quoted in re.findall(r'\["([a-z_]+)"\]', text):
+            assert quoted in known, quoted
+
+
+def test_example_answers_have_no_full_stop():
+    for c in cat.CATALOGUE:
+        text = PR.single_category_text(c["label"])
+        assert f"Answer: {cat.ANSWER_APPLIES}\n" in text and f"Answer: {cat.ANSWER_NOT_APPLIES}\n" in text
+        assert f"{cat.ANSWER_APPLIES}." not in text
