@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.session import ensure_parallelism
+
 PAIR_COLUMNS = ["pair_id", "nl_sentence", "fol_expression"]
 PAIR_SCHEMA = "pair_id BIGINT, nl_sentence STRING, fol_expression STRING"
 # Field names of the JSON corpus form: {"NL": ..., "FOL": ...}.
@@ -45,11 +47,14 @@ def read_json_pairs(spark: SparkSession, path: str, array_file: bool = False,
                     id_col: str | None = "pair_id") -> DataFrame:
     """Read ``{"NL", "FOL"}`` records, renamed to the pair columns.
 
-    ``array_file=True`` reads files holding one JSON array each; such a file is
-    parsed by a single task, so large corpora should be stored as JSON lines
-    or parquet. Without a ``pair_id`` field in the data, set ``id_col=None``
-    and number the rows with ``operators.indexing.row_index``.
+    ``array_file=True`` reads files holding one JSON array each. Such a file is
+    parsed by a single task, so its records are spread over the cluster right
+    after parsing (large corpora are better stored as JSON lines or parquet).
+    Without a ``pair_id`` field in the data, set ``id_col=None`` and number the
+    rows with ``operators.indexing.row_index``.
     """
     schema = JSON_PAIR_SCHEMA + (f", {id_col} BIGINT" if id_col else "")
     df = spark.read.schema(schema).option("multiLine", array_file).json(path)
+    if array_file:
+        df = ensure_parallelism(df)
     return select_pairs(df)
