@@ -51,7 +51,7 @@ def test_json_array_file_by_name(spark, tmp_dir):
         json.dump([{"NL": "All cats sleep.", "FOL": "∀x (Cat(x) → Sleeps(x))"},
                    {"FOL": "P(a)", "NL": "a is P"}], fh, ensure_ascii=False)
     rows = read_json_pairs(spark, tmp_dir, array_file=True, id_col=None).collect()
-    assert [(r.nl_sentence, r.fol_expression) for r in rows] == [
+    assert sorted((r.nl_sentence, r.fol_expression) for r in rows) == [
         ("All cats sleep.", "∀x (Cat(x) → Sleeps(x))"), ("a is P", "P(a)")]
 
 
