@@ -54,6 +54,39 @@ ANSWER_APPLIES = "error category does apply"
 ANSWER_NOT_APPLIES = "error category does not apply"
 NO_LABEL = "none"
 
+# Prompt layouts: field labels, their order and line breaks. {sentence} and
+# {formula} are the row's pair; the other fields come from the catalogue.
+FEW_SHOT_LAYOUT = (
+    "Sentence: {sentence}\n"
+    "Incorrect Translation: {wrong}\n"
+    "Correct Translation: {right}\n"
+    "Error category: {label}\n\n"
+)
+CATEGORY_LINE_LAYOUT = "- {label}: {description}"
+ROW_LAYOUT_CATALOGUE = "Sentence: {sentence}\nTranslation: {formula}\n\n"
+CATEGORY_BLOCK_LAYOUT = (
+    "Error label: {label}\n"
+    "Instruction: {instruction}\n"
+    "Positive example (correct):\n"
+    "  Sentence: {positive_sentence}\n"
+    "  Formula: {positive_formula}\n"
+    "Negative example (error):\n"
+    "  Sentence: {negative_sentence}\n"
+    "  Formula: {negative_formula}\n"
+)
+BLOCK_EXPLANATION_LAYOUT = "  Explanation: {explanation}\n"
+ROW_LAYOUT_PAIRED = "------------------------------\nSentence:\n{sentence}\n\nFormula:\n{formula}\n\n"
+SINGLE_EXAMPLE_LAYOUT = "Sentence: {sentence}\nFOL: {formula}\nAnswer: {answer}\n\n"
+ROW_LAYOUT_SINGLE = "Example:\nSentence: {sentence}\nFOL: {formula}\nAnswer:"
+CORRECTION_EXAMPLE_LAYOUT = (
+    "Example {number}:\n"
+    "Sentence: {sentence}\n"
+    "Translation: {wrong}\n"
+    "Corrected Translation: {right}\n"
+)
+CORRECTION_EXPLANATION_LAYOUT = "Explanation: {explanation}\n"
+ROW_LAYOUT_CORRECTION = "Example {number}:\nSentence: {sentence}\nTranslation: {formula}\nCorrected Translation:"
+
 # Sampling seeds: designs 1 and 2, design 3.
 SEED_MULTI = 3
 SEED_SINGLE = 42

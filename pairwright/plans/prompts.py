@@ -11,14 +11,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright import fixed_values as FV
 from pairwright.plans import catalogue as cat
 
-SEPARATOR_LINE = "-" * 30
-
 SYSTEM_MULTI = (
     "You check translations of English sentences into first-order logic (FOL). "
     "For the given sentence and formula, decide which of the listed error categories apply. "
@@ -85,38 +85,62 @@ class Layout:
         return sentence, formula
 
 
+# --- rendering helpers ---------------------------------------------------------
+
+def format_column(template: str, **cols: Column) -> Column:
+    """A layout template as a column expression: literals and columns concatenated."""
+    parts = []
+    for literal, field, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            parts.append(cols[field])
+    return F.concat(*parts)
+
+
+def row_layout(template: str, head: str, tail: str, system: str, **constants) -> Layout:
+    """Layout from a row template holding ``{sentence}`` and ``{formula}``:
+    ``head`` goes before the row text, ``tail`` after it."""
+    filled = template.format(sentence="\0S", formula="\0F", **constants)
+    before, rest = filled.split("\0S")
+    middle, after = rest.split("\0F")
+    return Layout(head + before, middle, after + tail, system)
+
+
+def _pair_fields(c: dict) -> dict:
+    neg, pos = c["negative"], c["positive"]
+    return dict(label=c["label"], instruction=c["instruction"], description=c["description"],
+                positive_sentence=pos[0], positive_formula=pos[1],
+                negative_sentence=neg[0], negative_formula=neg[1],
+                explanation=neg[2] if len(neg) > 2 else None)
+
+
 # --- design 1: few-shot examples, the row, then a flat category list ----------
 
 def few_shot_block(entries) -> str:
-    out = []
-    for c in entries:
-        neg, pos = c["negative"], c["positive"]
-        out.append(f"Sentence: {neg[0]}\nIncorrect Translation: {neg[1]}\n"
-                   f"Correct Translation: {pos[1]}\nError category: {c['label']}\n\n")
-    return "".join(out)
+    return "".join(FV.FEW_SHOT_LAYOUT.format(sentence=c["negative"][0], wrong=c["negative"][1],
+                                             right=c["positive"][1], label=c["label"]) for c in entries)
 
 
 def category_list(entries) -> str:
-    return "\n".join(f"- {c['label']}: {c['description']}" for c in entries)
+    return "\n".join(FV.CATEGORY_LINE_LAYOUT.format(**_pair_fields(c)) for c in entries)
 
 
 def layout_catalogue(labels=None, few_shots: bool = True) -> Layout:
     entries = cat.entries(labels)
-    prefix = (few_shot_block(entries) if few_shots else "") + "Sentence: "
-    suffix = ("\n\nDo the sentence and formula above fall into one or more of these error categories?\n\n"
-              + category_list(entries) + "\n\n")
-    return Layout(prefix, "\nTranslation: ", suffix, SYSTEM_MULTI)
+    head = few_shot_block(entries) if few_shots else ""
+    tail = ("Do the sentence and formula above fall into one or more of these error categories?\n\n"
+            + category_list(entries) + "\n\n")
+    return row_layout(FV.ROW_LAYOUT_CATALOGUE, head, tail, SYSTEM_MULTI)
 
 
 # --- design 2: nested category blocks, then the row ---------------------------
 
 def category_block(c: dict) -> str:
-    neg = c["negative"]
-    text = (f"Error label: {c['label']}\nInstruction: {c['instruction']}\n"
-            f"Positive example (correct):\n  Sentence: {c['positive'][0]}\n  Formula: {c['positive'][1]}\n"
-            f"Negative example (error):\n  Sentence: {neg[0]}\n  Formula: {neg[1]}\n")
-    if len(neg) > 2 and neg[2]:
-        text += f"  Explanation: {neg[2]}\n"
+    fields = _pair_fields(c)
+    text = FV.CATEGORY_BLOCK_LAYOUT.format(**fields)
+    if fields["explanation"]:
+        text += FV.BLOCK_EXPLANATION_LAYOUT.format(**fields)
     return text + "\n"
 
 
@@ -128,15 +152,13 @@ def format_categories_text(labels=None) -> str:
 def category_block_column(c: Column) -> Column:
     """The same block, rendered from a catalogue DataFrame row struct ``c``."""
     expl = c["negative"]["explanation"]
-    return F.concat(
-        F.lit("Error label: "), c["label"], F.lit("\nInstruction: "), c["instruction"],
-        F.lit("\nPositive example (correct):\n  Sentence: "), c["positive"]["sentence"],
-        F.lit("\n  Formula: "), c["positive"]["formula"],
-        F.lit("\nNegative example (error):\n  Sentence: "), c["negative"]["sentence"],
-        F.lit("\n  Formula: "), c["negative"]["formula"], F.lit("\n"),
-        F.when(expl.isNotNull() & (expl != ""), F.concat(F.lit("  Explanation: "), expl, F.lit("\n")))
-         .otherwise(F.lit("")),
-        F.lit("\n"))
+    block = format_column(
+        FV.CATEGORY_BLOCK_LAYOUT, label=c["label"], instruction=c["instruction"],
+        positive_sentence=c["positive"]["sentence"], positive_formula=c["positive"]["formula"],
+        negative_sentence=c["negative"]["sentence"], negative_formula=c["negative"]["formula"])
+    explanation = F.when(expl.isNotNull() & (expl != ""),
+                         format_column(FV.BLOCK_EXPLANATION_LAYOUT, explanation=expl)).otherwise(F.lit(""))
+    return F.concat(block, explanation, F.lit("\n"))
 
 
 def catalogue_text(catalogue: DataFrame) -> DataFrame:
@@ -154,12 +176,12 @@ def blocks_for(categories: Column, labels=None) -> Column:
 
 
 def layout_paired(labels=None) -> Layout:
-    prefix = ("Below are common error categories of translations into first-order logic. Each has:\n"
-              "- an instruction that says what to check\n"
-              "- a correct example\n"
-              "- an incorrect example, with an explanation where one is given\n\n"
-              + format_categories_text(labels) + SEPARATOR_LINE + "\nSentence:\n")
-    return Layout(prefix, "\n\nFormula:\n", "\n\n", SYSTEM_MULTI)
+    head = ("Below are common error categories of translations into first-order logic. Each has:\n"
+            "- an instruction that says what to check\n"
+            "- a correct example\n"
+            "- an incorrect example, with an explanation where one is given\n\n"
+            + format_categories_text(labels))
+    return row_layout(FV.ROW_LAYOUT_PAIRED, head, "", SYSTEM_MULTI)
 
 
 # --- design 3: one category, its examples, then the row ----------------------
@@ -167,15 +189,15 @@ def layout_paired(labels=None) -> Layout:
 def single_category_text(label: str) -> str:
     (c,) = cat.entries([label])
     pos, neg = c["positive"], c["negative"]
-    return (f"Check whether the following error category applies to the last pair.\n\n"
+    return ("Check whether the following error category applies to the last pair.\n\n"
             f"Error category: {c['description']} {c['instruction']}\n\n"
-            f"Examples:\n\n"
-            f"Sentence: {pos[0]}\nFOL: {pos[1]}\nAnswer: {cat.ANSWER_NOT_APPLIES}\n\n"
-            f"Sentence: {neg[0]}\nFOL: {neg[1]}\nAnswer: {cat.ANSWER_APPLIES}\n\n")
+            "Examples:\n\n"
+            + FV.SINGLE_EXAMPLE_LAYOUT.format(sentence=pos[0], formula=pos[1], answer=cat.ANSWER_NOT_APPLIES)
+            + FV.SINGLE_EXAMPLE_LAYOUT.format(sentence=neg[0], formula=neg[1], answer=cat.ANSWER_APPLIES))
 
 
 def layout_single(label: str) -> Layout:
-    return Layout(single_category_text(label) + "Example:\nSentence: ", "\nFOL: ", "\nAnswer:", SYSTEM_SINGLE)
+    return row_layout(FV.ROW_LAYOUT_SINGLE, single_category_text(label), "", SYSTEM_SINGLE)
 
 
 def _all_labels(labels=None):
@@ -225,11 +247,9 @@ def layout_correction(variant: str = "examples", labels=None) -> Layout:
     examples = correction_examples(explained, labels)
     head = ("You are given sentences with translations into first-order logic. Find wrong translations "
             "and correct them, following the examples.\n\n")
-    body = ""
-    for i, (s, wrong, right, why) in enumerate(examples, start=1):
-        body += f"Example {i}:\nSentence: {s}\nTranslation: {wrong}\nCorrected Translation: {right}\n"
+    for number, (sentence, wrong, right, why) in enumerate(examples, start=1):
+        head += FV.CORRECTION_EXAMPLE_LAYOUT.format(number=number, sentence=sentence, wrong=wrong, right=right)
         if why:
-            body += f"Explanation: {why}\n"
-        body += "\n"
-    return Layout(head + body + f"Example {len(examples) + 1}:\nSentence: ", "\nTranslation: ",
-                  "\nCorrected Translation:", system)
+            head += FV.CORRECTION_EXPLANATION_LAYOUT.format(explanation=why)
+        head += "\n"
+    return row_layout(FV.ROW_LAYOUT_CORRECTION, head, "", system, number=len(examples) + 1)
