@@ -168,3 +168,18 @@ def with_answers(df: DataFrame, spec: PromptSpec, inputs, out: str, *, backend,
     if stored_bytes(spark, store) <= broadcast_bytes:
         answers = F.broadcast(answers)
     return keyed.join(answers, "_key", "left").drop("_key")
+
+
+def compact_answers(spark, store: str, out: str) -> DataFrame:
+    """Rewrite an answer store with one row per key into ``out``.
+
+    An ``ok`` answer wins over failed attempts; a key that only failed keeps
+    one failed row, so a later run still retries it. Both steps combine
+    map-side before their shuffle; the result is read back from ``out``.
+    """
+    df = spark.read.schema(ANSWER_SCHEMA).parquet(store)
+    ok = df.filter(F.col("status") == "ok").dropDuplicates(["key"])
+    failed = (df.filter(F.col("status") != "ok").join(ok.select("key"), "key", "left_anti")
+                .dropDuplicates(["key"]))
+    ok.unionByName(failed).write.parquet(out)
+    return spark.read.schema(ANSWER_SCHEMA).parquet(out)

@@ -133,3 +133,14 @@ def test_answer_join_broadcast_only_under_size_check(spark, pairs, tmp_dir):
         assert small.exceptAll(big).count() == 0 and big.count() == 200
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_compact_answers(spark, tmp_dir):
+    from pairwright.plans.model_job import compact_answers
+
+    rows = [("a", "m", "x", "ok", None, 1), ("a", "m", "x", "ok", None, 1), ("a", "m", None, "failed", "e", 3),
+            ("b", "m", None, "failed", "e", 3), ("b", "m", None, "failed", "e", 3), ("c", "m", "y", "ok", None, 2)]
+    spark.createDataFrame(rows, ANSWER_SCHEMA).write.parquet(tmp_dir)
+    out = compact_answers(spark, tmp_dir, tmp_dir + "-compact")
+    got = sorted((r.key, r.status) for r in out.collect())
+    assert got == [("a", "ok"), ("b", "failed"), ("c", "ok")]
