@@ -26,11 +26,10 @@ def _dynamic_overwrite(df: DataFrame, path: str, parts: list[str], rebalance: bo
     gets few files instead of one per task; with AQE a value holding most rows
     is split over several tasks, and small ones are merged.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     if rebalance:
         df = df.hint("rebalance", *parts)
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*parts).parquet(path))
 
 
 def write_annotations(df: DataFrame, path: str, rebalance: bool = True) -> None:

@@ -55,9 +55,9 @@ def annotate_stream(stream: DataFrame, category: str, *, backend, store: str, si
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         annotated = annotate_single(batch, category, backend=backend, store=store)
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         (annotated.withColumn("batch_id", F.lit(batch_id))
-                  .write.mode("overwrite").partitionBy("batch_id").parquet(sink))
+                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy("batch_id").parquet(sink))
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -64,6 +64,8 @@ def test_csv_round_trip_quotes_and_newlines(spark, tmp_dir):
 
 
 def test_annotation_partitions_dynamic_overwrite(spark, pairs, tmp_dir):
+    # the writer asks for dynamic overwrite itself, whatever the session default
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
     base = pairs.limit(10).withColumns({"error_type": F.lit("x"), "dataset": F.lit("d"), "version": F.lit("original")})
     tables.write_annotations(base.withColumn("category", F.lit("a")), tmp_dir)
     tables.write_annotations(base.withColumn("category", F.lit("b")), tmp_dir)
@@ -74,6 +76,7 @@ def test_annotation_partitions_dynamic_overwrite(spark, pairs, tmp_dir):
     # partition pruning: the choice is a partition filter of the scan
     explained = spark.sparkContext._jvm.PythonSQLUtils.explainString(only_b._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(dataset" in explained and "(category#" in explained
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
 
 def test_hand_filled_counts_with_own_names(spark, tmp_dir):
