@@ -48,6 +48,7 @@ def annotate_categories(df: DataFrame, categories, *, backend, store: str, out:
     """Design 3 for several categories in one model job: each row is paired with
     every listed category it is a candidate for (column ``category``)."""
     labels = [C.label_of(c) for c in categories]
+    P.cat.entries(labels)  # raises KeyError for a label outside the catalogue
     flagged = F.array_compact(F.array(*[
         F.when(C.predicate(lab, formula, sentence), F.lit(lab)) if lab in C.LABEL_TO_SHORT else F.lit(lab)
         for lab in labels]))

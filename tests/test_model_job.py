@@ -144,3 +144,12 @@ def test_compact_answers(spark, tmp_dir):
     out = compact_answers(spark, tmp_dir, tmp_dir + "-compact")
     got = sorted((r.key, r.status) for r in out.collect())
     assert got == [("a", "ok"), ("b", "failed"), ("c", "ok")]
+
+
+def test_unknown_category_is_rejected(pairs, tmp_dir):
+    import pytest
+
+    with pytest.raises(KeyError):
+        AN.annotate_categories(pairs, ["no_such_category"], backend=B.SingleAnswerRule(), store=tmp_dir)
+    with pytest.raises(KeyError):
+        AN.annotate_single(pairs, "no_such_category", backend=B.SingleAnswerRule(), store=tmp_dir)
