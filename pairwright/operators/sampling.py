@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairwright.fixed_values import SEED_MULTI
 
 # Top-k is used while n * input partitions stays under this many rows.
-TOPK_MERGE_ROWS = 2_000_000
+TOPK_MERGE_ROWS = 100_000
 SELECT_BUCKETS = 1024
 
 
