@@ -64,7 +64,9 @@ def adverb_counts(df: DataFrame, groups: dict | None = None, col: str = NL,
     """Rows per adverb and per adverb group (``word`` null on a group row).
 
     Each row contributes its distinct hits, so a plain partial/final count is
-    exact and a frequent word never gathers its rows in one task.
+    exact and a frequent word never gathers its rows in one task. Rows without
+    any listed word contribute nothing, so a single regex test drops them
+    before any tokenizing.
     """
     groups = groups or ADVERB_GROUPS
     lookup = F.create_map(*[x for g, ws in groups.items() for w in ws for x in (F.lit(w), F.lit(g))])
@@ -76,6 +78,7 @@ def adverb_counts(df: DataFrame, groups: dict | None = None, col: str = NL,
         F.array_distinct(F.transform(hits, lambda w: lookup[w])),
         lambda g: F.struct(g.alias("adverb_group"), F.lit(None).cast("string").alias("word")))
     keys = [dataset_col] if dataset_col else []
-    return (df.select(*keys, F.explode(F.concat(per_word, per_group)).alias("hit"))
+    return (df.filter(has_token(col, words))
+              .select(*keys, F.explode(F.concat(per_word, per_group)).alias("hit"))
               .groupBy(*keys, "hit.adverb_group", "hit.word")
               .agg(F.count(F.lit(1)).alias("n_rows")))
