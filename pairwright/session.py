@@ -40,8 +40,9 @@ def build_session(master: str = "local[8]", app: str = "pairwright",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is taken as is. Only
-    where it is unset (local tests) is a fresh local folder made and set.
+    On a cluster this setting names shared storage and is taken as is; a
+    cluster without it is an error. Only in local mode with the setting unset
+    (tests) is a fresh local folder made and set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # A machine-local folder is unreadable for executors on other hosts.
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairwright-ckpt-"))
     return sc.getCheckpointDir()
 
