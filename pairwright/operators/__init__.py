@@ -1 +1 @@
-"""DataFrame -> DataFrame operators of the curation pipeline."""
+"""DataFrame -> DataFrame operators for curating pair corpora."""
