@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.fixed_values import SEED_MULTI, SEED_SINGLE
 from pairwright.functions.text import FREQUENCY_ADVERBS
 from pairwright.operators import audit, cleaning, diagnostics
 from pairwright.operators import candidates as C
@@ -153,7 +154,7 @@ QUERIES = {
 
 
 SAMPLE_N = 500
-SAMPLE_SEED = 3
+SAMPLE_SEED = SEED_MULTI
 
 
 def q_sample_n(spark, sf_dir):
@@ -209,7 +210,7 @@ def q_prompt_correction(spark, sf_dir):
 SINGLE_CATEGORY = "wrong_variable_binding"
 SINGLE_SAMPLE_CATEGORY = "neither_nor_translation_error"
 SINGLE_SAMPLE_N = 300
-SINGLE_SAMPLE_SEED = 42
+SINGLE_SAMPLE_SEED = SEED_SINGLE
 MULTI_N = 500
 DATASET = "parts"
 CLEANED_DATASET = "parts_cleaned"
