@@ -134,3 +134,17 @@ def test_example_answers_have_no_full_stop():
         text = PR.single_category_text(c["label"])
         assert f"Answer: {cat.ANSWER_APPLIES}\n" in text and f"Answer: {cat.ANSWER_NOT_APPLIES}\n" in text
         assert f"{cat.ANSWER_APPLIES}." not in text
+
+
+def test_block_column_without_explanation_equals_python(spark):
+    from pyspark.sql import functions as F
+
+    entry = dict(cat.CATALOGUE[3])
+    entry["negative"] = entry["negative"][:2]
+    rows = [(0, entry["label"], entry["description"], entry["instruction"],
+             {"sentence": entry["positive"][0], "formula": entry["positive"][1]},
+             {"sentence": entry["negative"][0], "formula": entry["negative"][1], "explanation": None})]
+    df = spark.createDataFrame(rows, cat.CATALOGUE_SCHEMA)
+    got = df.select(PR.category_block_column(F.struct(*df.columns)).alias("b")).first().b
+    assert got == PR.category_block(entry)
+    assert PR.catalogue_text(df).first().text == PR.category_block(entry)
