@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from pairwright.llm import bpe, langid
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -12,6 +15,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """(rank file, split pattern) of the public tokenizer; PAIRWRIGHT_RANKS names another file."""
+    import public_tokenizers
+
+    return os.environ.get("PAIRWRIGHT_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark, sf_dir):
+    """Byte-level BPE ids of every whole text, decoded again."""
+    return bpe.digests(documents(spark, sf_dir), *tokenizer_files())
+
+
+def op9_language_id(spark, sf_dir):
+    """Language of every whole text by hyperdimensional profiles."""
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark, sf_dir):
     """Secret spans of every whole text: fixed patterns and entropy windows."""
     return scan_secrets(documents(spark, sf_dir))
@@ -23,6 +43,8 @@ def op10_byte_shards(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op10_byte_shards": op10_byte_shards,
 }
