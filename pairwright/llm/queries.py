@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import bpe, langid
+from pairwright.llm import bpe, langid, near_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -22,6 +22,11 @@ def tokenizer_files() -> tuple[str, str]:
     return os.environ.get("PAIRWRIGHT_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_minhash_odd_sketch(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark, sf_dir):
     """Byte-level BPE ids of every whole text, decoded again."""
     return bpe.digests(documents(spark, sf_dir), *tokenizer_files())
@@ -43,6 +48,7 @@ def op10_byte_shards(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op3_byte_bpe": op3_byte_bpe,
     "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
