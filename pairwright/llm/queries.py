@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, langid, near_dedup
+from pairwright.llm import bpe, decontaminate, langid, near_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -32,6 +33,12 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), *tokenizer_files())
 
 
+def op8_cgk_decontamination(spark, sf_dir):
+    """Benchmark items found in whole documents: one row for each document and item, none for clean ones."""
+    hits = decontaminate.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.withColumn("kept", F.lit(False))
+
+
 def op9_language_id(spark, sf_dir):
     """Language of every whole text by hyperdimensional profiles."""
     return langid.identify(documents(spark, sf_dir))
@@ -50,6 +57,7 @@ def op10_byte_shards(spark, sf_dir):
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op10_byte_shards": op10_byte_shards,

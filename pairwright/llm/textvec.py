@@ -87,13 +87,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Word spans of a slab, with the row that each belongs to."""
+    """Word spans of a slab, with the row that each belongs to.
+
+    ``gap`` says which bytes part the words.
+    """
 
     __slots__ = ("starts", "ends", "row", "first")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE):
         rows = len(offsets) - 1
-        inside = ~IS_SPACE[raw]
+        inside = ~gap[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(raw), bool)
