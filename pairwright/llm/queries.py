@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, decontaminate, langid, near_dedup
+from pairwright.llm import bpe, decontaminate, langid, near_dedup, quality
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -28,6 +28,11 @@ def op1_minhash_odd_sketch(spark, sf_dir):
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
+def op2_perplexity_bands(spark, sf_dir):
+    """Base statistics and perplexity bands of every whole text."""
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark, sf_dir):
     """Byte-level BPE ids of every whole text, decoded again."""
     return bpe.digests(documents(spark, sf_dir), *tokenizer_files())
@@ -56,6 +61,7 @@ def op10_byte_shards(spark, sf_dir):
 
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+    "op2_perplexity_bands": op2_perplexity_bands,
     "op3_byte_bpe": op3_byte_bpe,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_language_id": op9_language_id,
