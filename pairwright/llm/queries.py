@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, decontaminate, langid, near_dedup, quality
+from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, quality
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -38,6 +38,11 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), *tokenizer_files())
 
 
+def op5_context_tree_weighting(spark, sf_dir):
+    """Context-tree-weighting and word-count scores of every whole text."""
+    return ctw.score_texts(documents(spark, sf_dir))
+
+
 def op8_cgk_decontamination(spark, sf_dir):
     """Benchmark items found in whole documents: one row for each document and item, none for clean ones."""
     hits = decontaminate.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_perplexity_bands": op2_perplexity_bands,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_context_tree_weighting": op5_context_tree_weighting,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
