@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, quality
+from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, pii, quality
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -43,6 +43,11 @@ def op5_context_tree_weighting(spark, sf_dir):
     return ctw.score_texts(documents(spark, sf_dir))
 
 
+def op7_boosted_pii(spark, sf_dir):
+    """Personal data spans of every whole text: base patterns and boosted candidates."""
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op8_cgk_decontamination(spark, sf_dir):
     """Benchmark items found in whole documents: one row for each document and item, none for clean ones."""
     hits = decontaminate.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_perplexity_bands": op2_perplexity_bands,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_context_tree_weighting": op5_context_tree_weighting,
+    "op7_boosted_pii": op7_boosted_pii,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
