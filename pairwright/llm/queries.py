@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, pii, quality
+from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, pii, quality, suffix_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -43,6 +43,11 @@ def op5_context_tree_weighting(spark, sf_dir):
     return ctw.score_texts(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    """Every whole text without the bytes of its repeated 200-byte strings."""
+    return suffix_dedup.removal_digests(documents(spark, sf_dir))
+
+
 def op7_boosted_pii(spark, sf_dir):
     """Personal data spans of every whole text: base patterns and boosted candidates."""
     return pii.find_pii(documents(spark, sf_dir))
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_perplexity_bands": op2_perplexity_bands,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_context_tree_weighting": op5_context_tree_weighting,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_boosted_pii": op7_boosted_pii,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_language_id": op9_language_id,
