@@ -397,9 +397,9 @@ def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans of every row."""
-    ranges = repeated_ranges(docs, id_col, text_col)
+    ranges = repeated_ranges(docs, id_col, text_col, group_limit)
     per_text = ranges.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).checkpoint()
     joined = _squeezed(docs, id_col, text_col).join(per_text, "digest", "left").select("doc_id", "z", "ranges")
     id_type = dict(joined.dtypes)["doc_id"]
@@ -426,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(run, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    out = remove_repeats(docs, id_col, text_col)
+    out = remove_repeats(docs, id_col, text_col, group_limit)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
