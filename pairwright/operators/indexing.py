@@ -3,7 +3,9 @@
 1. Range-partition on (key, tiebreak); the tiebreak spreads repeated keys.
 2. Sort within partitions and ``checkpoint()`` to the shared checkpoint
    folder: the partition a row landed in is now fixed data (range bounds are
-   sampled anew by every job, so without this the numbering can break).
+   sampled anew by every job, so without this the numbering can break). The
+   files go with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``
+   in our sessions).
 3. Rows per partition (one small aggregate), running offsets over those few
    rows, and a broadcast join back (its size is the partition count).
 4. Position inside a partition comes from ``monotonically_increasing_id``,
@@ -26,10 +28,11 @@ def row_index(df: DataFrame, order_col: str = "pair_id", name: str = "row", star
     spark = df.sparkSession
     checkpoint_root(spark)
     cols = df.columns
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number the planner sizes the partitions from the data at run time.
+    parts = (num_partitions,) if num_partitions else ()
     tiebreak = F.xxhash64(*[F.col(c) for c in cols])
     laid = (df.withColumn("_tb", tiebreak)
-              .repartitionByRange(parts, F.col(order_col), F.col("_tb"))
+              .repartitionByRange(*parts, F.col(order_col), F.col("_tb"))
               .sortWithinPartitions(order_col, "_tb")
               .checkpoint(eager=True))
     placed = laid.select(

@@ -1,11 +1,17 @@
 """Exact, seeded sample of n rows without replacement.
 
-Rows are ranked by ``md5(id || '#' || seed)`` (ties by id), which gives the
-same rows on any partitioning and in any engine with md5. For small
-``n * partitions`` Spark's top-k (``TakeOrderedAndProject``) is used: each
-task keeps n rows and one task merges them. Past that bound the n-th key is
-found by a few bucket-count passes over a numeric prefix of the rank, so no
-task ever holds more than a bounded band of rows.
+Rows are ranked by ``md5(id || '#' || seed)``, then id, then a hash of the
+whole row, which gives the same rows on any partitioning and in any engine
+with md5. A null id ranks by the md5 of ``#seed`` alone, so rows without an id
+take part like all others.
+
+The n-th rank is found by counting: the ranks alone are written to the scratch
+folder once, and a few passes over that narrow table count them in at most
+``SELECT_BUCKETS`` equal bands, each time going into the band that holds the
+n-th. Rows below the last band are taken by a filter; only the last band (at
+most ``band_rows`` rows) is sorted. Where more rows than that share one rank,
+the same is done over the hash of the row; rows equal in both are equal rows,
+and the missing number of them is made from one.
 """
 
 from __future__ import annotations
@@ -14,14 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.fixed_values import SEED_MULTI
+from pairwright.session import scratch_path
 
-# Top-k is used while n * input partitions stays under this many rows.
-TOPK_MERGE_ROWS = 100_000
 SELECT_BUCKETS = 1024
+#: Rows of the last band, which one task sorts.
+BAND_ROWS = 100_000
+_TOP = (1 << 60) - 1
 
 
 def sample_rank(id_col: str = "pair_id", seed: int = SEED_MULTI) -> Column:
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"#{seed}")))
 
 
 def _rank_prefix(rank: Column) -> Column:
@@ -30,49 +38,50 @@ def _rank_prefix(rank: Column) -> Column:
     return F.conv(F.substr(rank, F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
-def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_id",
-             strict: bool = False, topk_merge_rows: int = TOPK_MERGE_ROWS) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows; ``strict=True`` raises if n exceeds the rows."""
-    if n < 0:
-        raise ValueError("n must be >= 0")
-    rank = sample_rank(id_col, seed)
-    cols = df.columns
-    if strict:
-        total = df.count()
-        if n > total:
-            raise ValueError(f"cannot sample {n} rows from {total}")
-    if n * max(1, df.rdd.getNumPartitions()) <= topk_merge_rows:
-        return df.orderBy(rank, F.col(id_col)).limit(n)
-    return _select_by_threshold(df, n, rank, id_col, cols, topk_merge_rows)
-
-
-def _select_by_threshold(df, n, rank, id_col, cols, band_rows):
-    keyed = df.withColumns({"_rank": rank, "_h": _rank_prefix(rank)})
-    total = keyed.count()
-    if n >= total:
-        return df
-    lo, hi = 0, (1 << 60) - 1          # current band [lo, hi] of the prefix
-    below = 0                          # rows with prefix < lo, all taken
-    need = n
+def _nth_band(ranks: DataFrame, col: str, need: int, band_rows: int) -> tuple[int, int, int, int]:
+    """(low, high, rows in the band, still needed of it) of the band of ``col`` with the need-th row."""
+    lo, hi = 0, _TOP
     while True:
-        band = keyed.filter((F.col("_h") >= lo) & (F.col("_h") <= hi))
         width = (hi - lo) // SELECT_BUCKETS + 1
-        counts = (band.groupBy(((F.col("_h") - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b"))
-                      .count().collect())            # at most SELECT_BUCKETS rows
-        counts = sorted((r["b"], r["count"]) for r in counts)
+        band = ranks.where(F.col(col).between(lo, hi)).select(F.expr(f"({col} - {lo}) div {width}").alias("b"))
         run = 0
-        for b, c in counts:
+        for b, c in sorted((r["b"], r["count"]) for r in band.groupBy("b").count().collect()):
             if run + c >= need:
                 break
             run += c
-        new_lo = lo + b * width
-        new_hi = min(hi, new_lo + width - 1)
-        below += run
-        need -= run
-        lo, hi = new_lo, new_hi
+        lo, need = lo + b * width, need - run
+        hi = min(hi, lo + width - 1)
         if c <= band_rows or lo == hi:
-            break
-    taken = keyed.filter(F.col("_h") < lo).select(*cols)
-    edge = (keyed.filter((F.col("_h") >= lo) & (F.col("_h") <= hi))
-                 .orderBy("_rank", id_col).limit(need).select(*cols))
-    return taken.unionByName(edge)
+            return lo, hi, c, need
+
+
+def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_id",
+             strict: bool = False, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows; ``strict=True`` raises if n exceeds the rows."""
+    if n < 0:
+        raise ValueError("n must be >= 0")
+    spark, cols = df.sparkSession, df.columns
+    rank = sample_rank(id_col, seed)
+    keyed = df.withColumns({"_rank": rank, "_h": _rank_prefix(rank), "_t": F.xxhash64(*cols).bitwiseAND(F.lit(_TOP))})
+    path = scratch_path(spark, "sample-ranks")
+    keyed.select("_h", "_t").write.parquet(path)
+    ranks = spark.read.schema("_h BIGINT, _t BIGINT").parquet(path)
+    total = ranks.count()
+    if strict and n > total:
+        raise ValueError(f"cannot sample {n} rows from {total}")
+    if n >= total:
+        return df
+    if n == 0:
+        return df.where("false")
+    lo, hi, size, need = _nth_band(ranks, "_h", n, band_rows)
+    taken = keyed.where(F.col("_h") < lo)
+    band = keyed.where(F.col("_h").between(lo, hi))
+    if size > band_rows:
+        t_lo, t_hi, size, need = _nth_band(ranks.where(F.col("_h") == lo), "_t", need, band_rows)
+        taken = taken.unionByName(band.where(F.col("_t") < t_lo))
+        band = band.where(F.col("_t").between(t_lo, t_hi))
+    if size > band_rows:
+        edge = band.limit(1).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(need))))
+    else:
+        edge = band.orderBy("_rank", id_col, "_t").limit(need)
+    return taken.select(*cols).unionByName(edge.select(*cols))
