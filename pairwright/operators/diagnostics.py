@@ -26,32 +26,29 @@ def not_terminated(df: DataFrame, col: str = NL) -> DataFrame:
 
 
 def lowercase_diff(df: DataFrame, col: str = FOL, out: str = "fol_modified") -> DataFrame:
-    """Rows the name-based lowercase rule would change, old and new side by side."""
-    return (df.withColumn(out, lowercase_name_rule(col))
-              .filter(F.col(col) != F.col(out)))
+    """Rows the name-based lowercase rule would change, old and new side by side.
 
+    The rewritten text is bound once: it is the element of a one-entry array
+    that is kept where it differs and exploded. A filter on a computed column
+    would be moved below the computation and run it a second time.
+    """
+    changed = F.filter(F.array(lowercase_name_rule(col)), lambda new: new != F.col(col))
+    return df.select("*", F.explode(changed).alias(out))
 
-def quoted_terms(df: DataFrame, col: str = FOL, out: str = "quoted_words") -> DataFrame:
-    """Rows with at least one quoted span, the spans listed in ``out``.
 
-    A text without any quote character cannot hold a span, so a plain
-    character test runs first and only the remaining texts are scanned by the
-    span pattern.
-    """
-    return (df.filter(F.col(col).rlike("[\"`´']"))
-              .withColumn(out, extract_all(col, QUOTED_SPAN_PATTERN))
-              .filter(F.size(out) > 0))
+def quoted_terms(df: DataFrame, col: str = FOL, out: str = "quoted_words") -> DataFrame:
+    """Rows with at least one quoted span, the spans listed in ``out``."""
+    return df.filter(F.col(col).rlike(QUOTED_SPAN_PATTERN)).withColumn(out, extract_all(col, QUOTED_SPAN_PATTERN))
 
 
 def punctuated_tokens(df: DataFrame, col: str = FOL, out: str = "punctuated_words") -> DataFrame:
     """Rows with a whitespace token holding ``- : ; ! ?``, those tokens in ``out``.
 
     None of these characters is whitespace, so a text holds such a token
-    exactly when it holds the character: that test runs before tokenizing.
+    exactly when it holds the character: that test alone decides.
     """
     tokens = F.filter(whitespace_tokens(col), lambda t: t.rlike(PUNCTUATION_CLASS))
-    return (df.filter(F.col(col).rlike(PUNCTUATION_CLASS))
-              .withColumn(out, tokens).filter(F.size(out) > 0))
+    return df.filter(F.col(col).rlike(PUNCTUATION_CLASS)).withColumn(out, tokens)
 
 
 def adverb_matches(df: DataFrame, words, col: str = NL) -> DataFrame:

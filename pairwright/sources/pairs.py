@@ -8,7 +8,7 @@ order inferred fields alphabetically, which swaps the two columns).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.session import ensure_parallelism
@@ -19,21 +19,49 @@ PAIR_SCHEMA = "pair_id BIGINT, nl_sentence STRING, fol_expression STRING"
 JSON_PAIR_SCHEMA = "NL STRING, FOL STRING"
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet",
-               schema: str = PAIR_SCHEMA, **options) -> DataFrame:
-    """Read a pair table (parquet, csv, orc or json lines) with a fixed schema."""
+# Exact text round trip: nothing is trimmed, a null is the mark \\N, and an
+# empty text is "". Line breaks inside a text are written as \\n and \\r and
+# backslashes doubled, so a file can be split between tasks at any line.
+CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "\\N", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _escape(c: str) -> Column:
+    out = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _unescape(c: str) -> Column:
+    # The pieces between doubled backslashes hold no other backslash than a line break's.
+    pieces = F.split(F.col(c), r"\\\\")
+    back = F.transform(pieces, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(back, "\\")
+
+
+def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = PAIR_SCHEMA,
+               escaped: bool = True, **options) -> DataFrame:
+    """Read a pair table (parquet, csv, orc or json lines) with a fixed schema.
+
+    CSV written by ``write_pairs`` splits between tasks. For foreign CSV files
+    with raw line breaks inside quotes pass ``escaped=False, multiLine=True``
+    (then each file is one task).
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.format(fmt).load(path).select(*PAIR_COLUMNS)
+        reader = reader.options(**CSV_OPTIONS | {"emptyValue": ""})
+    df = reader.options(**options).format(fmt).load(path).select(*PAIR_COLUMNS)
+    if fmt == "csv" and escaped:
+        df = df.withColumns({c: _unescape(c) for c in PAIR_COLUMNS[1:]})
+    return df
 
 
 def write_pairs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    writer = df.select(*PAIR_COLUMNS).write.mode(mode).format(fmt)
+    df = df.select(*PAIR_COLUMNS)
+    if fmt == "csv":
+        df = df.withColumns({c: _escape(c) for c in PAIR_COLUMNS[1:]})
+    writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV_OPTIONS)
     writer.save(path)
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.sources.pairs import CSV_OPTIONS
+
 ANNOTATION_SCHEMA = ("pair_id BIGINT, nl_sentence STRING, fol_expression STRING, error_type STRING, "
                      "dataset STRING, version STRING, category STRING")
 CORRECTED_SCHEMA = ("pair_id BIGINT, nl_sentence STRING, fol_expression STRING, fol_corrected STRING, "
@@ -47,7 +49,9 @@ def read_annotations(spark: SparkSession, path: str, dataset: str | None = None,
     return df
 
 
-def write_corrected(df: DataFrame, path: str, rebalance: bool = True) -> None:
+def write_corrected(df: DataFrame, path: str, rebalance: bool = False) -> None:
+    """Replace the corpora present in ``df``. A table has few corpora, so every
+    task writes its rows where they are, without a shuffle of the texts."""
     cols = [c.split(" ")[0] for c in CORRECTED_SCHEMA.split(", ")]
     _dynamic_overwrite(df.select(*cols), path, ["dataset"], rebalance)
 
@@ -60,7 +64,7 @@ def read_corrected(spark: SparkSession, path: str, dataset: str | None = None) -
 def write_counts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.select("category", "dataset", "version", F.col("n").cast("bigint")).write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
 
 
@@ -71,7 +75,7 @@ def read_counts(spark: SparkSession, path: str, fmt: str = "parquet",
     if names is None:
         reader = spark.read.schema(COUNTS_SCHEMA)
         if fmt == "csv":
-            reader = reader.option("header", True)
+            reader = reader.options(**CSV_OPTIONS | {"emptyValue": ""})
         return reader.format(fmt).load(path)
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     raw = reader.format(fmt).load(path)

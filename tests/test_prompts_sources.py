@@ -31,6 +31,8 @@ def test_layout_split_round_trip(spark):
         df = spark.createDataFrame([("A b, c.", "∀x P(x)")], "nl_sentence string, fol_expression string")
         prompt = df.select(layout.render().alias("p")).first().p
         assert layout.split(prompt) == ("A b, c.", "∀x P(x)")
+        back = spark.createDataFrame([(prompt,)], "p string").select(*layout.parts("p")).first()
+        assert tuple(back) == ("A b, c.", "∀x P(x)")
 
 
 def test_correction_example_number_follows_list():
@@ -56,11 +58,13 @@ def test_json_array_file_by_name(spark, tmp_dir):
 
 
 def test_csv_round_trip_quotes_and_newlines(spark, tmp_dir):
-    rows = [(1, 'He said "no",\nthen left.', "Said(he, 'no')"), (2, None, "")]
+    rows = [(1, 'He said "no",\nthen left.', "Said(he, 'no')"), (2, None, ""), (3, "  edges  ", "\\N"), (4, "a\\nb\\\\\r\n", "\\"),
+            (5, "", "\t"), (6, '"', '""'), (7, "#x", "a,b")]
     df = spark.createDataFrame(rows, "pair_id bigint, nl_sentence string, fol_expression string")
     write_pairs(df, tmp_dir, fmt="csv")
-    back = sorted(read_pairs(spark, tmp_dir, fmt="csv").collect())
-    assert back[0].nl_sentence == rows[0][1] and back[0].fol_expression == rows[0][2]
+    assert sorted(map(tuple, read_pairs(spark, tmp_dir, fmt="csv").collect())) == rows
+    # Files split between tasks at any line.
+    assert "multiLine" not in str(read_pairs(spark, tmp_dir, fmt="csv")._jdf.queryExecution().logical())
 
 
 def test_annotation_partitions_dynamic_overwrite(spark, pairs, tmp_dir):
@@ -114,11 +118,22 @@ def test_chat_backend_request_shape(monkeypatch):
 
     monkeypatch.setattr(urllib.request, "urlopen", fake_urlopen)
     client = ChatCompletionsBackend("http://model.invalid/v1/chat/completions", "m1", api_key="k")
-    assert client.complete("sys", ["p1"]) == ["  ok  "]
+    assert client.complete("sys", ["p1"]) == ["  ok  "] and client.timeout == 120.0
     assert seen["body"]["temperature"] == 0.0 and seen["body"]["model"] == "m1"
     assert [m["role"] for m in seen["body"]["messages"]] == ["system", "user"]
     assert seen["auth"] == "Bearer k"
 
+    def broken(req, timeout=None):
+        if b"p2" in req.data:
+            raise OSError("refused")
+        return fake_urlopen(req, timeout)
+
+    monkeypatch.setattr(urllib.request, "urlopen", broken)
+    monkeypatch.setenv("MODEL_KEY", "from-env")
+    client = ChatCompletionsBackend("http://model.invalid/v1/chat/completions", "m1", api_key_env="MODEL_KEY")
+    good, bad = client.complete("sys", ["p1", "p2"])
+    assert good == "  ok  " and isinstance(bad, OSError) and seen["auth"] == "Bearer from-env"
+
 
 def test_labels_named_in_system_texts_are_in_catalogue():
     import re
