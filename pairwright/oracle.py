@@ -134,8 +134,12 @@ def _docs(body: str) -> str:
     return body.replace("{docs}", "documents")
 
 
+def adverb_cases() -> str:
+    return " ".join(f"WHEN word IN ({', '.join(q(w) for w in ws)}) THEN {q(g)}" for g, ws in ADVERB_GROUPS.items())
+
+
 def _adverb_counts_sql() -> str:
-    cases = " ".join(f"WHEN word IN ({', '.join(q(w) for w in ws)}) THEN {q(g)}" for g, ws in ADVERB_GROUPS.items())
+    cases = adverb_cases()
     return with_pairs(
         "SELECT adverb_group, word, count(*)::BIGINT AS n_rows FROM grp GROUP BY adverb_group, word\n"
         "UNION ALL\n"
@@ -192,8 +196,65 @@ def oracle_queries() -> dict[str, str]:
 
 # --- prompts and the model job ---------------------------------------------------
 
-def render(layout, s: str = "nl_sentence", f: str = "fol_expression") -> str:
-    return f"({q(layout.prefix)} || {s} || {q(layout.middle)} || {f} || {q(layout.suffix)})"
+# The expected prompt texts, written out here on their own: only the catalogue's
+# entries (data) are shared with the code under test.
+
+def _split(text: str) -> tuple[str, str, str]:
+    """Text before the sentence, between it and the formula, and after."""
+    before, rest = text.split("<S>")
+    middle, after = rest.split("<F>")
+    return before, middle, after
+
+
+def _block(c) -> str:
+    why = f"  Explanation: {c['negative'][2]}\n" if len(c["negative"]) > 2 else ""
+    return (f"Error label: {c['label']}\nInstruction: {c['instruction']}\n"
+            f"Positive example (correct):\n  Sentence: {c['positive'][0]}\n  Formula: {c['positive'][1]}\n"
+            f"Negative example (error):\n  Sentence: {c['negative'][0]}\n  Formula: {c['negative'][1]}\n{why}\n")
+
+
+def text_catalogue() -> str:
+    from pairwright.plans import catalogue as cat
+    shots = "".join(f"Sentence: {c['negative'][0]}\nIncorrect Translation: {c['negative'][1]}\n"
+                    f"Correct Translation: {c['positive'][1]}\nError category: {c['label']}\n\n" for c in cat.CATALOGUE[:13])
+    lines = "\n".join(f"- {c['label']}: {c['description']}" for c in cat.CATALOGUE[:13])
+    return f"{shots}Sentence: <S>\nTranslation: <F>\n\nLabels to choose from, with what each one means:\n\n{lines}\n\n"
+
+
+def text_paired() -> str:
+    from pairwright.plans import catalogue as cat
+    return ("Catalogue. Every entry shows one sentence twice: the first formula states it, the second has the error.\n\n"
+            + "".join(_block(c) for c in cat.CATALOGUE[:13])
+            + "------------------------------\nSentence:\n<S>\n\nFormula:\n<F>\n\n")
+
+
+def text_single(label: str) -> str:
+    from pairwright.plans import catalogue as cat
+    c = next(c for c in cat.CATALOGUE if c["label"] == label)
+    return (f"Error category: {c['description']} {c['instruction']}\n\nTwo answered pairs, then the pair to judge:\n\n"
+            f"Sentence: {c['positive'][0]}\nFOL: {c['positive'][1]}\nAnswer: error category does not apply\n\n"
+            f"Sentence: {c['negative'][0]}\nFOL: {c['negative'][1]}\nAnswer: error category does apply\n\n"
+            "Example:\nSentence: <S>\nFOL: <F>\nAnswer:")
+
+
+def text_correction(explained: bool = False) -> str:
+    from pairwright.plans import catalogue as cat
+    out = "Repaired formulas, one error each. The last entry is open.\n\n"
+    for k, c in enumerate(cat.CATALOGUE[:13], 1):
+        out += f"Example {k}:\nSentence: {c['negative'][0]}\nTranslation: {c['negative'][1]}\nCorrected Translation: {c['positive'][1]}\n"
+        out += f"Explanation: {c['negative'][2]}\n" if explained and len(c["negative"]) > 2 else ""
+        out += "\n"
+    return out + "Example 14:\nSentence: <S>\nTranslation: <F>\nCorrected Translation:"
+
+
+def render(text: str, s: str = "nl_sentence", f: str = "fol_expression") -> str:
+    before, middle, after = _split(text)
+    return f"({q(before)} || {s} || {q(middle)} || {f} || {q(after)})"
+
+
+def digest_sql(system: str, text: str) -> str:
+    import hashlib
+    return hashlib.sha256("\u0001".join([system, *_split(text)]).encode()).hexdigest()
 
 
 def key_sql(model: str, digest: str, *inputs: str) -> str:
@@ -230,11 +291,9 @@ def sample_sql(src: str, n: int, seed: int) -> str:
 
 def single_prompt_sql(category: str = "category") -> str:
     from pairwright.plans import catalogue as cat
-    from pairwright.plans import prompts as PR
-    whens = " ".join(f"WHEN {q(c['label'])} THEN {q(PR.layout_single(c['label']).prefix)}" for c in cat.CATALOGUE)
-    any_layout = PR.layout_single(cat.CATALOGUE[0]["label"])
-    return (f"((CASE {category} {whens} END) || nl_sentence || {q(any_layout.middle)} || fol_expression "
-            f"|| {q(any_layout.suffix)})")
+    whens = " ".join(f"WHEN {q(c['label'])} THEN {q(_split(text_single(c['label']))[0])}" for c in cat.CATALOGUE)
+    _, middle, after = _split(text_single("missing_category"))
+    return f"((CASE {category} {whens} END) || nl_sentence || {q(middle)} || fol_expression || {q(after)})"
 
 
 def flagged_working(categories) -> str:
@@ -248,10 +307,11 @@ def oracle_model_queries() -> dict[str, str]:
     from pairwright.plans import prompts as PR
     from pairwright.plans import queries as QQ
 
-    single = PR.layout_single(QQ.SINGLE_CATEGORY)
+    single = text_single(QQ.SINGLE_CATEGORY)
+    single_key = key_sql('rule-single', digest_sql(PR.SYSTEM_SINGLE, single), 'nl_sentence', 'fol_expression')
     single_ann = (f"SELECT {P}, {strip_sql(single_rule(render(single)))} AS error_type "
                   f"FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}")
-    corr = PR.layout_correction()
+    corr = text_correction()
     corrected = (f"SELECT {P}, fol_corrected, fol_expression = fol_corrected AS is_equal FROM "
                  f"(SELECT *, {strip_sql(corrector_rule(render(corr)))} AS fol_corrected FROM pairs)")
     corpora = (f"corpora AS (SELECT {P}, {q(QQ.DATASET)} AS dataset FROM pairs UNION ALL "
@@ -271,8 +331,8 @@ def oracle_model_queries() -> dict[str, str]:
         f"counts AS (SELECT category, dataset, version, count(*)::BIGINT AS n FROM detected "
         f"WHERE error_type = {q(cat.ANSWER_APPLIES)} GROUP BY category, dataset, version)",
     )
-    multi = (lambda layout: with_pairs(
-        f"SELECT {P}, {strip_sql(multi_rule(render(layout)))} AS error_type FROM sampled",
+    multi = (lambda text: with_pairs(
+        f"SELECT {P}, {strip_sql(multi_rule(render(text)))} AS error_type FROM sampled",
         f"sampled AS ({sample_sql('pairs', QQ.MULTI_N, QQ.SAMPLE_SEED)})"))
     pre_ann = (f"SELECT {P}, dataset, 'original' AS version, category, "
                f"{strip_sql(single_rule(single_prompt_sql()))} AS error_type FROM "
@@ -284,27 +344,61 @@ def oracle_model_queries() -> dict[str, str]:
         "select_pairs": with_pairs(f"SELECT {P} FROM pairs"),
         "format_categories": with_pairs(
             "SELECT pair_id, array_to_string(list_transform(" + category_array() + ", lambda c: CASE c "
-            + " ".join(f"WHEN {q(c['label'])} THEN {q(PR.category_block(c))}" for c in cat.entries())
+            + " ".join(f"WHEN {q(c['label'])} THEN {q(_block(c))}" for c in cat.entries())
             + " ELSE '' END), '') AS categories_text FROM pairs"),
-        "prompt_catalogue": with_pairs(f"SELECT pair_id, {render(PR.layout_catalogue())} AS prompt FROM pairs"),
-        "prompt_paired": with_pairs(f"SELECT pair_id, {render(PR.layout_paired())} AS prompt FROM pairs"),
+        "prompt_catalogue": with_pairs(f"SELECT pair_id, {render(text_catalogue())} AS prompt FROM pairs"),
+        "prompt_paired": with_pairs(f"SELECT pair_id, {render(text_paired())} AS prompt FROM pairs"),
         "prompt_single": with_pairs(
             f"SELECT pair_id, category, {single_prompt_sql()} AS prompt FROM "
             f"(SELECT *, unnest({category_array()}) AS category FROM pairs)"),
         "prompt_correction": with_pairs(f"SELECT pair_id, {render(corr)} AS prompt FROM pairs"),
         "model_call": with_pairs(
-            f"SELECT DISTINCT {key_sql('rule-single', single.spec().digest, 'nl_sentence', 'fol_expression')} AS key, "
+            f"SELECT DISTINCT {single_key} AS key, "
             f"{strip_sql(single_rule('prompt'))} AS answer, 'ok' AS status FROM "
             f"(SELECT nl_sentence, fol_expression, {render(single)} AS prompt FROM pairs "
             f"WHERE {pred(QQ.SINGLE_CATEGORY)}) WHERE prompt IS NOT NULL"),
         "annotate_single": with_pairs(single_ann),
+        "pending_requests": with_pairs(
+            f"SELECT DISTINCT {single_key} AS key, {render(single)} AS prompt FROM pairs "
+            f"WHERE {pred(QQ.SINGLE_CATEGORY)} AND nl_sentence IS NOT NULL AND fol_expression IS NOT NULL"),
+        "import_answers": with_pairs(
+            f"SELECT {P}, CASE WHEN {single_key} >= '1' AND {single_key} < '8' THEN {strip_sql(single_rule(render(single)))} END AS error_type "
+            f"FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}"),
+        "request_status": with_pairs(
+            "SELECT CASE WHEN key < '1' THEN 'failed' WHEN key < '8' THEN 'ok' ELSE 'pending' END AS status, count(*)::BIGINT AS n "
+            f"FROM (SELECT DISTINCT {single_key} AS key FROM pairs WHERE {pred(QQ.SINGLE_CATEGORY)}) WHERE key IS NOT NULL GROUP BY 1"),
+        "source_parquet_pairs": with_pairs(f"SELECT {P} FROM pairs"),
+        "source_json_array_pairs": with_pairs(f"SELECT {P} FROM pairs"),
+        "sample_n_repeated_ids": (
+            f"SELECT coalesce(pair_id::VARCHAR, 'none') AS sampled_id FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id // 3 END AS pair_id FROM documents) "
+            f"ORDER BY md5(coalesce(pair_id::VARCHAR, '') || '#{QQ.SAMPLE_SEED}'), pair_id LIMIT (SELECT count(*) - 1 FROM documents)"),
+        "prompt_single_unfiltered": with_pairs(
+            f"SELECT pair_id, category, {single_prompt_sql()} AS prompt FROM "
+            f"(SELECT *, unnest({str_list(QQ.UNFILTERED)}) AS category FROM pairs)"),
+        "prompt_correction_explained": with_pairs(f"SELECT pair_id, {render(text_correction(True))} AS prompt FROM pairs"),
+        "prompt_correction_strict": with_pairs(f"SELECT pair_id, {render(text_correction())} AS prompt FROM pairs"),
+        "catalogue_text": with_pairs(
+            "SELECT pair_id, array_to_string(list_transform(cats, lambda c: CASE c "
+            + " ".join(f"WHEN {q(c['label'])} THEN {q(_block(c))}" for c in cat.entries())
+            + f" ELSE '' END), '') AS categories_text FROM (SELECT pair_id, {category_array()} AS cats FROM pairs) WHERE len(cats) > 0"),
+        "candidate_counts_by_version": with_pairs(
+            f"SELECT dataset, version, category, count(*)::BIGINT AS n FROM "
+            f"(SELECT dataset, version, unnest({category_array()}) AS category FROM both_versions) GROUP BY ALL", *loop_ctes[:3]),
+        "adverb_counts_by_corpus": with_pairs(
+            "SELECT dataset, adverb_group, word, count(*)::BIGINT AS n_rows FROM grp GROUP BY ALL\n"
+            "UNION ALL\n"
+            "SELECT dataset, adverb_group, NULL::VARCHAR AS word, count(DISTINCT pair_id)::BIGINT AS n_rows FROM grp GROUP BY dataset, adverb_group",
+            corpora,
+            f"hits AS (SELECT dataset, pair_id, unnest(list_distinct(list_filter({lower_tokens('nl_sentence')}, "
+            f"lambda t: list_contains({str_list(ALL_ADVERBS)}, t)))) AS word FROM corpora)",
+            f"grp AS (SELECT dataset, pair_id, word, CASE {adverb_cases()} END AS adverb_group FROM hits)"),
         "annotate_single_sample": with_pairs(
-            f"SELECT {P}, {strip_sql(single_rule(render(PR.layout_single(QQ.SINGLE_SAMPLE_CATEGORY))))} AS error_type "
+            f"SELECT {P}, {strip_sql(single_rule(render(text_single(QQ.SINGLE_SAMPLE_CATEGORY))))} AS error_type "
             f"FROM sampled",
             f"cands AS (SELECT * FROM pairs WHERE {pred(QQ.SINGLE_SAMPLE_CATEGORY)})",
             f"sampled AS ({sample_sql('cands', QQ.SINGLE_SAMPLE_N, QQ.SINGLE_SAMPLE_SEED)})"),
-        "annotate_multi": multi(PR.layout_catalogue()),
-        "annotate_multi_paired": multi(PR.layout_paired()),
+        "annotate_multi": multi(text_catalogue()),
+        "annotate_multi_paired": multi(text_paired()),
         "correct_pairs": with_pairs(corrected),
         "is_equal": with_pairs(f"SELECT pair_id, is_equal FROM ({corrected})"),
         "write_corrected": with_pairs(corrected_corpora, corpora),

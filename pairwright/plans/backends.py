@@ -1,101 +1,33 @@
-"""Model backends for the model job.
+"""Model clients for the model job.
 
-A backend has ``complete(system, prompts) -> answers`` (one answer per prompt,
-same order) and may have ``open()``, called once per partition on the
-executor before the first call. Backends are plain picklable objects.
-
-The rule backends are deterministic stand-ins for tests and benchmarks; their
-rules can be mirrored in SQL, so a model job can be checked end to end.
+A client has ``complete(system, prompts)``, which returns an answer or an
+exception for each prompt in order, and may have ``open()``, called once per
+partition on the executor before the first call. Clients are plain picklable
+objects. Models that answer whole tables are ``model_job.AnswerExchange``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
+import os
 import urllib.request
 
-from pairwright.fixed_values import MAX_RETRIES, NEITHER_WORD, ONE_LETTER_WORD, TEMPERATURE  # noqa: F401
-from pairwright.plans import catalogue as cat
-from pairwright.plans.prompts import Layout
-
-
-class SingleAnswerRule:
-    """First hex digit of md5(prompt): 0-7 applies, 8-d does not apply,
-    e is the first answer with a trailing full stop, f is "none"."""
-
-    name = "rule-single"
-
-    def complete(self, system: str, prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            d = int(hashlib.md5(p.encode("utf-8")).hexdigest()[0], 16)
-            if d <= 7:
-                out.append(cat.ANSWER_APPLIES)
-            elif d <= 13:
-                out.append(cat.ANSWER_NOT_APPLIES)
-            elif d == 14:
-                out.append(cat.ANSWER_APPLIES + ".")
-            else:
-                out.append(cat.NO_LABEL)
-        return out
-
-
-def rule_labels(sentence: str, formula: str) -> list[str]:
-    """Candidate labels of a pair in catalogue order (the prefilters, in Python)."""
-    hits = {
-        "overgeneralization": formula.count("∀") >= 2,
-        "wrong_variable_binding": "," in formula,
-        "free_variable_error": re.search(ONE_LETTER_WORD, formula) is not None,
-        "biconditional_instead_implication": "↔" in formula,
-        "conjunction_instead_implication": "∧" in formula,
-        "invalid_xor_usage": formula.count("⊕") >= 2,
-        "global_negation_error": formula.startswith("¬"),
-        "missing_condition_negation": "→" in formula,
-        "wrong_negation_scope": formula.count("¬") >= 2 and "→" in formula,
-        "neither_nor_translation_error": re.search(NEITHER_WORD, sentence) is not None,
-    }
-    return [label for label in cat.CATEGORY_LABELS if hits.get(label)]
-
-
-class MultiLabelRule:
-    """JSON list of the pair's candidate labels, ``["none"]`` if there are none."""
-
-    name = "rule-multi"
-
-    def __init__(self, layout: Layout):
-        self.layout = layout
-
-    def complete(self, system: str, prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            labels = rule_labels(*self.layout.split(p)) or [cat.NO_LABEL]
-            out.append(json.dumps(labels, separators=(",", ":")))
-        return out
-
-
-class CorrectorRule:
-    """Returns the formula with every ``∀y`` turned into ``∃y``."""
-
-    name = "rule-corrector"
-
-    def __init__(self, layout: Layout):
-        self.layout = layout
-
-    def complete(self, system: str, prompts: list[str]) -> list[str]:
-        return [self.layout.split(p)[1].replace("∀y", "∃y") for p in prompts]
+from pairwright.fixed_values import TEMPERATURE
 
 
 class ChatCompletionsBackend:
     """Client for an HTTP chat-completions endpoint (JSON in, JSON out).
 
     ``url`` is the full endpoint, ``api_key`` is sent as a bearer token.
-    One request per prompt; the model job adds retries and status columns.
+    One request per prompt; a prompt that fails gives its exception in place of
+    an answer, and the model job calls it again. ``api_key_env`` names the
+    environment variable that holds the key on the executors, so the key itself
+    never travels with the job.
     """
 
     def __init__(self, url: str, model: str, api_key: str | None = None,
-                 temperature: float = TEMPERATURE, timeout: float | None = None):
-        self.url, self.name, self.api_key = url, model, api_key
+                 temperature: float = TEMPERATURE, timeout: float = 120.0, api_key_env: str | None = None):
+        self.url, self.name, self.api_key, self.api_key_env = url, model, api_key, api_key_env
         self.temperature, self.timeout = temperature, timeout
 
     def _one(self, system: str, prompt: str) -> str:
@@ -106,12 +38,19 @@ class ChatCompletionsBackend:
                          {"role": "user", "content": prompt}],
         }).encode("utf-8")
         headers = {"Content-Type": "application/json"}
-        if self.api_key:
-            headers["Authorization"] = f"Bearer {self.api_key}"
+        key = os.environ.get(self.api_key_env) if self.api_key_env else self.api_key
+        if key:
+            headers["Authorization"] = f"Bearer {key}"
         req = urllib.request.Request(self.url, data=body, headers=headers, method="POST")
         with urllib.request.urlopen(req, timeout=self.timeout) as resp:
             data = json.loads(resp.read().decode("utf-8"))
         return data["choices"][0]["message"]["content"]
 
-    def complete(self, system: str, prompts: list[str]) -> list[str]:
-        return [self._one(system, p) for p in prompts]
+    def complete(self, system: str, prompts: list[str]) -> list[str | Exception]:
+        out: list[str | Exception] = []
+        for p in prompts:
+            try:
+                out.append(self._one(system, p))
+            except Exception as exc:  # noqa: BLE001 - belongs to this prompt alone
+                out.append(exc)
+        return out

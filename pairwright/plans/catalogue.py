@@ -20,90 +20,90 @@ from pairwright.fixed_values import (  # noqa: F401
 
 CATALOGUE = [
     dict(label="missing_category",
-         description="The formula leaves out the general class that the sentence is about.",
-         instruction="Check that the broadest class named in the sentence appears as a predicate.",
-         positive=("Every red car is fast.", "∀x ((Car(x) ∧ Red(x)) → Fast(x))"),
-         negative=("Every red car is fast.", "∀x (Red(x) → Fast(x))", "The class Car is missing.")),
+         description="The kind of thing a statement is restricted to has no predicate in the formula.",
+         instruction="Name the nouns that restrict the statement and find a predicate for each.",
+         positive=("Wooden bridges on the river creak.", "∀b (Bridge(b) → ((Wooden(b) ∧ OnRiver(b)) → Creaks(b)))"),
+         negative=("Wooden bridges on the river creak.", "∀b ((Wooden(b) ∧ OnRiver(b)) → Creaks(b))",
+                   "Wooden rafts would have to creak as well; Bridge is gone.")),
     dict(label="overgeneralization",
-         description="A universal quantifier (∀) stands where an existential one (∃) is meant, so the formula claims more than the sentence.",
-         instruction="Look for a second ∀ that should be an ∃.",
-         positive=("Some dogs chase every cat.", "∃x ∀y (Dog(x) ∧ (Cat(y) → Chases(x, y)))"),
-         negative=("Some dogs chase every cat.", "∀x ∀y ((Dog(x) ∧ Cat(y)) → Chases(x, y))",
-                   "The outer ∀ turns some dogs into all dogs.")),
+         description="A statement about at least one thing became a statement about each thing.",
+         instruction="For each ∀ ask which word of the sentence speaks of all things.",
+         positive=("One lamp lights all rooms.", "∃k (Lamp(k) ∧ ¬∃r (Room(r) ∧ ¬Lights(k, r)))"),
+         negative=("One lamp lights all rooms.", "∀k ∀r (Lamp(k) → (Room(r) → Lights(k, r)))",
+                   "Read aloud, each lamp lights each room.")),
     dict(label="wrong_variable_binding",
-         description="Variables are bound to the wrong quantifier or swapped between argument roles.",
-         instruction="Check that each variable fills the role the sentence gives it.",
-         positive=("Every nurse treats some patient.", "∀x (Nurse(x) → ∃y (Patient(y) ∧ Treats(x, y)))"),
-         negative=("Every nurse treats some patient.", "∀x (Nurse(x) → ∃y (Patient(y) ∧ Treats(y, x)))",
-                   "The arguments of Treats are swapped.")),
+         description="An argument place holds a variable that stands for someone else.",
+         instruction="Fill each argument place with the noun its quantifier introduced and read the result.",
+         positive=("A key that fits a lock opens it.", "∀k ∀l (Key(k) → (Lock(l) → (Fits(k, l) → Opens(k, l))))"),
+         negative=("A key that fits a lock opens it.", "∀k ∀l (Key(k) → (Lock(l) → (Fits(k, l) → Opens(l, k))))",
+                   "In the last atom the lock opens the key.")),
     dict(label="free_variable_error",
-         description="A variable occurs without a quantifier that binds it.",
-         instruction="Check that every variable is bound by ∀ or ∃.",
-         positive=("Every painter owns a brush.", "∀x (Painter(x) → ∃y (Brush(y) ∧ Owns(x, y)))"),
-         negative=("Every painter owns a brush.", "∀x (Painter(x) → (Brush(y) ∧ Owns(x, y)))",
-                   "The variable y is never bound.")),
+         description="Some variable has no quantifier in front of it.",
+         instruction="Draw a line from each variable to its quantifier; none may stay without.",
+         positive=("No ferry sails in a storm.", "¬∃f ∃s (Ferry(f) ∧ Storm(s) ∧ SailsIn(f, s))"),
+         negative=("No ferry sails in a storm.", "¬∃f (Ferry(f) ∧ Storm(s) ∧ SailsIn(f, s))",
+                   "Nothing introduces s.")),
     dict(label="biconditional_instead_implication",
-         description="A biconditional (↔) is used where the sentence states a one-way condition (→).",
-         instruction="Check that ↔ is only used for 'if and only if'.",
-         positive=("If it rains, the street is wet.", "Rains → Wet(street)"),
-         negative=("If it rains, the street is wet.", "Rains ↔ Wet(street)",
-                   "The sentence does not say that a wet street means rain.")),
+         description="The formula claims both directions although the sentence claims one.",
+         instruction="Turn the sentence round; if the turned one was not said, ↔ is too strong.",
+         positive=("Tickets bought online are cheaper.", "∀t ((Ticket(t) ∧ Online(t)) → Cheaper(t))"),
+         negative=("Tickets bought online are cheaper.", "∀t (Ticket(t) → (Online(t) ↔ Cheaper(t)))",
+                   "Cheap tickets from the counter are ruled out by the formula only.")),
     dict(label="conjunction_instead_implication",
-         description="A conjunction (∧) joins a condition and its consequence that should be linked by an implication (→).",
-         instruction="Check that universal statements use → between condition and consequence.",
-         positive=("All owls hunt at night.", "∀x (Owl(x) → HuntsAtNight(x))"),
-         negative=("All owls hunt at night.", "∀x (Owl(x) ∧ HuntsAtNight(x))",
-                   "The formula says that everything is an owl.")),
+         description="What should follow from a condition is stated next to it with ∧.",
+         instruction="Under ∀, a noun and what is said of it are linked by →.",
+         positive=("Whatever glitters attracts magpies.", "∀g ∀m ((Glitters(g) ∧ Magpie(m)) → Attracts(g, m))"),
+         negative=("Whatever glitters attracts magpies.", "∀g ∀m (Glitters(g) ∧ Magpie(m) ∧ Attracts(g, m))",
+                   "Now everything glitters and everything is a magpie.")),
     dict(label="invalid_xor_usage",
-         description="Exclusive or (⊕) is chained over more than two options, which does not mean exactly one of them.",
-         instruction="Check chains of ⊕ with three or more options.",
-         positive=("A ticket is red, green or blue, and only one of them.",
-                   "∀x (Ticket(x) → ((Red(x) ∧ ¬Green(x) ∧ ¬Blue(x)) ∨ (¬Red(x) ∧ Green(x) ∧ ¬Blue(x)) ∨ (¬Red(x) ∧ ¬Green(x) ∧ Blue(x))))"),
-         negative=("A ticket is red, green or blue, and only one of them.",
-                   "∀x (Ticket(x) → (Red(x) ⊕ Green(x) ⊕ Blue(x)))",
-                   "A chain of ⊕ is also true when all three hold.")),
+         description="Three or more alternatives are strung together with ⊕, which counts odd numbers rather than one.",
+         instruction="Count the alternatives between ⊕ signs; two is the most that works.",
+         positive=("The switch stands at low, mid or high, never at two of them.",
+                   "(Low(switch) ∨ Mid(switch) ∨ High(switch)) ∧ ¬(Low(switch) ∧ Mid(switch)) ∧ ¬(Low(switch) ∧ High(switch)) ∧ ¬(Mid(switch) ∧ High(switch))"),
+         negative=("The switch stands at low, mid or high, never at two of them.", "Low(switch) ⊕ Mid(switch) ⊕ High(switch)",
+                   "Low, mid and high together satisfy this formula.")),
     dict(label="missing_parentheses",
-         description="Missing or misplaced brackets change how the connectives group.",
-         instruction="Check that brackets group the connectives as the sentence does.",
-         positive=("Every student who reads or writes passes.", "∀x ((Student(x) ∧ (Reads(x) ∨ Writes(x))) → Passes(x))"),
-         negative=("Every student who reads or writes passes.", "∀x (Student(x) ∧ Reads(x) ∨ Writes(x) → Passes(x))",
-                   "Without brackets the disjunction groups wrongly.")),
+         description="The formula groups its parts in another way than the sentence does.",
+         instruction="Put back all brackets by precedence and compare the groups with the sentence.",
+         positive=("If the alarm rings or smoke appears, the hall empties.", "(Rings(alarm) ∨ ∃s Smoke(s)) → Empties(hall)"),
+         negative=("If the alarm rings or smoke appears, the hall empties.", "Rings(alarm) ∨ (∃s Smoke(s) → Empties(hall))",
+                   "A ringing alarm alone makes the formula true, whatever the hall does.")),
     dict(label="global_negation_error",
-         description="The whole formula is negated although the sentence negates only a part of it.",
-         instruction="Check a leading ¬ against what the sentence denies.",
-         positive=("Some guests do not dance.", "∃x (Guest(x) ∧ ¬Dances(x))"),
-         negative=("Some guests do not dance.", "¬∃x (Guest(x) ∧ Dances(x))",
-                   "The sentence does not say that no guest dances.")),
+         description="A denial of one part was moved in front of everything.",
+         instruction="Find the words that are denied and see whether ¬ covers more than them.",
+         positive=("Several boats lack a sail.", "∃b ∃c (Boat(b) ∧ Boat(c) ∧ ¬Same(b, c) ∧ ¬HasSail(b) ∧ ¬HasSail(c))"),
+         negative=("Several boats lack a sail.", "¬∃b ∃c (Boat(b) ∧ Boat(c) ∧ ¬Same(b, c) ∧ HasSail(b) ∧ HasSail(c))",
+                   "This limits the boats with a sail and leaves open whether any lacks one.")),
     dict(label="missing_condition_negation",
-         description="The condition of an implication lacks a negation that the sentence requires.",
-         instruction="Check that a negated condition in the sentence is negated in the formula.",
-         positive=("A plant that gets no water dries out.", "∀x ((Plant(x) ∧ ¬GetsWater(x)) → DriesOut(x))"),
-         negative=("A plant that gets no water dries out.", "∀x ((Plant(x) ∧ GetsWater(x)) → DriesOut(x))",
-                   "The 'no water' of the condition is lost.")),
+         description="The sentence has a condition of absence, the formula one of presence.",
+         instruction="Look for 'no', 'not' and 'without' before the main verb and find them left of →.",
+         positive=("Bread without salt tastes flat.", "∀b (¬Salted(b) → (Bread(b) → Flat(b)))"),
+         negative=("Bread without salt tastes flat.", "∀b (Salted(b) → (Bread(b) → Flat(b)))",
+                   "The word 'without' left no trace.")),
     dict(label="wrong_negation_scope",
-         description="Both sides of an implication are negated where the sentence negates only one of them.",
-         instruction="Check implications whose condition and consequence are both negated.",
-         positive=("Whoever is not invited stays home.", "∀x (¬Invited(x) → StaysHome(x))"),
-         negative=("Whoever is not invited stays home.", "∀x (¬Invited(x) → ¬StaysHome(x))",
-                   "The consequence is negated as well.")),
+         description="A denial spread to the other side of the arrow.",
+         instruction="Where both sides of → are denied, look for two denials in the sentence.",
+         positive=("A road that is not cleared gets closed.", "∀r (Road(r) → (¬Cleared(r) → Closed(r)))"),
+         negative=("A road that is not cleared gets closed.", "∀r (Road(r) → (¬Cleared(r) → ¬Closed(r)))",
+                   "Closing is affirmed by the sentence.")),
     dict(label="neither_nor_translation_error",
-         description="'neither A nor B' is rendered as ¬A ∨ ¬B instead of ¬A ∧ ¬B.",
-         instruction="Check that 'neither ... nor ...' becomes a conjunction of negations.",
-         positive=("Sam is neither tired nor hungry.", "¬Tired(sam) ∧ ¬Hungry(sam)"),
-         negative=("Sam is neither tired nor hungry.", "¬Tired(sam) ∨ ¬Hungry(sam)",
-                   "With ∨ Sam may still be one of the two.")),
+         description="The formula lets one of two denied things happen.",
+         instruction="Both things after 'neither' have to be false in each case the formula allows.",
+         positive=("The old clock neither ticks nor strikes.", "¬(Ticks(clock) ∨ Strikes(clock))"),
+         negative=("The old clock neither ticks nor strikes.", "¬(Ticks(clock) ∧ Strikes(clock))",
+                   "A clock that ticks without striking satisfies the formula.")),
     dict(label="predicate_naming_error",
-         description="A predicate name misses the meaning of the words it stands for.",
-         instruction="Check that each predicate name states the property or action of the sentence.",
-         positive=("Every chef cooks some soup.", "∀x (Chef(x) → ∃y (Soup(y) ∧ Cooks(x, y)))"),
-         negative=("Every chef cooks some soup.", "∀x (Chef(x) → ∃y (Soup(y) ∧ Kitchen(x, y)))",
-                   "Kitchen does not name the action of cooking.")),
+         description="The name of a predicate tells of something else than the word it replaces.",
+         instruction="Replace the names by the words of the sentence and check that it reads the same.",
+         positive=("Foxes dig their dens.", "∀f ∀d ((Fox(f) ∧ DenOf(d, f)) → Digs(f, d))"),
+         negative=("Foxes dig their dens.", "∀f ∀d ((Fox(f) ∧ DenOf(d, f)) → Shovel(f, d))",
+                   "A shovel is a tool, the sentence tells of digging.")),
     dict(label=PREDICATE_NESTING,
-         description="A predicate is used as the argument of another predicate.",
-         instruction="Check that predicates only take variables or constants as arguments.",
-         positive=("Every singer likes some song.", "∀x (Singer(x) → ∃y (Song(y) ∧ Likes(x, y)))"),
-         negative=("Every singer likes some song.", "∀x (Singer(x) → ∃y Likes(x, Song(y)))",
-                   "Song(y) is a formula, not a term.")),
+         description="A statement stands where a thing should stand.",
+         instruction="Arguments are variables or names; an argument with a predicate sign is an error.",
+         positive=("The guide shows a cave.", "∃c (Shows(guide, c) ∧ Cave(c))"),
+         negative=("The guide shows a cave.", "∃c Shows(guide, Cave(c))",
+                   "Cave(c) is true or false and cannot be shown.")),
 ]
 
 assert [c["label"] for c in CATALOGUE[:13]] == list(CATEGORY_LABELS)

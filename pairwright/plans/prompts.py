@@ -20,25 +20,24 @@ from pairwright import fixed_values as FV
 from pairwright.plans import catalogue as cat
 
 SYSTEM_MULTI = (
-    "You check translations of English sentences into first-order logic (FOL). "
-    "For the given sentence and formula, decide which of the listed error categories apply. "
-    "Several categories may apply at once. Answer with a JSON list of category labels only, "
-    'for example ["free_variable_error"]. Answer ["none"] if no category applies or if you are unsure. '
-    "Do not explain your answer."
+    "Role: reviewer of formulas that were produced from English sentences. "
+    "Input: one sentence, one first-order formula and a catalogue of error labels. "
+    "Output: a JSON array with the labels whose error occurs in the formula, in catalogue order, "
+    'e.g. ["free_variable_error"], and ["none"] when the formula has none of them. '
+    "Print the array and nothing besides."
 )
 SYSTEM_SINGLE = (
-    "You check translations of English sentences into first-order logic (FOL) for one error category. "
-    f'Answer exactly "{cat.ANSWER_APPLIES}" if the described error is present, and exactly '
-    f'"{cat.ANSWER_NOT_APPLIES}" if it is not present or if you are unsure. Do not explain your answer.'
+    "Role: reviewer of one kind of translation error between an English sentence and a first-order formula. "
+    f'Reply with one of two strings. Error found: "{cat.ANSWER_APPLIES}". Error not found, or not certain: '
+    f'"{cat.ANSWER_NOT_APPLIES}". No other words.'
 )
 SYSTEM_CORRECTION = (
-    "You repair translations of English sentences into first-order logic (FOL). "
-    "Return only the corrected formula. If the formula is already correct, return it unchanged. "
-    "Do not explain your answer."
+    "Role: editor of first-order formulas. Given a sentence and its formula, print the formula that states "
+    "the sentence; a formula that states it already is printed as it stands. Print one formula and nothing else."
 )
 SYSTEM_CORRECTION_STRICT = (
-    SYSTEM_CORRECTION + " Keep predicate names and constants unless they are wrong, keep the "
-    "variable names, and use only the symbols ∀ ∃ ∧ ∨ ¬ → ↔ ⊕ and brackets."
+    SYSTEM_CORRECTION + " Symbols allowed: ∀ ∃ ∧ ∨ ¬ → ↔ ⊕ and round brackets. Names of predicates, constants and "
+    "variables stay unless the name itself is the error."
 )
 
 
@@ -51,15 +50,17 @@ def text_digest(*parts: str) -> str:
 class PromptSpec:
     """How a prompt is made from input columns.
 
-    ``render`` builds the prompt from the input columns; ``digest`` identifies
-    all constant text (system text included), so a request is identified by
-    the digest and its inputs without building the prompt.
+    ``render`` builds the prompt; ``digest_of`` gives the digest of its constant
+    text (system text included) and ``hashed`` the inputs that vary below it,
+    so a request is identified without building the prompt. ``digests`` lists
+    every digest the spec can give.
     """
 
     render: Callable[..., Column]
-    digest: str
+    digest_of: Callable[..., Column]
+    hashed: Callable[..., tuple]
+    digests: tuple
     system: str
-    arity: int = 2
 
 
 @dataclass(frozen=True)
@@ -74,9 +75,20 @@ class Layout:
         f = F.col(formula) if isinstance(formula, str) else formula
         return F.concat(F.lit(self.prefix), s, F.lit(self.middle), f, F.lit(self.suffix))
 
+    @property
+    def digest(self) -> str:
+        return text_digest(self.system, self.prefix, self.middle, self.suffix)
+
     def spec(self) -> PromptSpec:
-        return PromptSpec(self.render, text_digest(self.system, self.prefix, self.middle, self.suffix),
-                          self.system, 2)
+        digest = self.digest
+        return PromptSpec(self.render, lambda s, f: F.lit(digest), lambda s, f: (s, f), (digest,), self.system)
+
+    def parts(self, prompt: str | Column) -> tuple[Column, Column]:
+        """Sentence and formula back out of a column of rendered prompts."""
+        p = F.col(prompt) if isinstance(prompt, str) else prompt
+        body = F.substr(p, F.lit(len(self.prefix) + 1), F.char_length(p) - len(self.prefix) - len(self.suffix))
+        formula = F.substring_index(body, self.middle, -1)
+        return F.substr(body, F.lit(1), F.char_length(body) - F.char_length(formula) - len(self.middle)), formula
 
     def split(self, prompt: str) -> tuple[str, str]:
         """Sentence and formula back out of a rendered prompt (used by test backends)."""
@@ -129,8 +141,7 @@ def category_list(entries) -> str:
 def layout_catalogue(labels=None, few_shots: bool = True) -> Layout:
     entries = cat.entries(labels)
     head = few_shot_block(entries) if few_shots else ""
-    tail = ("Do the sentence and formula above fall into one or more of these error categories?\n\n"
-            + category_list(entries) + "\n\n")
+    tail = "Labels to choose from, with what each one means:\n\n" + category_list(entries) + "\n\n"
     return row_layout(FV.ROW_LAYOUT_CATALOGUE, head, tail, SYSTEM_MULTI)
 
 
@@ -176,10 +187,7 @@ def blocks_for(categories: Column, labels=None) -> Column:
 
 
 def layout_paired(labels=None) -> Layout:
-    head = ("Below are common error categories of translations into first-order logic. Each has:\n"
-            "- an instruction that says what to check\n"
-            "- a correct example\n"
-            "- an incorrect example, with an explanation where one is given\n\n"
+    head = ("Catalogue. Every entry shows one sentence twice: the first formula states it, the second has the error.\n\n"
             + format_categories_text(labels))
     return row_layout(FV.ROW_LAYOUT_PAIRED, head, "", SYSTEM_MULTI)
 
@@ -189,9 +197,8 @@ def layout_paired(labels=None) -> Layout:
 def single_category_text(label: str) -> str:
     (c,) = cat.entries([label])
     pos, neg = c["positive"], c["negative"]
-    return ("Check whether the following error category applies to the last pair.\n\n"
-            f"Error category: {c['description']} {c['instruction']}\n\n"
-            "Examples:\n\n"
+    return (f"Error category: {c['description']} {c['instruction']}\n\n"
+            "Two answered pairs, then the pair to judge:\n\n"
             + FV.SINGLE_EXAMPLE_LAYOUT.format(sentence=pos[0], formula=pos[1], answer=cat.ANSWER_NOT_APPLIES)
             + FV.SINGLE_EXAMPLE_LAYOUT.format(sentence=neg[0], formula=neg[1], answer=cat.ANSWER_APPLIES))
 
@@ -216,12 +223,13 @@ def single_prompt(category: str | Column, sentence: str | Column = "nl_sentence"
 
 
 def single_prompt_spec(labels=None) -> PromptSpec:
-    """Spec over inputs (category, sentence, formula) for ``single_prompt``."""
+    """Spec over inputs (category, sentence, formula) for ``single_prompt``; the
+    keys are those of the category's own layout."""
     labels = _all_labels(labels)
-    any_layout = layout_single(labels[0])
-    parts = [SYSTEM_SINGLE, any_layout.middle, any_layout.suffix]
-    parts += [x for lab in labels for x in (lab, layout_single(lab).prefix)]
-    return PromptSpec(lambda c, s, f: single_prompt(c, s, f, labels), text_digest(*parts), SYSTEM_SINGLE, 3)
+    digests = {lab: layout_single(lab).digest for lab in labels}
+    lookup = F.create_map(*[F.lit(x) for pair in digests.items() for x in pair])
+    return PromptSpec(lambda c, s, f: single_prompt(c, s, f, labels), lambda c, s, f: F.try_element_at(lookup, c),
+                      lambda c, s, f: (s, f), tuple(digests.values()), SYSTEM_SINGLE)
 
 
 # --- correction ---------------------------------------------------------------
@@ -245,8 +253,7 @@ def correction_examples(explained: bool, labels=None) -> list[tuple]:
 def layout_correction(variant: str = "examples", labels=None) -> Layout:
     explained, system = CORRECTION_VARIANTS[variant]
     examples = correction_examples(explained, labels)
-    head = ("You are given sentences with translations into first-order logic. Find wrong translations "
-            "and correct them, following the examples.\n\n")
+    head = "Repaired formulas, one error each. The last entry is open.\n\n"
     for number, (sentence, wrong, right, why) in enumerate(examples, start=1):
         head += FV.CORRECTION_EXAMPLE_LAYOUT.format(number=number, sentence=sentence, wrong=wrong, right=right)
         if why:

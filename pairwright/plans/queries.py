@@ -17,10 +17,22 @@ from pairwright.operators import candidates as C
 from pairwright.operators.indexing import row_index
 from pairwright.operators.sampling import sample_n
 from pairwright.plans import annotate as AN
-from pairwright.plans import backends as B
+from pairwright.plans import catalogue as cat
 from pairwright.plans import loop
 from pairwright.plans import prompts as PR
-from pairwright.plans.model_job import call_model, request_key, strip_answer
+from pairwright.plans.model_job import (
+    AnswerExchange,
+    call_model,
+    import_answers,
+    join_answers,
+    keyed_rows,
+    pending_requests,
+    read_answers,
+    request_status,
+    requests_of,
+    stored,
+    strip_answer,
+)
 from pairwright.session import ensure_parallelism, scratch_path
 from pairwright.sources import tables
 from pairwright.sources.fixture import load_fixture_pairs
@@ -173,6 +185,30 @@ def q_source_json_pairs(spark, sf_dir):
     return read_json_pairs(spark, path)
 
 
+def q_source_parquet_pairs(spark, sf_dir):
+    path = scratch_path(spark, "pairs-parquet")
+    write_pairs(_pairs(spark, sf_dir), path)
+    return read_pairs(spark, path)
+
+
+def q_source_json_array_pairs(spark, sf_dir):
+    """Files of one JSON array each (a thousand parts a file), read back."""
+    path = scratch_path(spark, "pairs-json-array")
+    record = F.struct("pair_id", F.col("nl_sentence").alias("NL"), F.col("fol_expression").alias("FOL"))
+    files = _pairs(spark, sf_dir).groupBy(F.expr("pair_id div 100000")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    # One line, and so one array, for each file.
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_pairs(spark, path, array_file=True)
+
+
+def q_sample_n_repeated_ids(spark, sf_dir):
+    """All rows but one, over ids that repeat and are null in every tenth row."""
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.expr("if(doc_id % 10 = 0, NULL, doc_id div 3)").alias("pair_id"))
+    sample = sample_n(ids, ids.count() - 1, seed=SAMPLE_SEED)
+    return sample.select(F.coalesce(F.col("pair_id").cast("string"), F.lit("none")).alias("sampled_id"))
+
+
 def q_select_pairs(spark, sf_dir):
     raw = _pairs(spark, sf_dir).select("pair_id", F.col("nl_sentence").alias("NL"),
                                        F.col("fol_expression").alias("FOL"))
@@ -200,13 +236,59 @@ def q_prompt_single(spark, sf_dir):
     return df.select("pair_id", "category", PR.single_prompt("category").alias("prompt"))
 
 
-def q_prompt_correction(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("pair_id", PR.layout_correction().render().alias("prompt"))
+def q_prompt_single_unfiltered(spark, sf_dir):
+    """Single-category prompts of the categories without a prefilter, for every row."""
+    df = _pairs(spark, sf_dir).withColumn("category", F.explode(F.array(*(F.lit(c) for c in UNFILTERED))))
+    return df.select("pair_id", "category", PR.single_prompt("category").alias("prompt"))
+
+
+def _prompt_correction(variant):
+    def run(spark, sf_dir):
+        return _pairs(spark, sf_dir).select("pair_id", PR.layout_correction(variant).render().alias("prompt"))
+    return run
+
+
+def q_catalogue_text(spark, sf_dir):
+    """The catalogue table rendered for each pair's candidate categories."""
+    table = cat.catalogue_df(spark)
+    rows = _pairs(spark, sf_dir).select("pair_id", F.explode(C.category_array()).alias("label"))
+    block = PR.category_block_column(F.struct(*table.columns))
+    # The catalogue has one row a category.
+    blocks = rows.join(F.broadcast(table), "label").select("pair_id", F.struct("pos", block.alias("block")).alias("b"))
+    ordered = F.transform(F.array_sort(F.collect_list("b")), lambda x: x["block"])
+    return blocks.groupBy("pair_id").agg(F.array_join(ordered, "").alias("categories_text"))
 
 
 # --- model job ----------------------------------------------------------------
 
 
+# Answer tables. A model that works in batches takes the table of pending
+# requests and returns a table of answers; these rules stand in its place.
+
+def single_answers(pending: DataFrame) -> DataFrame:
+    d = F.substr(F.md5("prompt"), F.lit(1), F.lit(1))
+    answer = (F.when(d <= "7", cat.ANSWER_APPLIES).when(d <= "d", cat.ANSWER_NOT_APPLIES)
+              .when(d == "e", cat.ANSWER_APPLIES + ".").otherwise(cat.NO_LABEL))
+    return pending.select("key", answer.alias("answer"))
+
+
+def multi_answers(layout):
+    def answers(pending: DataFrame) -> DataFrame:
+        sentence, formula = layout.parts("prompt")
+        labels = C.category_array("f", "s")
+        rows = pending.select("key", sentence.alias("s"), formula.alias("f"))
+        return rows.select("key", F.to_json(F.when(F.size(labels) == 0, F.array(F.lit(cat.NO_LABEL))).otherwise(labels)).alias("answer"))
+    return answers
+
+
+def corrector_answers(layout):
+    def answers(pending: DataFrame) -> DataFrame:
+        return pending.select("key", F.replace(layout.parts("prompt")[1], F.lit("∀y"), F.lit("∃y")).alias("answer"))
+    return answers
+
+
+SINGLE = AnswerExchange("rule-single", single_answers)
+UNFILTERED = ("missing_category", "missing_parentheses", "predicate_naming_error", cat.PREDICATE_NESTING)
 SINGLE_CATEGORY = "wrong_variable_binding"
 SINGLE_SAMPLE_CATEGORY = "neither_nor_translation_error"
 SINGLE_SAMPLE_N = 300
@@ -225,42 +307,73 @@ def _corpora(spark, sf_dir):
                .unionByName(cleaning.clean_pairs(raw).withColumn("dataset", F.lit(CLEANED_DATASET))))
 
 
-def q_model_call(spark, sf_dir):
-    layout = PR.layout_single(SINGLE_CATEGORY)
-    backend = B.SingleAnswerRule()
-    spec = layout.spec()
+def _keyed_single(spark, sf_dir):
+    spec = PR.layout_single(SINGLE_CATEGORY).spec()
     rows = C.candidates(_pairs(spark, sf_dir), SINGLE_CATEGORY)
-    requests = rows.select(request_key(backend.name, spec.digest, F.col("nl_sentence"), F.col("fol_expression"))
-                           .alias("key"), "nl_sentence", "fol_expression")
-    answers = call_model(requests, spec, backend=backend, store=scratch_path(spark, "answers"))
-    return answers.select("key", strip_answer(F.col("answer")).alias("answer"), "status")
+    return spec, keyed_rows(rows, spec, ["nl_sentence", "fol_expression"], SINGLE.name)
+
+
+def q_model_call(spark, sf_dir):
+    spec, keyed = _keyed_single(spark, sf_dir)
+    store = scratch_path(spark, "answers")
+    call_model(requests_of(keyed), spec, backend=SINGLE, store=store)
+    return stored(spark, store).select("key", strip_answer(F.col("answer")).alias("answer"), "status")
+
+
+def q_pending_requests(spark, sf_dir):
+    """The request table handed to a batch model."""
+    spec, keyed = _keyed_single(spark, sf_dir)
+    return pending_requests(requests_of(keyed), spec, store=scratch_path(spark, "answers"), model=SINGLE.name).drop("digest")
+
+
+def _half_answered(spark, sf_dir):
+    """Half of the requests (by the key's first digit) have come back."""
+    spec, keyed = _keyed_single(spark, sf_dir)
+    store = scratch_path(spark, "answers")
+    path = scratch_path(spark, "pending")
+    pending_requests(requests_of(keyed), spec, store=store, model=SINGLE.name).write.parquet(path)
+    pending = spark.read.parquet(path).where(F.col("key") < "8")
+    import_answers(pending, single_answers(pending).where(F.col("key") >= "1"), store=store, model=SINGLE.name)
+    return spec, keyed, store
+
+
+def q_import_answers(spark, sf_dir):
+    """Rows after a part of the answer table was imported."""
+    spec, keyed, store = _half_answered(spark, sf_dir)
+    return join_answers(keyed, read_answers(spark, store, SINGLE.name, spec.digests), "error_type")
+
+
+def q_request_status(spark, sf_dir):
+    """Distinct requests by state after a part of the answers was imported."""
+    spec, keyed, store = _half_answered(spark, sf_dir)
+    return request_status(requests_of(keyed), store=store, model=SINGLE.name, digests=spec.digests).drop("digest")
 
 
 def q_annotate_single(spark, sf_dir):
-    return AN.annotate_single(_pairs(spark, sf_dir), SINGLE_CATEGORY, backend=B.SingleAnswerRule(),
+    return AN.annotate_single(_pairs(spark, sf_dir), SINGLE_CATEGORY, backend=SINGLE,
                               store=scratch_path(spark, "answers"))
 
 
 def q_annotate_single_sample(spark, sf_dir):
     return AN.annotate_single_sample(_pairs(spark, sf_dir), SINGLE_SAMPLE_CATEGORY, SINGLE_SAMPLE_N,
-                                     seed=SINGLE_SAMPLE_SEED, backend=B.SingleAnswerRule(),
+                                     seed=SINGLE_SAMPLE_SEED, backend=SINGLE,
                                      store=scratch_path(spark, "answers"))
 
 
 def q_annotate_multi(spark, sf_dir):
     return AN.annotate_multi(_pairs(spark, sf_dir), MULTI_N, seed=SAMPLE_SEED, design=1,
-                             backend=B.MultiLabelRule(PR.layout_catalogue()),
+                             backend=AnswerExchange("rule-multi", multi_answers(PR.layout_catalogue())),
                              store=scratch_path(spark, "answers"))
 
 
 def q_annotate_multi_paired(spark, sf_dir):
     return AN.annotate_multi(_pairs(spark, sf_dir), MULTI_N, seed=SAMPLE_SEED, design=2,
-                             backend=B.MultiLabelRule(PR.layout_paired()),
+                             backend=AnswerExchange("rule-multi", multi_answers(PR.layout_paired())),
                              store=scratch_path(spark, "answers"))
 
 
 def _corrector():
-    return B.CorrectorRule(PR.layout_correction())
+    return AnswerExchange("rule-corrector", corrector_answers(PR.layout_correction()))
 
 
 def q_correct_pairs(spark, sf_dir):
@@ -290,10 +403,23 @@ def q_promote_corrected(spark, sf_dir):
     return AN.promote_corrected(_stored_corrected(spark, sf_dir)).select(*PAIR, "dataset")
 
 
+def q_candidate_counts_by_version(spark, sf_dir):
+    """Candidate rows of both corpora before and after correction."""
+    table = _stored_corrected(spark, sf_dir)
+    cols = [*PAIR, "dataset"]
+    both = (table.select(*cols).withColumn("version", F.lit("original"))
+            .unionByName(AN.promote_corrected(table).select(*cols).withColumn("version", F.lit("corrected"))))
+    return C.candidate_counts(both)
+
+
+def q_adverb_counts_by_corpus(spark, sf_dir):
+    return diagnostics.adverb_counts(_corpora(spark, sf_dir), dataset_col="dataset")
+
+
 def _stored_annotations(spark, sf_dir):
     work = scratch_path(spark, "annotations")
     pairs = _corpora(spark, sf_dir).withColumn("version", F.lit("original"))
-    ann = AN.annotate_categories(pairs, loop.WORKING_CATEGORIES, backend=B.SingleAnswerRule(),
+    ann = AN.annotate_categories(pairs, loop.WORKING_CATEGORIES, backend=SINGLE,
                                  store=f"{work}/answers")
     tables.write_annotations(ann, f"{work}/annotations")
     return work
@@ -323,7 +449,7 @@ def q_audit_unexpected(spark, sf_dir):
 
 
 def _loop_counts(spark, sf_dir):
-    return loop.run_loop(_corpora(spark, sf_dir), detector=B.SingleAnswerRule(),
+    return loop.run_loop(_corpora(spark, sf_dir), detector=SINGLE,
                          corrector=_corrector(), workdir=scratch_path(spark, "loop"))
 
 
@@ -350,8 +476,20 @@ QUERIES.update({
     "prompt_catalogue": q_prompt_catalogue,
     "prompt_paired": q_prompt_paired,
     "prompt_single": q_prompt_single,
-    "prompt_correction": q_prompt_correction,
+    "prompt_single_unfiltered": q_prompt_single_unfiltered,
+    "prompt_correction": _prompt_correction("examples"),
+    "prompt_correction_explained": _prompt_correction("examples_explained"),
+    "prompt_correction_strict": _prompt_correction("examples_strict"),
+    "catalogue_text": q_catalogue_text,
+    "source_parquet_pairs": q_source_parquet_pairs,
+    "source_json_array_pairs": q_source_json_array_pairs,
+    "sample_n_repeated_ids": q_sample_n_repeated_ids,
+    "candidate_counts_by_version": q_candidate_counts_by_version,
+    "adverb_counts_by_corpus": q_adverb_counts_by_corpus,
     "model_call": q_model_call,
+    "pending_requests": q_pending_requests,
+    "import_answers": q_import_answers,
+    "request_status": q_request_status,
     "annotate_single": q_annotate_single,
     "annotate_single_sample": q_annotate_single_sample,
     "annotate_multi": q_annotate_multi,

@@ -9,7 +9,7 @@ from pairwright.operators.audit import applies_counts, before_after
 from pairwright.operators.indexing import row_index
 from pairwright.operators.sampling import sample_n
 from pairwright.plans import annotate as AN
-from pairwright.plans import backends as B
+import rule_backends as B
 from pairwright.plans import prompts as PR
 
 
@@ -27,7 +27,7 @@ def test_narrow_operators(empty):
 
 def test_sample_and_index(empty):
     assert sample_n(empty, 5).count() == 0
-    assert sample_n(empty, 5, topk_merge_rows=1).count() == 0
+    assert sample_n(empty, 5, band_rows=1).count() == 0
     assert row_index(empty).count() == 0
 
 

@@ -1,12 +1,12 @@
 """A key holding a third of all rows: results stay whole and exact."""
 
+import rule_backends as B
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import candidates as C
 from pairwright.operators.diagnostics import adverb_counts
 from pairwright.plans import annotate as AN
-from pairwright.plans import backends as B
 from pairwright.plans.model_job import ANSWER_SCHEMA
 
 
@@ -47,8 +47,31 @@ def test_dedupe_is_hash_aggregate(spark, skewed):
     from pairwright.plans import prompts as PR
     from pairwright.plans.model_job import request_key
 
-    spec = PR.layout_single("wrong_variable_binding").spec()
-    req = skewed.select(request_key("m", spec.digest, F.col("nl_sentence"), F.col("fol_expression")).alias("key"),
+    req = skewed.select(request_key("m", PR.layout_single("wrong_variable_binding").digest, F.col("nl_sentence"), F.col("fol_expression")).alias("key"),
                         "nl_sentence", "fol_expression").distinct()
     plan = req._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
+
+
+def test_hot_key_is_split_in_the_answer_join(spark, skewed, tmp_dir):
+    """On the sort-merge path the partition of the hot pair is read in several parts."""
+    from pairwright.plans import model_job as M
+    from pairwright.plans import prompts as PR
+
+    spec = PR.layout_single("wrong_variable_binding").spec()
+    long = skewed.withColumn("pad", F.concat(*(F.md5(F.concat(F.col("pair_id").cast("string"), F.lit(str(k)))) for k in range(40))))
+    keyed = M.keyed_rows(long, spec, ["nl_sentence", "fol_expression"], "rule-single")
+    answers = M.call_model(M.requests_of(keyed), spec, backend=B.SingleAnswerRule(), store=tmp_dir)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = M.join_answers(keyed, answers, "error_type")
+        assert len(out.collect()) == 3000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,6 +1,6 @@
 """The stateless chain and model annotation on a stream of pair files."""
 
-from pairwright.plans import backends as B
+import rule_backends as B
 from pairwright.session import scratch_path
 from pairwright.sources.pairs import read_pairs, write_pairs
 from pairwright.streaming.stream import annotate_stream, curate_stream, read_pair_stream, write_stream
