@@ -1,18 +1,21 @@
 """Language-model scores by context-tree weighting, beside a word-count baseline.
 
 Model. A text is its bytes (A-Z as a-z) and an end byte. Every byte is eight
-binary decisions; each decision has a tree of contexts made of the classes of
-the last 0 to ``DEPTH`` bytes. A node holds how often each bit followed, its
+binary decisions; each decision has a tree whose contexts are the last 0 to
+``DEPTH`` bytes. A node holds how often each bit followed, its
 Krichevsky-Trofimov probability, and the weighted probability
 ``Pw = (Pe + product of the children's Pw) / 2``. The posterior of stopping at
-a node mixes the estimates of all depths into one probability for each bit;
-a context never seen takes its parent's estimate.
+a node mixes the estimates of all depths into one probability for each bit; a
+decision that was never seen in a context is made one byte shallower.
 
 Training is counting: Spark sums (context, byte) over all training texts,
-combined per task before the shuffle. There are at most ``CONTEXTS * 256``
-such counts (8.4 million, whatever the corpus), so the weighting runs on the
-driver in bounded memory, and the finished table sent to the tasks always has
-``CONTEXTS * 256`` numbers (34 MB).
+combined per task before the shuffle, and the counts of shallower contexts are
+sums of the deeper ones. The tree that is kept is bounded: at each depth only
+contexts seen at least ``least`` times, the smallest power of two with which
+the depth has at most ``MAX_EVENTS`` (context, byte) pairs. What rarer contexts
+saw still counts in all shallower ones, and at their parent as one more leaf.
+So at most ``(DEPTH + 1) * MAX_EVENTS`` pairs reach the driver, and the table
+sent to the tasks has at most eight decisions for each.
 
 Baseline. Word counts of all training texts, joined back to the texts. A task
 lists each distinct word of a chunk of texts once, so a word in every text is
@@ -42,9 +45,9 @@ from pairwright.llm.bpe import pack, unpack
 from pairwright.llm.textvec import LOWER, Words, crc_mod, mix64, slabs, small_batches, span_hashes
 from pairwright.session import checkpoint_root, scratch_path, ship_package
 
-DEPTH = 3
-CLASSES = 32
-CONTEXTS = CLASSES ** DEPTH
+DEPTH = 5
+#: (context, byte) pairs kept at each depth.
+MAX_EVENTS = 1_000_000
 #: Ends a text and stands before it; never a byte of UTF-8.
 END = 255
 HOLD_OUT = 10
@@ -52,36 +55,25 @@ HOLD_OUT = 10
 CHUNK_BYTES = 16 << 20
 
 
-def byte_classes() -> np.ndarray:
-    """Context class of each byte: letters, gaps, digits, signs, UTF-8 parts."""
-    out = np.full(256, 28, np.int32)
-    out[97:123] = out[65:91] = np.arange(26)
-    out[[9, 10, 11, 12, 13, 32]] = 26
-    out[48:58] = 27
-    out[0x80:0xA0], out[0xA0:0xC0], out[0xC0:] = 29, 30, 31
-    return out
-
-
-_CLASS = byte_classes()
+def events(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, context << 8 | byte) of every byte of the texts of a slab, ends included.
 
-
-def events(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, context * 256 + byte) of every byte of the texts of a slab, ends included."""
+    The byte just before is the lowest of the context, so the pair of a
+    shallower context is the low part of the number.
+    """
     n = np.diff(offsets)
     rows = len(n)
     row = np.repeat(np.arange(rows), n)
-    seq = np.full(len(raw) + rows * (DEPTH + 1), END, np.uint8)
-    seq[np.arange(len(raw)) + row * (DEPTH + 1) + DEPTH] = LOWER[raw]
-    of = np.repeat(np.arange(rows), n + DEPTH + 1)
+    seq = np.full(len(raw) + rows * (depth + 1), END, np.uint8)
+    seq[np.arange(len(raw)) + row * (depth + 1) + depth] = LOWER[raw]
+    of = np.repeat(np.arange(rows), n + depth + 1)
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    cls = _CLASS[seq]
-    m = len(seq) - DEPTH
-    code = np.zeros(m, np.int32)
-    for k in range(DEPTH):
-        code = code * CLASSES + cls[k:k + m]
-    code = code * 256 + seq[DEPTH:]
-    inside = of[DEPTH:] == of[:m]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    m = len(seq) - depth
+    code = np.zeros(m, np.int64)
+    for k in range(depth + 1):
+        code = code << 8 | seq[k:k + m]
+    inside = of[depth:] == of[:m]
     return of[:m][inside], code[inside]
 
 
@@ -99,70 +91,177 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1)
 
 
-def bit_probability(n0: np.ndarray, n1: np.ndarray, classes: int = CLASSES, depth: int = DEPTH) -> np.ndarray:
-    """P(bit = 1) in every deepest context, from the bit counts there."""
-    zeros, ones = [None] * (depth + 1), [None] * (depth + 1)
-    zeros[depth], ones[depth] = n0.astype(np.float64), n1.astype(np.float64)
-    for d in range(depth - 1, -1, -1):
-        zeros[d] = zeros[d + 1].reshape(classes, -1).sum(axis=0)
-        ones[d] = ones[d + 1].reshape(classes, -1).sum(axis=0)
-    stop = [None] * depth
-    weighted = kt_log(zeros[depth], ones[depth])
-    for d in range(depth - 1, -1, -1):
-        own = kt_log(zeros[d], ones[d])
-        below = weighted.reshape(classes, -1).sum(axis=0)
-        weighted = np.log(0.5) + np.logaddexp(own, below)
-        stop[d] = np.exp(np.log(0.5) + own - weighted)
-    estimate = [(b + 0.5) / (a + b + 1) for a, b in zip(zeros, ones)]
-    at = np.arange(len(n0))
-    p = estimate[depth]
-    for d in range(depth - 1, -1, -1):
-        here, child = at % classes ** d, at % classes ** (d + 1)
-        seen = (zeros[d + 1] + ones[d + 1])[child] > 0
-        p = stop[d][here] * estimate[d][here] + (1 - stop[d][here]) * np.where(seen, p, estimate[d][here])
-    return p
-
-
-def weigh(counts: np.ndarray) -> np.ndarray:
-    """log10 P(byte | context) for all contexts and bytes, from their counts."""
-    counts = counts.reshape(CONTEXTS, 256)
-    out = np.zeros((CONTEXTS, 256), np.float32)
+def decisions(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context << 8 | decision, zeros, ones), sorted, of sorted (context, byte) counts.
+
+    A decision is the bits before it with a leading 1.
+    """
+    byte = code & 255
+    keys, zeros, ones = [], [], []
     for level in range(8):
-        width = 256 >> level
-        for k in range(0, 256, width):
-            half = k + width // 2
-            p = bit_probability(counts[:, k:half].sum(axis=1), counts[:, half:k + width].sum(axis=1))
-            out[:, k:half] += np.log10(1 - p).astype(np.float32)[:, None]
-            out[:, half:k + width] += np.log10(p).astype(np.float32)[:, None]
-    return out.ravel()
+        key = code - byte | 1 << level | byte >> (8 - level)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        one = np.add.reduceat(np.where(byte >> (7 - level) & 1, n, 0), first)
+        keys.append(key[first])
+        zeros.append(np.add.reduceat(n, first) - one)
+        ones.append(one)
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return key[order], np.concatenate(zeros)[order].astype(np.float64), np.concatenate(ones)[order].astype(np.float64)
+
+
+def _mask(depth: int) -> int:
+    return (1 << 8 * (depth + 1)) - 1
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return spot, keys[spot] == wanted
+
+
+class ContextTree:
+    """The weighted trees as two sorted tables, keyed by depth and context.
+
+    ``levels[d]`` holds the sorted (context << 8 | byte) pairs kept at depth d
+    and their counts; a kept context's parent must be kept.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.depth = len(levels) - 1
+        nodes = [decisions(code, n) if len(code) else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for code, n in levels]
+        parent = [None] + [np.searchsorted(nodes[d - 1][0], nodes[d][0] & _mask(d - 1)) for d in range(1, len(nodes))]
+        # Bottom up: the weighted probabilities, and the posterior of stopping.
+        stop = [None] * len(nodes)
+        below = below_0 = below_1 = None
+        for d in range(self.depth, -1, -1):
+            key, n0, n1 = nodes[d]
+            own = kt_log(n0, n1)
+            weighted = own
+            if below is not None:
+                # What rarer contexts saw is one more leaf.
+                weighted = np.log(0.5) + np.logaddexp(own, below + kt_log(n0 - below_0, n1 - below_1))
+                stop[d] = np.exp(np.log(0.5) + own - weighted)
+            if d:
+                size = len(nodes[d - 1][0])
+                below, below_0, below_1 = (np.bincount(parent[d], x, minlength=size) for x in (weighted, n0, n1))
+        # Top down: a + b * estimate is the mixture if the path ends at a node.
+        keys, values, pair_keys, pair_values = [], [], [], []
+        a, b = np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0]))
+        for d, (key, n0, n1) in enumerate(nodes):
+            estimate = (n1 + 0.5) / (n0 + n1 + 1)
+            value = a + b * estimate
+            keys.append(key | d << 56)
+            values.append(value.astype(np.float32))
+            code = levels[d][0]
+            byte = code & 255
+            logs = np.zeros(len(code))
+            for level in range(8):
+                p = value[np.searchsorted(key, code - byte | 1 << level | byte >> (8 - level))].astype(np.float32).astype(np.float64)
+                logs += np.log10(np.where(byte >> (7 - level) & 1, p, 1 - p))
+            pair_keys.append(code | d << 56)
+            pair_values.append(logs)
+            if d < self.depth:
+                up = parent[d + 1]
+                a, b = (a + b * stop[d] * estimate)[up], (b * (1 - stop[d]))[up]
+        self.keys, self.values = np.concatenate(keys), np.concatenate(values)
+        self.pair_keys, self.pair_logs = np.concatenate(pair_keys), np.concatenate(pair_values)
+
+    def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 P(byte | context) of (context << 8 | byte) numbers of full depth."""
+        out = np.full(len(code), -8 * np.log10(2))
+        left = np.arange(len(code))
+        for d in range(self.depth, -1, -1):
+            pair = code[left] & _mask(d) | d << 56
+            spot, hit = _find(self.pair_keys, pair)
+            out[left[hit]] = self.pair_logs[spot[hit]]
+            left, pair = left[~hit], pair[~hit]
+            # The context is kept but this byte is new in it: decide bit by bit.
+            known = _find(self.keys, pair & ~255 | 1)[1]
+            out[left[known]] = self._bits(code[left[known]], d)
+            left = left[~known]
+        return out
+
+    def _bits(self, code: np.ndarray, depth: int) -> np.ndarray:
+        byte, total = code & 255, np.zeros(len(code))
+        for level in range(8):
+            node = code - byte | 1 << level | byte >> (8 - level)
+            p, left = np.full(len(code), 0.5), np.arange(len(code))
+            for d in range(depth, -1, -1):
+                spot, hit = _find(self.keys, node[left] & _mask(d) | d << 56)
+                p[left[hit]] = self.values[spot[hit]]
+                left = left[~hit]
+            total += np.log10(np.where(byte >> (7 - level) & 1, p, 1 - p))
+        return total
 
 
 def count_events(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(event, n) over all given texts."""
+    """(code, n): how often each byte followed each full context, over all given texts."""
+    def merged(held):
+        code, inv = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return code, np.bincount(inv, np.concatenate([n for _, n in held])).astype(np.int64)
+
     def run(batches):
-        total = None
+        held, size = [], 0
         for b in batches:
             for _, _, raw, offsets in slabs(b.column("t")):
-                got = np.bincount(events(raw, offsets)[1], minlength=CONTEXTS * 256)
-                total = got if total is None else np.add(total, got, out=total)
-        if total is not None:
-            seen = np.flatnonzero(total)
-            for at in range(0, len(seen), 100_000):
-                e = seen[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(e.astype(np.int32)), pa.array(total[e])], ["event", "n"])
+                held.append(np.unique(events(raw, offsets)[1], return_counts=True))
+                size += len(held[-1][0])
+                if size > 4_000_000:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > 2_000_000:
+                        yield from _count_batches(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from _count_batches(*merged(held))
 
     rows = train.select(F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "event int, n long").groupBy("event").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _count_batches(code, n):
+    for at in range(0, len(code), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(code[at:at + 100_000]), pa.array(n[at:at + 100_000])], ["code", "n"])
+
+
+def kept_levels(counts: DataFrame, depth: int = DEPTH, max_events: int = MAX_EVENTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of every depth whose contexts are frequent enough for the bound."""
+    tables, least = [], []
+    for d in range(depth + 1):
+        low = F.col("code").bitwiseAND(F.lit(_mask(d)))
+        table = counts.groupBy(low.alias("code")).agg(F.sum("n").alias("n")) if d < depth else counts
+        context = table.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("seen"), F.count("*").alias("k"))
+        sizes = {r.p: r.k for r in context.groupBy(F.floor(F.log2("seen")).cast("int").alias("p")).agg(F.sum("k").alias("k")).collect()}
+        power = 0
+        while sum(k for p, k in sizes.items() if p >= power) > max_events:
+            power += 1
+        tables.append((table, context))
+        least.append(1 << power)
+    out = []
+    for d, (table, context) in enumerate(tables):
+        # A parent has seen all that its children saw, so rising bounds keep it with them.
+        bound = max(least[:d + 1])
+        if bound > 1:
+            frequent = context.where(F.col("seen") >= bound).select("context")
+            table = table.join(frequent, F.shiftright(table["code"], 8) == frequent["context"], "left_semi")
+        got = table.select("code", "n").toArrow()
+        code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+        order = np.argsort(code)
+        out.append((code[order], n[order]))
+    return out
 
 
-def train_model(train: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The finished table of log10 probabilities."""
-    small_batches(train.sparkSession)
-    ship_package(train.sparkSession)
-    got = count_events(train, text_col).toArrow()
-    counts = np.zeros(CONTEXTS * 256, np.int64)
-    counts[got.column("event").to_numpy()] = got.column("n").to_numpy()
-    return weigh(counts)
+def train_model(train: DataFrame, text_col: str = "text", max_events: int = MAX_EVENTS) -> ContextTree:
+    """The finished model of the given texts."""
+    spark = train.sparkSession
+    small_batches(spark)
+    ship_package(spark)
+    checkpoint_root(spark)
+    path = scratch_path(spark, "ctw-counts")
+    count_events(train, text_col).write.parquet(path)
+    return ContextTree(kept_levels(spark.read.parquet(path), max_events=max_events))
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -234,7 +333,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     ship_package(spark)
     checkpoint_root(spark)
-    table = spark.sparkContext.broadcast(train_model(docs.where(~held_out(id_col)), text_col))
+    model = spark.sparkContext.broadcast(train_model(docs.where(~held_out(id_col)), text_col))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), ident.alias("id_text"), F.col(text_col).cast("string").alias("t"))
     id_type = dict(rows.dtypes)["doc_id"]
@@ -261,7 +360,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for raw, offsets in texts:
                 of, code = events(raw, offsets)
                 m = len(offsets) - 1
-                score = np.bincount(of, table.value[code].astype(np.float64), minlength=m)
+                kinds, inv = np.unique(code, return_inverse=True)
+                score = np.bincount(of, model.value.score(kinds)[inv], minlength=m)
                 packed = [pack(number[begin[k]:begin[k] + n[k]]) for k in range(at, at + m)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, chunk, np.int64)), pa.array(ids[at:at + m]), pa.array(np.diff(offsets)), pa.array(score), pa.array(packed, pa.binary())],

@@ -87,4 +87,26 @@ QUERIES = {
     "op10_byte_shards": op10_byte_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Near-duplicate links by comparing all sets, and their components.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM sets
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.r) AS component_id, s.doc_id = min(r.r) AS kept
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_odd_sketch": OP1_SQL}

@@ -36,43 +36,91 @@ def test_base_over_many_chunks(spark, monkeypatch):
     check(rows, docs_of(spark, rows).repartition(3).checkpoint())
 
 
-def recursive(zeros, ones, context, depth, classes):
-    """(weighted probability, prediction of a one) at a node, by the definition."""
-    def node(suffix):
-        at = [k for k in range(classes ** depth) if all(k // classes ** i % classes == s for i, s in enumerate(suffix))]
-        a, b = sum(zeros[k] for k in at), sum(ones[k] for k in at)
-        pe = 1.0
+def recursive(texts, depth, context, byte):
+    """log10 P(byte | context) by the definition, from the bytes of the training texts.
+
+    A context is a tuple with the byte just before first.
+    """
+    seen = {}
+    for text in texts:
+        padded = bytes([255] * depth) + text + b"\xff"
+        for k in range(depth, len(padded)):
+            for d in range(depth + 1):
+                seen.setdefault(tuple(padded[k - 1 - i] for i in range(d)), []).append(padded[k])
+
+    def counts(ctx, level, prefix):
+        bits = [x >> (7 - level) & 1 for x in seen.get(ctx, []) if x >> (8 - level) == prefix]
+        return len(bits) - sum(bits), sum(bits)
+
+    def kt(a, b):
+        p = 1.0
         for k in range(a):
-            pe *= (k + 0.5) / (k + 1)
+            p *= (k + 0.5) / (k + 1)
         for k in range(b):
-            pe *= (k + 0.5) / (a + k + 1)
-        if len(suffix) == depth:
-            return pe, (b + 0.5) / (a + b + 1), a + b
-        kids = [node((*suffix, s)) for s in range(classes)]
-        pw = 0.5 * pe + 0.5 * math.prod(k[0] for k in kids)
-        kt = (b + 0.5) / (a + b + 1)
-        child = kids[context // classes ** len(suffix) % classes]
-        stop = 0.5 * pe / pw
-        return pw, stop * kt + (1 - stop) * (child[1] if child[2] else kt), a + b
-
-    return node(())[1]
+            p *= (k + 0.5) / (a + k + 1)
+        return p
+
+    def weighted(ctx, level, prefix):
+        a, b = counts(ctx, level, prefix)
+        if len(ctx) == depth:
+            return kt(a, b)
+        return 0.5 * kt(a, b) + 0.5 * math.prod(weighted((*ctx, x), level, prefix) for x in range(256) if (*ctx, x) in seen)
+
+    def predict(ctx, level, prefix):
+        a, b = counts(ctx, level, prefix)
+        own = (b + 0.5) / (a + b + 1)
+        child = context[:len(ctx) + 1]
+        if len(ctx) == depth or sum(counts(child, level, prefix)) == 0:
+            return own
+        stop = 0.5 * kt(a, b) / weighted(ctx, level, prefix)
+        return stop * own + (1 - stop) * predict(child, level, prefix)
+
+    total = 0.0
+    for level in range(8):
+        p = predict((), level, byte >> (8 - level))
+        total += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
+    return total
+
+
+def levels_of(texts, depth):
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    code = ctw.events(raw, offsets, depth)[1]
+    return [np.unique(code & ctw._mask(d), return_counts=True) for d in range(depth + 1)]
 
 
 def test_weighting_by_the_definition():
-    rng = np.random.default_rng(0)
-    n0, n1 = rng.integers(0, 4, 9), rng.integers(0, 4, 9)
-    n0[4] = n1[4] = 0
-    got = ctw.bit_probability(n0, n1, classes=3, depth=2)
-    want = [recursive(n0.tolist(), n1.tolist(), k, 2, 3) for k in range(9)]
-    assert np.allclose(got, want, atol=1e-9)
-
-
-def test_table_is_a_distribution():
-    counts = np.zeros(ctw.CONTEXTS * 256, np.int64)
-    raw = np.frombuffer(b"the theme of the thesis", np.uint8)
-    np.add.at(counts, ctw.events(raw, np.array([0, len(raw)]))[1], 1)
-    p = (10 ** ctw.weigh(counts).astype(np.float64)).reshape(-1, 256).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
+    texts = [b"abcab", b"abba", b"cab"]
+    model = ctw.ContextTree(levels_of(texts, 2))
+    for context in ((97, 98), (98, 97), (255, 255), (99, 120), (120, 121)):
+        for byte in (97, 98, 99, 100, 255, 0):
+            code = np.array([(context[1] << 8 | context[0]) << 8 | byte])
+            assert abs(model.score(code)[0] - recursive(texts, 2, context, byte)) < 1e-5
+
+
+def test_every_context_has_a_distribution():
+    rng = np.random.default_rng(1)
+    texts = [rng.choice(np.frombuffer(b"abcde", np.uint8), 300).tobytes() for _ in range(5)]
+    full = levels_of(texts, 5)
+    for levels in (full, [full[0], full[1], *((c[n > 3], n[n > 3]) for c, n in full[2:3])], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]):
+        model = ctw.ContextTree(levels)
+        for context in (0, 0x6162636465, 0x6161616161, 0xFFFFFFFFFF):
+            p = 10 ** model.score(context << 8 | np.arange(256))
+            assert abs(p.sum() - 1) < 1e-5
+
+
+def test_bounded_levels_keep_parents(spark):
+    rows = [(i, f"some text {i % 13} and {i % 7} more of it {i}") for i in range(300)]
+    counts = ctw.count_events(docs_of(spark, rows).repartition(3))
+    full, small = ctw.kept_levels(counts), ctw.kept_levels(counts, max_events=150)
+    assert sum(n.sum() for _, n in full) == 6 * sum(len(t) + 1 for _, t in rows)
+    for d, (code, n) in enumerate(small):
+        assert len(code) <= 150 and set(code) <= set(full[d][0])
+        if d:
+            assert set((code >> 8) & (ctw._mask(d - 1) >> 8)) <= set(small[d - 1][0] >> 8)
+    bound = ctw.ContextTree(small)
+    p = 10 ** bound.score(int.from_bytes(b"text ", "big") << 8 | np.arange(256))
+    assert abs(p.sum() - 1) < 1e-5
 
 
 def test_learned_text_scores_higher(spark):
