@@ -20,7 +20,7 @@ from pairwright.operators import cleaning  # noqa: E402
 from pairwright.operators.indexing import row_index  # noqa: E402
 from pairwright.operators.sampling import sample_n  # noqa: E402
 from pairwright.plans import annotate as AN  # noqa: E402
-from pairwright.plans import backends as B  # noqa: E402
+from pairwright.plans.queries import SINGLE  # noqa: E402
 from pairwright.session import build_session, scratch_path  # noqa: E402
 from pairwright.sources.fixture import load_fixture_pairs  # noqa: E402
 
@@ -54,7 +54,7 @@ def main() -> None:
             "sample_n(100k)": timed(lambda: noop(sample_n(df, 100_000))),
             "row_index": timed(lambda: noop(row_index(df))),
             "annotate_single": timed(lambda: noop(AN.annotate_single(
-                df, "wrong_binding", backend=B.SingleAnswerRule(), store=scratch_path(spark, "probe")))),
+                df, "wrong_binding", backend=SINGLE, store=scratch_path(spark, "probe")))),
         }
         print(df.count(), result, flush=True)
 
