@@ -25,7 +25,7 @@ def plain_search(pattern, text):
 
 
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=30))
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 def test_bit_parallel_search(pattern, text):
     d, end = D.search(pattern, text)
     assert d == plain_search(pattern, text)
