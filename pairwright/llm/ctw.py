@@ -47,7 +47,7 @@ from pairwright.session import checkpoint_root, scratch_path, ship_package
 
 DEPTH = 5
 #: (context, byte) pairs kept at each depth.
-MAX_EVENTS = 1_000_000
+MAX_EVENTS = 400_000
 #: Ends a text and stands before it; never a byte of UTF-8.
 END = 255
 HOLD_OUT = 10
