@@ -76,7 +76,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the bytes decoded from them."""
     ranks, pattern = tokenizer_files()
-    both = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    both = bpe.encode(docs, ranks, pattern, decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

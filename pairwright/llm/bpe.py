@@ -27,6 +27,7 @@ import base64
 import hashlib
 import heapq
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from pairwright.session import checkpoint_root, ship_package
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 32 << 20
+#: Texts in a batch of the result.
+OUT_ROWS = 200
 #: Words longer than this are merged with a heap.
 LONG_WORD = 48
 
@@ -111,36 +114,45 @@ class Pretokenizer:
     """Splits texts by the pattern, with a cache of what lies between single spaces.
 
     A space with a non-space on both sides can only start a token, so the
-    text may be cut before it; each distinct piece is then split once.
+    text may be cut before it; each distinct piece is then split once. A text
+    with other spaces next to a space is split as a whole.
     """
 
-    CROWDED = regex.compile(r"\s | \s")
-
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int] | None] = {}
 
     def _numbers(self, piece: str) -> list[int]:
         words = self.words
         return [words.setdefault(w, len(words)) for w in self.find(piece)]
 
+    def _piece(self, p: str) -> list[int] | None:
+        """Word numbers of " " + p; None if p is empty or has a space at an end."""
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        words = self.words
+        if p.isalpha():
+            return [words.setdefault(" " + p, len(words))]
+        if p[-1] in ".," and p[:-1].isalpha():
+            return [words.setdefault(" " + p[:-1], len(words)), words.setdefault(p[-1], len(words))]
+        return self._numbers(" " + p)
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.CROWDED.search(text):
+        pieces, parts = self.pieces, text.split(" ")
+        if not parts[0] or parts[0][-1].isspace():
             return np.array(self._numbers(text), np.uint32)
-        out: list[int] = []
-        pieces, extend = self.pieces, out.extend
-        parts = text.split(" ")
-        if parts[0]:
-            extend(self._numbers(parts[0]))
+        lists = [self._numbers(parts[0])]
         for p in parts[1:]:
-            got = pieces.get(p)
+            got = pieces.get(p, 0)
+            if got == 0:
+                got = pieces[p] = self._piece(p)
             if got is None:
-                got = pieces[p] = self._numbers(" " + p)
-            extend(got)
-        return np.array(out, np.uint32)
+                return np.array(self._numbers(text), np.uint32)
+            lists.append(got)
+        return np.fromiter(chain.from_iterable(lists), np.uint32)
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -157,11 +169,13 @@ def pack(v: np.ndarray) -> bytes:
 
 def unpack(b: bytes) -> np.ndarray:
     a = np.frombuffer(b, np.uint8)
+    if not len(a):
+        return np.zeros(0, np.int64)
     last = a < 0x80
     ends = np.flatnonzero(last) + 1
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     shift = (np.arange(len(a)) - np.repeat(starts, ends - starts)) * 7
-    return np.add.reduceat((a & 0x7F).astype(np.int64) << shift, starts) if len(ends) else np.zeros(0, np.int64)
+    return np.add.reduceat((a & 0x7F).astype(np.int64) << shift, starts)
 
 
 def _chunks(batches, pattern: str):
@@ -185,13 +199,42 @@ def _chunks(batches, pattern: str):
         yield done()
 
 
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes, and each id's start and length in them."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        tokens[r] = token
+    sizes = np.array([len(t) for t in tokens])
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decode_lists(column: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The bytes of every list of ids (a null list: no bytes), a text at a time."""
+    raw, start, size = table
+    offsets = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int64)
+    ids = column.values.to_numpy() if len(column) else np.zeros(0, np.int32)
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        own = ids[a:b]
+        n = size[own]
+        ends = np.cumsum(n)
+        out.append(raw[np.repeat(start[own] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+    return pa.array(out, pa.binary())
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           checkpoint_input: bool = False) -> DataFrame:
-    """doc_id, ids array<int> of every whole text."""
+           checkpoint_input: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int> of every whole text.
+
+    With ``decoded`` the ids are decoded again in the same task, as ``decode``
+    would, into the column ``decoded``.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     ship_package(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    loaded = load_ranks(ranks_path)
+    ranks = spark.sparkContext.broadcast(loaded)
+    table_sent = spark.sparkContext.broadcast(token_table(loaded))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     if checkpoint_input:
         checkpoint_root(spark)
@@ -249,25 +292,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         # Word number -> where its ids lie.
         start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         start[at], count[at] = begin, n
-        offsets, values, total = [0], [], 0
-        for packed in texts.column("numbers").to_pylist():
+        def one(packed: bytes) -> np.ndarray:
             v = unpack(packed)
             if len(v) and v.max() >= len(at):
                 raise RuntimeError("the input gave other rows when read again; pass checkpoint_input=True")
             c = count[v]
             ends = np.cumsum(c)
-            size = int(ends[-1]) if len(ends) else 0
-            values.append(flat[np.repeat(start[v] - ends + c, c) + np.arange(size)].astype(np.int32))
-            total += size
-            offsets.append(total)
-        ids_col = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": ids_col.cast(pa.list_(pa.int32()))})
+            return flat[np.repeat(start[v] - ends + c, c) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+
+        # Small batches: a chunk's ids are never in one piece.
+        out = []
+        for i in range(0, len(texts), OUT_ROWS):
+            part = texts.slice(i, OUT_ROWS).combine_chunks()
+            ids = [one(packed) for packed in part.column("numbers").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            columns = {"doc_id": part.column("doc_id").chunk(0), "ids": lists}
+            if decoded:
+                columns["decoded"] = decode_lists(lists, table_sent.value)
+            out.append(pa.RecordBatch.from_pydict(columns))
+        return pa.Table.from_batches(out) if out else pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array([], pa.list_(pa.int32()))} | ({"decoded": pa.array([], pa.binary())} if decoded else {}))
 
     requests = rows.mapInArrow(words_of, "bucket int, chunk long, words array<string>, at binary").repartition("bucket")
     replies = requests.select("chunk", "words", "at").mapInArrow(encode_words, "chunk long, at binary, ids binary, n binary")
     texts = rows.mapInArrow(texts_of, f"chunk long, doc_id {id_type}, numbers binary")
     joined = texts.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return joined.applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
+    return joined.applyInArrow(assemble, f"doc_id {id_type}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -275,19 +325,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     spark = encoded.sparkSession
     small_batches(spark)
     ship_package(spark)
-    ranks = load_ranks(ranks_path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, r in ranks.items():
-        table[r] = token
-    held = spark.sparkContext.broadcast(table)
+    held = spark.sparkContext.broadcast(token_table(load_ranks(ranks_path)))
     k = encoded.columns.index(ids_col)
 
     def run(batches):
-        get = held.value.__getitem__
         for b in batches:
-            ids = b.column(k)
-            out = [b"".join(map(get, x)) if x else b"" for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], schema=pa.schema([*b.schema, pa.field(out_col, pa.binary())]))
+            out = decode_lists(b.column(k), held.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, out], schema=pa.schema([*b.schema, pa.field(out_col, pa.binary())]))
 
     from pyspark.sql.types import BinaryType, StructType
 
@@ -296,7 +340,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path)
+    both = encode(docs, ranks_path, pattern, id_col, text_col, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

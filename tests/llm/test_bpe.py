@@ -47,6 +47,13 @@ def test_round_trip_of_odd_rows(odd):
     check(ODD, odd)
 
 
+def test_decode_alone(spark):
+    rows = [(1, [46, 84, 2123]), (2, []), (3, None), (4, [50255])]
+    df = spark.createDataFrame(rows, "id int, ids array<int>")
+    got = {r.id: bytes(r.decoded) for r in bpe.decode(df, PATH).collect()}
+    assert got == {i: ENC.decode_bytes(ids or []) for i, ids in rows}
+
+
 def test_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
     rows = [(i, f"common words here, and number {i} of é\n texts") for i in range(200)]
