@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once by the vectorised functions.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 19
 #: Rows per Arrow batch: bounds what a Python worker holds of long texts.
 ARROW_ROWS = 500
 
