@@ -128,3 +128,20 @@ def test_learned_text_scores_higher(spark):
     got = {r.doc_id: r for r in ctw.score_texts(docs_of(spark, rows)).collect()}
     assert got[900].bits_per_byte < got[901].bits_per_byte
     assert all(r.score < 0 for r in got.values())
+
+
+def test_scores_keep_every_context(spark, monkeypatch):
+    # More contexts than any gathered table would have at its bound before: each text has its own.
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 5_000)
+    rng = np.random.default_rng(4)
+    rows = [(i, bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789 ", np.uint8), 2_000)).decode()) for i in range(450)]
+    rows += [(1000 + i, rows[i][1][:300] + "\u00e9\u4e2d new") for i in range(20)] + [(2000, None), (2001, "")]
+    docs = docs_of(spark, rows).repartition(3).checkpoint()
+    whole = ctw.ContextTree(ctw.kept_levels(ctw.count_events(docs.where(~ctw.held_out()))))
+    assert len(whole.pair_keys) > 1_600_000 and np.count_nonzero(whole.pair_keys >> 56 == 5) > 400_000
+    got = {r.doc_id: r for r in ctw.score_texts(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        want = whole.score(ctw.events(raw, np.array([0, len(raw)]))[1]).sum()
+        assert abs(got[i].score - want) < 1e-5 * max(1, abs(want))
