@@ -13,13 +13,15 @@ at most ``floor(EDIT_SHARE * n)`` from the item.
    and moves on if a random bit of (step, token) says so. Edits then cost a
    few differing places each, so edit distance becomes Hamming distance.
    Each of ``REPEATS`` walks gives one LSH key from ``SAMPLES`` places.
-3. Windows that share a key with an item are verified exactly: the smallest
-   edit distance of the item to any stretch around the window, by the
-   bit-parallel recurrence over one integer.
-
-Recall: with h of the 2n places differing, a key agrees with probability
-(1 - h/2n)**SAMPLES; at one third differing, 32 keys of 3 places miss with
-probability below 1e-4, besides the windows that start a token off.
+3. The keys alone lose pairs: edits of one kind shift the walk, more so in long
+   items (h differing places of 2n leave a key equal with probability
+   (1 - h/2n)**SAMPLES only). So windows are linked by token pairs as well: at
+   most 2e of an item's n - 1 pairs can be broken, so one of its 2e + 1 pairs
+   that are rarest in the benchmark is in the window, and at least n - 1 - 2e
+   of all its pairs are. That loses no item, whatever the edits and the length.
+4. Linked windows are verified exactly: the smallest edit distance of the item
+   to any stretch around the window, by the bit-parallel recurrence over one
+   integer.
 
 The benchmark is a query set: it is read in blocks of ``ITEM_BLOCK`` items,
 each block is sent to the tasks (so what is sent is bounded) and takes one
@@ -139,6 +141,58 @@ class Items:
             item = np.repeat(np.arange(len(long)), REPEATS)
             order = np.argsort(keys.ravel(), kind="stable")
             self.key_list, self.key_item = keys.ravel()[order], item[order]
+        self._index_pairs()
+
+    def _index_pairs(self) -> None:
+        """Of each length: (pair, item) of the 2e + 1 rarest pairs of every item, by pair."""
+        self.item_pairs = [window_hashes(np.array(s, np.uint64), 2) for s in self.seqs]
+        every, count = np.unique(np.concatenate([*self.item_pairs, np.zeros(0, np.uint64)]), return_counts=True)
+        rare: dict[int, list] = defaultdict(list)
+        for item, pairs in enumerate(self.item_pairs):
+            n = len(pairs) + 1
+            order = np.argsort(count[np.searchsorted(every, pairs)], kind="stable")[:2 * int(edits_allowed(n)) + 1]
+            some = np.unique(pairs[order])
+            rare[n].append((some, np.full(len(some), item)))
+        self.rare = {}
+        for n, parts in rare.items():
+            pair, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(pair, kind="stable")
+            self.rare[n] = pair[order], item[order]
+
+    def linked(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+        """(window start, item) of windows around all that hold enough pairs of the item."""
+        out = []
+        pair = window_hashes(h, 2)
+        for size in np.unique(n):
+            size = int(size)
+            need = max(1, size - 1 - 2 * int(edits_allowed(size)))
+            s, e = start[n == size], stop[n == size]
+            # Each pair in some window once.
+            depth = np.zeros(len(h) + 1, np.int64)
+            np.add.at(depth, s, 1)
+            np.add.at(depth, e - 1, -1)
+            at = np.flatnonzero(np.cumsum(depth)[:len(pair)] > 0)
+            key, owner = self.rare[size]
+            lo, hi = np.searchsorted(key, pair[at], side="left"), np.searchsorted(key, pair[at], side="right")
+            k = hi - lo
+            item = owner[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            at = np.repeat(at, k)
+            order = np.lexsort((at, item))
+            item, at = item[order], at[order]
+            # Hits of an item nearer than a window lie in one stretch.
+            edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size)])) if len(at) else []
+            for i, j in zip(edge, [*edge[1:], len(at)]):
+                low, high = max(int(at[i]) - size, 0), int(at[j - 1]) + size
+                p = low + np.flatnonzero(np.isin(pair[low:high], self.item_pairs[item[i]]))
+                if len(p) < need:
+                    continue
+                first, last = p[:len(p) - need + 1], p[need - 1:]
+                ok = last - first <= size - 2
+                # The first and the last of the windows that cover the pairs.
+                x, y = np.searchsorted(s, last[ok] - size + 2), np.searchsorted(s, first[ok] + 1)
+                ends = np.concatenate([x[x < y], y[x < y] - 1])
+                out += [(int(w), int(item[i])) for w in np.unique(s[ends])]
+        return out
 
     def keys(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray) -> np.ndarray:
         """LSH keys (windows x walks) of the windows [start, stop) of item length n."""
@@ -205,6 +259,8 @@ class Items:
         for w, r in zip(*np.nonzero(hi > lo)):
             for item in self.key_item[lo[w, r]:hi[w, r]]:
                 places[int(row[w]), int(item)].add(int(start[w]))
+        for s, item in self.linked(h, start, stop, n):
+            places[int(np.searchsorted(first, s, side="right")) - 1, item].add(s)
         for (k, item), spots in places.items():
             seq = self.seqs[item]
             e = int(edits_allowed(len(seq)))

@@ -98,3 +98,28 @@ def test_walk_keeps_equal_windows_equal():
     h = np.array(items.seqs[0] + items.seqs[0], np.uint64)
     keys = items.keys(h, np.array([0, 20]), np.array([20, 40]), np.array([20, 20]))
     assert (keys[0] == keys[1]).all()
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute"])
+@pytest.mark.parametrize("n", [30, 50, 100, 200, 300])
+def test_no_item_within_the_edit_bound_is_lost(kind, n):
+    rnd = random.Random(n)
+    weights = [1 / (k + 1) for k in range(len(VOCAB))]
+    draw = lambda k: rnd.choices(VOCAB, weights, k=k)
+    texts = [draw(n) for _ in range(25)]
+    items = D.Items([(k, " ".join(w)) for k, w in enumerate(texts)])
+    rows = []
+    for w in texts:
+        w = list(w)
+        for _ in range(int(0.2 * n)):
+            at = rnd.randrange(len(w))
+            if kind == "delete":
+                del w[at]
+            elif kind == "insert":
+                w.insert(at, draw(1)[0])
+            else:
+                w[at] = draw(1)[0]
+        rows.append(" ".join([*draw(40), *w, *draw(40)]).encode())
+    raw, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    found = {(k, item) for k, item, *_ in items.find(*D.tokens(raw, offsets))}
+    assert found >= {(k, k) for k in range(25)}
