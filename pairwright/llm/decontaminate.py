@@ -1,6 +1,7 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling LSH, exact edits.
 
-Texts and items are token sequences (runs of letters and digits, A-Z as a-z).
+Texts and items are token sequences (runs of letters and digits, A-Z as a-z; in
+scripts without spaces every code point is a token).
 An item of n tokens is found in a text where a stretch of it has edit distance
 at most ``floor(EDIT_SHARE * n)`` from the item.
 
@@ -27,8 +28,10 @@ The benchmark is a query set: it is read in blocks of ``ITEM_BLOCK`` items,
 each block is sent to the tasks (so what is sent is bounded) and takes one
 pass over the documents. Documents are never shuffled.
 
-Defined cases: items below ``MIN_TOKENS`` tokens are too short to be told from
-chance in running text and match only texts that consist of them; a null or
+Defined cases: items below ``MIN_TOKENS`` tokens are found without edits,
+anywhere in a text; those whose tokens have under ``SHORT_BYTES`` bytes are
+too short to be told from chance in running text and match only texts that
+consist of them; a null or
 empty item matches nothing; equal items all match; a null text is empty;
 repeated rows are rows of their own; an empty table on either side gives no
 hits; other columns are ignored by ``find_passages`` and kept by
@@ -49,6 +52,8 @@ from pairwright.session import ship_package
 
 EDIT_SHARE = 0.2
 MIN_TOKENS = 8
+#: Bytes of an item below MIN_TOKENS that is looked for inside texts: 6 ideographs, or 3 to 4 words.
+SHORT_BYTES = 16
 REPEATS = 32
 SAMPLES = 3
 ITEM_BLOCK = 20_000
@@ -64,10 +69,41 @@ def edits_allowed(n):
     return np.floor(EDIT_SHARE * np.asarray(n)).astype(np.int64)
 
 
+def _unspaced() -> np.ndarray:
+    """First two bytes (as one number) of three-byte code points in scripts without spaces."""
+    out = np.zeros(1 << 16, bool)
+    # Thai, Lao, Tibetan, Myanmar, Khmer; kana and ideographs with their signs; compatibility and full width.
+    for lo, hi in ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3130), (0x31C0, 0xA4D0), (0xF900, 0xFB00), (0xFF00, 0xFFC0)):
+        for cp in range(lo, hi, 64):
+            first, second = chr(cp).encode()[:2]
+            out[first << 8 | second] = True
+    # Ideographs beyond the basic plane have four bytes, from F0 A0 on.
+    for second in range(0xA0, 0xC0):
+        out[0xF0 << 8 | second] = True
+    return out
+
+
+UNSPACED = _unspaced()
+
+
+def token_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first token of each row) of a slab."""
+    w = Words(raw, offsets, NOT_TOKEN)
+    if not len(raw) or raw.max() < 0xE0:
+        return w.starts, w.ends, w.first
+    lead = np.flatnonzero(raw[:-1] >= 0xE0)
+    lead = lead[UNSPACED[raw[lead].astype(np.int64) << 8 | raw[lead + 1]]]
+    cut = np.unique(np.concatenate([lead, lead + np.where(raw[lead] >= 0xF0, 4, 3)]))
+    cut = cut[(cut > 0) & (cut < len(raw))]
+    cut = cut[~NOT_TOKEN[raw[cut]] & ~NOT_TOKEN[raw[cut - 1]] & ~np.isin(cut, offsets)]
+    starts, ends = np.sort(np.concatenate([w.starts, cut])), np.sort(np.concatenate([w.ends, cut]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes, first token of each row) of a slab."""
-    w = Words(raw, offsets, NOT_TOKEN)
-    return span_hashes(raw, w.starts, w.ends), w.first
+    starts, ends, first = token_spans(raw, offsets)
+    return span_hashes(raw, starts, ends), first
 
 
 def search(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -113,14 +149,21 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         arr = pa.array([t or "" for _, t in items], pa.large_string())
-        parts = [tokens(raw, offsets) + (i,) for i, _, raw, offsets in slabs(arr)]
         by_tokens: dict[tuple, list[int]] = defaultdict(list)
-        for h, first, i0 in parts:
+        size: dict[tuple, int] = {}
+        for i0, _, raw, offsets in slabs(arr):
+            starts, ends, first = token_spans(raw, offsets)
+            h = span_hashes(raw, starts, ends)
             for k in range(len(first) - 1):
                 seq = tuple(h[first[k]:first[k + 1]].tolist())
                 if seq:
                     by_tokens[seq].append(items[i0 + k][0])
+                    size[seq] = int((ends - starts)[first[k]:first[k + 1]].sum())
         self.short = {s: ids for s, ids in by_tokens.items() if len(s) < MIN_TOKENS}
+        #: Those looked for inside texts: sorted window hashes of each length.
+        self.inside = {n: np.unique([window_hashes(np.array(s, np.uint64), n)[0] for s in self.short if len(s) == n and size[s] >= SHORT_BYTES])
+                       for n in {len(s) for s in self.short if size[s] >= SHORT_BYTES}}
+        self.whole = {s for s in self.short if size[s] < SHORT_BYTES}
         long = [(s, ids) for s, ids in by_tokens.items() if len(s) >= MIN_TOKENS]
         self.seqs = [list(s) for s, _ in long]
         self.ids = [ids for _, ids in long]
@@ -244,10 +287,21 @@ class Items:
     def find(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, distance, start token, end token) of every item in every row, best place each."""
         out = []
-        if self.short:
+        if self.whole:
             for k in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < MIN_TOKENS)):
                 seq = tuple(h[first[k]:first[k + 1]].tolist())
-                out += [(int(k), i, 0, 0, len(seq)) for i in self.short.get(seq, ())]
+                if seq in self.whole:
+                    out += [(int(k), i, 0, 0, len(seq)) for i in self.short[seq]]
+        for size, table in self.inside.items():
+            begin, rows = windows_in_rows(first, size)
+            hit = _member(table, window_hashes(h, size)[begin]) if len(begin) else np.zeros(0, bool)
+            seen = set()
+            for at, k in zip(begin[hit].tolist(), rows[hit].tolist()):
+                seq = tuple(h[at:at + size].tolist())
+                if seq in self.short and seq not in self.whole and (k, seq) not in seen:
+                    seen.add((k, seq))
+                    s = at - int(first[k])
+                    out += [(k, i, 0, s, s + size) for i in self.short[seq]]
         start, stop, n = self.windows(h, first)
         if not len(start):
             return out

@@ -123,3 +123,15 @@ def test_no_item_within_the_edit_bound_is_lost(kind, n):
     raw, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
     found = {(k, item) for k, item, *_ in items.find(*D.tokens(raw, offsets))}
     assert found >= {(k, k) for k in range(25)}
+
+
+def test_short_items_and_unspaced_scripts_inside_texts(spark):
+    chinese = "床前明月光疑是地上霜舉頭望明月低頭思故鄉"
+    bench = benchmark_of(spark, [(1, "Photosynthesis converts sunlight"), (2, "yes"), (3, chinese), (4, "สวัสดีครับยินดีต้อนรับ"), (5, "東京は日本の"), (6, "\U00020000\U00020001\U00020002\U00020003\U00020004\U00020005\U00020006\U00020007x")])
+    docs = docs_of(spark, [(1, "They say photosynthesis converts sunlight, photosynthesis converts sunlight."), (2, "yes and no"), (3, "Yes!"), (4, f"前文在此。{chinese}。後文"),
+                           (5, "ก่อน สวัสดีครับยินดีต้อนรับทุกคน"), (6, "昔東京は日本の首都"), (7, "photosynthesis converts the sunlight"), (8, "東京は日本"), (9, f"詩 {chinese[:9]}x{chinese[10:]}"),
+                           (10, "a\U00020000\U00020001\U00020002\U00020003\U00020004\U00020005\U00020006\U00020007x")])
+    hits = D.find_passages(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in hits} == {(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 5, 0), (9, 3, 1), (10, 6, 0)}
+    assert [(r.start_token, r.end_token) for r in hits if r.doc_id in (1, 6)] == [(2, 5), (1, 7)]
+    assert sorted(r.doc_id for r in D.decontaminate(docs, bench).collect()) == [2, 7, 8]
