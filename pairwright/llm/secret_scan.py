@@ -36,7 +36,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 
 #: Bits a character that a window of each class must reach.
-THRESHOLDS = {"hex": 3.1, "upper": 3.7, "mixed": 3.8}
+THRESHOLDS = {"hex": 3.1, "upper": 3.7, "mixed": 3.8, "lower": 3.4}
+#: Turns between letters and digits that a window of the lower class must have,
+#: without the first of each piece between separators (h264, 2nd, mp4).
+LOWER_TURNS = 3
 
 _HAS_DIGIT, _HAS_UPPER, _HAS_LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 #: Runs that are never secrets: words, numbers, slugs and paths of words, UUIDs.
@@ -49,14 +52,14 @@ ALLOW = [
 
 
 def char_class(run: str) -> str | None:
-    """hex, upper, mixed, or None where no class of secrets fits."""
+    """hex, upper, mixed, lower, or None where no class of secrets fits."""
     if not _HAS_DIGIT.search(run):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
     if not _HAS_LOWER.search(run):
         return "upper"
-    return "mixed" if _HAS_UPPER.search(run) else None
+    return "mixed" if _HAS_UPPER.search(run) else "lower"
 
 
 def allowed(run: str) -> bool:
@@ -67,8 +70,21 @@ def allowed(run: str) -> bool:
     return steps >= 0.6 * (len(run) - 1)
 
 
-def hot_windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged windows of ``run`` whose entropy reaches ``threshold``.
+def turns_before(run: str) -> list[int]:
+    """How many turns between letters and digits end before or at each character, the first of each piece left out."""
+    out, total, first = [], 0, True
+    for a, b in zip(" " + run, run):
+        if not b.isalnum():
+            first = True
+        elif a.isalnum() and a.isdigit() != b.isdigit():
+            total += not first
+            first = False
+        out.append(total)
+    return out
+
+
+def hot_windows(run: str, threshold: float, width: int = WINDOW, turns: int = 0) -> list[tuple[int, int]]:
+    """Merged windows of ``run`` whose entropy reaches ``threshold``, with at least so many turns.
 
     ``s`` is the sum of c*log2(c) over the window's counts; moving the window
     changes two counts, so each step costs the same.
@@ -78,6 +94,7 @@ def hot_windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[i
     clog = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
     s, out = 0.0, []
+    turned = turns_before(run) if turns else [0] * len(run)
     for i, ch in enumerate(run):
         c = counts.get(ch, 0)
         s += clog[c + 1] - clog[c]
@@ -87,7 +104,7 @@ def hot_windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[i
             c = counts[old]
             s += clog[c - 1] - clog[c]
             counts[old] = c - 1
-        if i >= width - 1 and math.log2(width) - s / width >= threshold - 1e-9:
+        if i >= width - 1 and math.log2(width) - s / width >= threshold - 1e-9 and turned[i] - turned[i - width + 1] >= turns:
             a, b = i - width + 1, i + 1
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], b)
@@ -96,6 +113,21 @@ def hot_windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[i
     return out
 
 
+def whole_pieces(run: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans out to the ends of the pieces between separators that they reach into."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a and run[a].isalnum() and run[a - 1].isalnum():
+            a -= 1
+        while b < len(run) and run[b - 1].isalnum() and run[b].isalnum():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of one whole text, each by start then kind."""
     if not text:
@@ -111,7 +143,11 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
         run = m[0]
         kind = char_class(run)
         if kind and not allowed(run):
-            more += [("entropy", m.start() + a, m.start() + b) for a, b in hot_windows(run, THRESHOLDS[kind])]
+            if kind == "lower":
+                hot = whole_pieces(run, hot_windows(run, THRESHOLDS[kind], turns=LOWER_TURNS))
+            else:
+                hot = hot_windows(run, THRESHOLDS[kind])
+            more += [("entropy", m.start() + a, m.start() + b) for a, b in hot]
     more = [x for x in more if not any(s <= x[1] and x[2] <= e for _, s, e in base)]
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(base + more, key=order)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -61,3 +62,19 @@ def test_query_rows_and_redaction(spark, odd, empty):
     assert {r.doc_id: r.text for r in S.redact_secrets(d).collect()} == {1: "x [SECRET] y", 2: "[SECRET]", 3: None}
     assert S.redact_secrets(d).columns == d.columns
     assert S.scan_secrets(empty).count() == 0
+
+
+def test_lower_case_keys_and_clean_lower_case_runs():
+    rnd = random.Random(3)
+    whole = 0
+    for k in range(400):
+        key = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40 if k % 2 else 32))
+        key = key if k % 2 else f"sk_live_{key}"
+        spans = S.find_spans(f"see {key} there")[1]
+        assert spans and all(x[0] == "entropy" for x in spans), key
+        covered = {i for _, a, b in spans for i in range(a, b)}
+        whole += len(covered & set(range(4 + (0 if k % 2 else 8), 4 + len(key)))) == (40 if k % 2 else 32)
+    assert whole == 400
+    for clean in ("how-to-configure-nginx-2-on-ubuntu-20-04-lts", "utf8mb4_general_ci_collation", "video-1080p-mp4-h264-x265-8k-2nd-cut", "the_int64_to_uint32_conversion_v2",
+                  "img_20210304_123456_final2", "usr/lib/python3/dist-packages/b2b/x86_64-linux-gnu", "550e8400-e29b-41d4-a716-446655440000", "report-q3-2024-4th-draft-v2b", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert S.find_spans(clean)[1] == [], clean
