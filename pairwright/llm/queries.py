@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, ctw, decontaminate, langid, near_dedup, pii, quality, suffix_dedup
+from pairwright.llm import bpe, ctw, decontaminate, hard_negatives, langid, near_dedup, pii, quality, suffix_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -74,6 +74,11 @@ def op10_byte_shards(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir), n_shards=40)
 
 
+def op11_str_rtree_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector, searched against all vectors."""
+    return hard_negatives.mine_hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=hard_negatives.shifted_label())
+
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_perplexity_bands": op2_perplexity_bands,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op10_byte_shards": op10_byte_shards,
+    "op11_str_rtree_negatives": op11_str_rtree_negatives,
 }
 
 #: Near-duplicate links by comparing all sets, and their components.
@@ -109,4 +115,29 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.r) AS component_id, s.doc
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_odd_sketch": OP1_SQL}
+#: Hard negatives by comparing each anchor with all rows.
+OP11_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS p
+  FROM scored WHERE same QUALIFY p <= 5
+), neg AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.p ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+  FROM pos p JOIN scored n ON n.ar = p.ar AND NOT n.same
+   AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+  QUALIFY rank <= 10
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_odd_sketch": OP1_SQL, "op11_str_rtree_negatives": OP11_SQL}
