@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, ctw, decontaminate, hard_negatives, langid, near_dedup, pii, quality, suffix_dedup
+from pairwright.llm import bpe, ctw, decontaminate, hard_negatives, langid, near_dedup, pii, quality, resampling, suffix_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -79,6 +79,11 @@ def op11_str_rtree_negatives(spark, sf_dir):
     return hard_negatives.mine_hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=hard_negatives.shifted_label())
 
 
+def op12_importance_resampling(spark, sf_dir):
+    """All documents weighed towards the benchmark's n-grams; a twentieth of those with 20 words is drawn."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_perplexity_bands": op2_perplexity_bands,
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op10_byte_shards": op10_byte_shards,
     "op11_str_rtree_negatives": op11_str_rtree_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: Near-duplicate links by comparing all sets, and their components.
