@@ -43,8 +43,8 @@ from pairwright.session import scratch_path
 BUCKETS = 10_000
 WIDEST = 3
 #: Words whose n-grams are held at once, and bytes of text cut into words at once.
-PIECE_WORDS = 1 << 17
-PIECE_BYTES = 1 << 20
+PIECE_WORDS = 1 << 14
+PIECE_BYTES = 1 << 18
 
 #: Bytes outside words: ASCII but digits and letters.
 GAP = np.ones(256, bool)
