@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import bpe, ctw, decontaminate, hard_negatives, langid, near_dedup, pii, quality, resampling, suffix_dedup
+from pairwright.llm import bpe, ctw, decontaminate, hard_negatives, langid, line_dedup, near_dedup, pii, quality, resampling, suffix_dedup
 from pairwright.llm.secret_scan import scan_secrets
 from pairwright.llm.sharding import shard_by_bytes
 
@@ -84,6 +84,11 @@ def op12_importance_resampling(spark, sf_dir):
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_line_dedup(spark, sf_dir):
+    """All documents without their repeated lines, by levelled runs of line hashes."""
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_perplexity_bands": op2_perplexity_bands,
@@ -97,6 +102,7 @@ QUERIES = {
     "op10_byte_shards": op10_byte_shards,
     "op11_str_rtree_negatives": op11_str_rtree_negatives,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: Near-duplicate links by comparing all sets, and their components.
@@ -146,4 +152,21 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_odd_sketch": OP1_SQL, "op11_str_rtree_negatives": OP11_SQL}
+#: Lines of all documents, counted and joined again.
+OP13_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents
+), keyed AS (
+  SELECT doc_id, at, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), often AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT doc_id, at, line, coalesce(doc_id <> top, false) AS gone FROM keyed LEFT JOIN often USING (k)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_odd_sketch": OP1_SQL, "op11_str_rtree_negatives": OP11_SQL, "op13_line_dedup": OP13_SQL}
