@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pairwright.functions.text import ADVERB_GROUPS, ALL_ADVERBS, STRIP_CHARS
 from pairwright.operators.candidates import CATEGORY_LABELS, PREDICATES
+from pairwright.oracle_structure import structure_queries
 from pairwright.sources.fixture import TEMPLATES
 
 W = r"[\p{L}\p{M}\p{N}_]"
@@ -27,8 +28,8 @@ def str_list(items) -> str:
     return "[" + ", ".join(q(x) for x in items) + "]::VARCHAR[]"
 
 
-def pairs_cte(name: str = "pairs") -> str:
-    rows = ", ".join(f"{{'k': {k}, 'n': {q(n)}, 'f': {q(f)}}}" for k, n, f in TEMPLATES)
+def pairs_cte(name: str = "pairs", templates=None) -> str:
+    rows = ", ".join(f"{{'k': {k}, 'n': {q(n)}, 'f': {q(f)}}}" for k, n, f in templates or TEMPLATES)
 
     def cap(e):
         return f"concat(upper(substr({e},1,1)), substr({e},2))"
@@ -191,6 +192,7 @@ def oracle_queries() -> dict[str, str]:
     for short in PRED_SQL:
         out[f"cand_{short}"] = with_pairs(f"SELECT {P} FROM pairs WHERE {pred(short)}")
     out.update(oracle_model_queries())
+    out.update(structure_queries(pairs_cte))
     return out
 
 

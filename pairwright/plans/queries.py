@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairwright.fixed_values import SEED_MULTI, SEED_SINGLE
 from pairwright.functions.text import FREQUENCY_ADVERBS
-from pairwright.operators import audit, cleaning, diagnostics
+from pairwright.operators import audit, cleaning, diagnostics, structure
 from pairwright.operators import candidates as C
 from pairwright.operators.indexing import row_index
 from pairwright.operators.sampling import sample_n
@@ -35,7 +35,7 @@ from pairwright.plans.model_job import (
 )
 from pairwright.session import ensure_parallelism, scratch_path
 from pairwright.sources import tables
-from pairwright.sources.fixture import load_fixture_pairs
+from pairwright.sources.fixture import load_fixture_pairs, load_structure_pairs
 from pairwright.sources.pairs import read_json_pairs, read_pairs, select_pairs, write_pairs
 
 PAIR = ["pair_id", "nl_sentence", "fol_expression"]
@@ -507,3 +507,63 @@ QUERIES.update({
     "source_counts": q_source_counts,
     "chart_data": q_chart_data,
 })
+
+
+# --- formula structure --------------------------------------------------------------
+
+
+def _formulas(spark, sf_dir):
+    return load_structure_pairs(spark, sf_dir)
+
+
+def _as_json(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, F.to_json(col))
+
+
+def q_free_variables(spark, sf_dir):
+    """Formulas with variables that no quantifier binds."""
+    return _as_json(structure.free_variables(_formulas(spark, sf_dir)), "free_variables")
+
+
+def q_bracket_faults(spark, sf_dir):
+    return structure.bracket_faults(_formulas(spark, sf_dir))
+
+
+def q_cand_missing_parentheses(spark, sf_dir):
+    return _as_json(structure.missing_parentheses_candidates(_formulas(spark, sf_dir)), "mixed_connectives")
+
+
+def q_cand_predicate_nesting(spark, sf_dir):
+    return _as_json(structure.predicate_nesting_candidates(_formulas(spark, sf_dir)), "nested")
+
+
+def q_negation_scopes(spark, sf_dir):
+    """What each negation covers, and whether it denies the whole formula."""
+    return _as_json(structure.negation_scopes(_formulas(spark, sf_dir)), "scopes")
+
+
+def q_both_sides_denied(spark, sf_dir):
+    return _as_json(structure.both_sides_denied(_formulas(spark, sf_dir)), "denied_arrows")
+
+
+def q_structural_flags(spark, sf_dir):
+    df = structure.structural_flags(_formulas(spark, sf_dir)).where("structural IS NOT NULL")
+    return _as_json(df, "structural").select("pair_id", "structural")
+
+
+def q_structural_counts(spark, sf_dir):
+    """Formulas per structural category."""
+    df = structure.structural_flags(_formulas(spark, sf_dir))
+    return df.select(F.explode("structural").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+QUERIES.update({
+    "free_variables": q_free_variables,
+    "bracket_faults": q_bracket_faults,
+    "cand_missing_parentheses": q_cand_missing_parentheses,
+    "cand_predicate_nesting": q_cand_predicate_nesting,
+    "negation_scopes": q_negation_scopes,
+    "both_sides_denied": q_both_sides_denied,
+    "structural_flags": q_structural_flags,
+    "structural_counts": q_structural_counts,
+})
