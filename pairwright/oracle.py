@@ -191,6 +191,8 @@ def oracle_queries() -> dict[str, str]:
     }
     for short in PRED_SQL:
         out[f"cand_{short}"] = with_pairs(f"SELECT {P} FROM pairs WHERE {pred(short)}")
+    odd = with_pairs("SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN nl_sentence || ' }],{\"\\ ' || chr(10) || ',\"\"' ELSE nl_sentence END AS nl_sentence, fol_expression FROM pairs")
+    out |= {"source_json_array_split": odd, "source_csv_quoted_split": odd}
     out.update(oracle_model_queries())
     out.update(structure_queries(pairs_cte))
     return out

@@ -36,7 +36,8 @@ from pairwright.plans.model_job import (
 from pairwright.session import ensure_parallelism, scratch_path
 from pairwright.sources import tables
 from pairwright.sources.fixture import load_fixture_pairs, load_structure_pairs
-from pairwright.sources.pairs import read_json_pairs, read_pairs, select_pairs, write_pairs
+from pairwright.sources.pairs import CSV_OPTIONS, read_json_pairs, read_pairs, select_pairs, write_pairs
+from pairwright.sources.splits import read_json_array_pairs, read_quoted_csv_pairs
 
 PAIR = ["pair_id", "nl_sentence", "fol_expression"]
 
@@ -567,3 +568,38 @@ QUERIES.update({
     "structural_flags": q_structural_flags,
     "structural_counts": q_structural_counts,
 })
+
+
+# --- files without line ends between records -------------------------------------------
+
+#: Split size of these reads, so that files of every scale factor are cut.
+SPLIT_BYTES = 1 << 18
+#: Signs that mean something else inside quotes, put into every third sentence.
+ODD_SIGNS = ' }],{"\\ \n,""'
+
+
+def _odd_pairs(spark, sf_dir):
+    odd = F.when(F.col("pair_id") % 3 == 0, F.concat("nl_sentence", F.lit(ODD_SIGNS))).otherwise(F.col("nl_sentence"))
+    return _pairs(spark, sf_dir).withColumn("nl_sentence", odd)
+
+
+def q_source_json_array_split(spark, sf_dir):
+    """JSON array files read by byte ranges."""
+    path = scratch_path(spark, "pairs-json-split")
+    record = F.struct("pair_id", F.col("nl_sentence").alias("NL"), F.col("fol_expression").alias("FOL"))
+    files = _odd_pairs(spark, sf_dir).groupBy(F.expr("pair_id div 500000")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_array_pairs(spark, path, split_bytes=SPLIT_BYTES)
+
+
+def q_source_csv_quoted_split(spark, sf_dir):
+    """CSV files with raw line breaks in quotes read by byte ranges."""
+    path = scratch_path(spark, "pairs-csv-split")
+    _odd_pairs(spark, sf_dir).write.options(**CSV_OPTIONS).csv(path)
+    return read_quoted_csv_pairs(spark, path, split_bytes=SPLIT_BYTES)
+
+
+QUERIES.update({
+    "source_json_array_split": q_source_json_array_split,
+    "source_csv_quoted_split": q_source_csv_quoted_split,
+})
