@@ -5,7 +5,11 @@ whole row, which gives the same rows on any partitioning and in any engine
 with md5. A null id ranks by the md5 of ``#seed`` alone, so rows without an id
 take part like all others.
 
-The n-th rank is found by counting: the ranks alone are written to the scratch
+Ranks spread evenly, so for a small n a cutoff a little above the n-th rank is
+known from the number of rows; one pass over the ids counts the rows below it,
+and if they are enough, only they are sorted.
+
+Otherwise (many rows, or ids that repeat) the n-th rank is found by counting: the ranks alone are written to the scratch
 folder once, and a few passes over that narrow table count them in at most
 ``SELECT_BUCKETS`` equal bands, each time going into the band that holds the
 n-th. Rows below the last band are taken by a filter; only the last band (at
@@ -16,7 +20,7 @@ and the missing number of them is made from one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.fixed_values import SEED_MULTI
@@ -62,6 +66,15 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_
         raise ValueError("n must be >= 0")
     spark, cols = df.sparkSession, df.columns
     rank = sample_rank(id_col, seed)
+    if 0 < n <= band_rows:
+        total = df.count()
+        if n >= total and not (strict and n > total):
+            return df
+        # Six standard deviations above n: the rows below it are too few once in a billion.
+        cutoff = int((n + 6 * n ** 0.5 + 36) / total * _TOP) if total else 0
+        near = df.where(_rank_prefix(rank) <= cutoff)
+        if n <= total and n <= near.count() <= 2 * band_rows:
+            return near.orderBy(rank, id_col, F.xxhash64(*cols)).limit(n)
     keyed = df.withColumns({"_rank": rank, "_h": _rank_prefix(rank), "_t": F.xxhash64(*cols).bitwiseAND(F.lit(_TOP))})
     path = scratch_path(spark, "sample-ranks")
     keyed.select("_h", "_t").write.parquet(path)
@@ -85,3 +98,39 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_
     else:
         edge = band.orderBy("_rank", id_col, "_t").limit(need)
     return taken.select(*cols).unionByName(edge.select(*cols))
+
+
+def sample_per_group(df: DataFrame, n: int, groups, seed: int = SEED_MULTI, id_col: str = "pair_id") -> DataFrame:
+    """Exactly ``min(n, rows)`` rows of every group, by the ranks of ``sample_n``.
+
+    Each task keeps the first ``n`` of its rows of a group before the shuffle
+    (a group limit on the window, which merges like a bottom-k), so a group that
+    holds a third of all rows sends ``n`` rows a task. Above the optimizer's
+    limit for that step, each task's sorted rows are cut here in the same way.
+    """
+    if n < 0:
+        raise ValueError("n must be >= 0")
+    groups, cols = list(groups), df.columns
+    order = [F.col("_rank"), F.col(id_col), F.col("_t")]
+    keyed = df.withColumns({"_rank": sample_rank(id_col, seed), "_t": F.xxhash64(*cols)})
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        keyed = _first_of_each_task(keyed.sortWithinPartitions(*groups, *order), groups, n)
+    first = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return keyed.withColumn("_n", first).where(F.col("_n") <= n).select(*cols)
+
+
+def _first_of_each_task(rows: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in every partition (sorted by group)."""
+    import pyarrow as pa
+
+    def keep(batches):
+        group, count = None, 0
+        for b in batches:
+            kept = []
+            for g in b.column("_g").to_pylist():
+                group, count = g, count + 1 if g == group else 1
+                kept.append(count <= n)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    marked = rows.withColumn("_g", F.md5(F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})))
+    return marked.mapInArrow(keep, marked.schema).drop("_g")

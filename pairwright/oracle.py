@@ -151,6 +151,21 @@ def _adverb_counts_sql() -> str:
     )
 
 
+def word_list_queries() -> dict[str, str]:
+    """Entries joined to all runs of as many tokens as entries have."""
+    ctes = (
+        "words AS (SELECT lower(split_part(p_name, ' ', 1)) AS e FROM part UNION SELECT 'is ' || lower(p_name) || ' exactly' FROM part "
+        "UNION SELECT lower('No ' || split_part(p_name, ' ', 2) || ' is') FROM part UNION SELECT unnest(" + str_list(ALL_ADVERBS) + "))",
+        f"toks AS (SELECT pair_id, {lower_tokens('nl_sentence')} AS t FROM pairs WHERE nl_sentence IS NOT NULL)",
+        "grams AS (SELECT DISTINCT pair_id, array_to_string(t[i:i + k - 1], ' ') AS e FROM "
+        "(SELECT pair_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM toks, range(1, 6) r(k)))",
+        "found AS (SELECT pair_id, list(e ORDER BY e) AS hits FROM grams JOIN words USING (e) GROUP BY pair_id)",
+    )
+    matches = with_pairs(f"SELECT {P}, to_json(hits)::VARCHAR AS hits FROM pairs JOIN found USING (pair_id)", *ctes)
+    removed = with_pairs(f"SELECT {P} FROM pairs WHERE nl_sentence IS NOT NULL AND pair_id NOT IN (SELECT pair_id FROM found)", *ctes)
+    return {"word_list_matches": matches, "word_list_matches_joined": matches, "word_list_removed": removed}
+
+
 def oracle_queries() -> dict[str, str]:
     from pairwright.functions.text import FREQUENCY_ADVERBS, PUNCTUATION_CLASS, QUOTED_SPAN_PATTERN
 
@@ -193,6 +208,16 @@ def oracle_queries() -> dict[str, str]:
         out[f"cand_{short}"] = with_pairs(f"SELECT {P} FROM pairs WHERE {pred(short)}")
     odd = with_pairs("SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN nl_sentence || ' }],{\"\\ ' || chr(10) || ',\"\"' ELSE nl_sentence END AS nl_sentence, fol_expression FROM pairs")
     out |= {"source_json_array_split": odd, "source_csv_quoted_split": odd}
+    out["glue_by_position"] = with_pairs(
+        f"SELECT (row_number() OVER (ORDER BY pair_id) - 1)::BIGINT AS position, {P}, md5(concat_ws('#', pair_id::VARCHAR, fol_expression)) AS digest FROM pairs")
+    out |= word_list_queries()
+    from pairwright.plans import queries as QQ
+    for key, n in (("sample_per_category", QQ.GROUP_SAMPLE_N), ("sample_per_category_large", 1200)):
+        out[key] = with_pairs(
+            f"SELECT dataset, category, pair_id FROM flagged QUALIFY row_number() OVER (PARTITION BY dataset, category "
+            f"ORDER BY md5(pair_id::VARCHAR || '#{QQ.SINGLE_SAMPLE_SEED}'), pair_id) <= {n}",
+            f"corpora AS (SELECT {P}, {q(QQ.DATASET)} AS dataset FROM pairs UNION ALL SELECT *, {q(QQ.CLEANED_DATASET)} AS dataset FROM ({cleaned()}))",
+            f"flagged AS (SELECT dataset, pair_id, unnest({category_array()}) AS category FROM corpora)")
     out.update(oracle_model_queries())
     out.update(structure_queries(pairs_cte))
     return out

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.fixed_values import SEED_MULTI, SEED_SINGLE
-from pairwright.functions.text import FREQUENCY_ADVERBS
-from pairwright.operators import audit, cleaning, diagnostics, structure
+from pairwright.functions.text import ALL_ADVERBS, FREQUENCY_ADVERBS
+from pairwright.operators import audit, cleaning, diagnostics, structure, wordlists
 from pairwright.operators import candidates as C
+from pairwright.operators.glue import glue
 from pairwright.operators.indexing import row_index
-from pairwright.operators.sampling import sample_n
+from pairwright.operators.sampling import sample_n, sample_per_group
 from pairwright.plans import annotate as AN
 from pairwright.plans import catalogue as cat
 from pairwright.plans import loop
@@ -603,3 +604,56 @@ QUERIES.update({
     "source_json_array_split": q_source_json_array_split,
     "source_csv_quoted_split": q_source_csv_quoted_split,
 })
+
+
+# --- glue by position, word lists as tables, samples by group ----------------------------
+
+
+def q_glue_by_position(spark, sf_dir):
+    """Two stored tables with files of unequal length, put side by side by row position."""
+    left, right = scratch_path(spark, "glue-left"), scratch_path(spark, "glue-right")
+    rows = _pairs(spark, sf_dir)
+    rows.repartitionByRange(5, "pair_id").sortWithinPartitions("pair_id").write.option("maxRecordsPerFile", 3001).parquet(left)
+    checks = rows.select("pair_id", F.md5(F.concat_ws("#", F.col("pair_id").cast("string"), "fol_expression")).alias("digest"))
+    checks.repartitionByRange(3, "pair_id").sortWithinPartitions("pair_id").select("digest").write.option("maxRecordsPerFile", 1999).parquet(right)
+    return glue(spark, left, right, position="position")
+
+
+def _word_table(spark, sf_dir):
+    """Entries of one to three words from ``part``, and the fixed adverbs."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("entry"))
+    ends = part.select(F.concat(F.lit("Is  "), F.lower("p_name"), F.lit(" exactly")).alias("entry"))
+    plural = part.select(F.concat(F.lit("No "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" is")).alias("entry"))
+    adverbs = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in ALL_ADVERBS])).alias("entry"))
+    return names.unionByName(ends).unionByName(plural).unionByName(adverbs)
+
+
+def _word_matches(trie_bytes):
+    def run(spark, sf_dir):
+        return _as_json(wordlists.word_matches(_pairs(spark, sf_dir), _word_table(spark, sf_dir), trie_bytes=trie_bytes), "hits")
+    return run
+
+
+def q_remove_word_matches(spark, sf_dir):
+    return wordlists.remove_word_matches(_pairs(spark, sf_dir), _word_table(spark, sf_dir))
+
+
+GROUP_SAMPLE_N = 40
+
+
+def _sample_per_category(n):
+    def run(spark, sf_dir):
+        rows = _corpora(spark, sf_dir).withColumn("category", F.explode(C.category_array()))
+        return sample_per_group(rows, n, ["dataset", "category"], seed=SINGLE_SAMPLE_SEED).select("dataset", "category", "pair_id")
+    return run
+
+
+QUERIES.update({
+    "glue_by_position": q_glue_by_position,
+    "word_list_matches": _word_matches(wordlists.TRIE_BYTES),
+    "word_list_matches_joined": _word_matches(0),
+    "word_list_removed": q_remove_word_matches,
+    "sample_per_category": _sample_per_category(GROUP_SAMPLE_N),
+    "sample_per_category_large": _sample_per_category(1200),
+})
