@@ -451,6 +451,12 @@ def oracle_model_queries() -> dict[str, str]:
             "coalesce(sum(n) FILTER (WHERE version = 'corrected'), 0)::BIGINT AS corrected "
             "FROM counts GROUP BY category, dataset)", *loop_ctes),
         "source_counts": with_pairs("SELECT category, dataset, version, n FROM counts", *loop_ctes),
+        "source_snapshot": with_pairs(
+            f"SELECT pair_id, fol_expression, dataset FROM corpora WHERE dataset <> {q(QQ.DATASET)} OR contains(fol_expression, '→')", corpora),
+        "source_snapshot_older": with_pairs("SELECT pair_id, fol_expression, dataset FROM corpora", corpora),
+        "candidate_counts_delta": with_pairs(
+            f"SELECT dataset, category, count(*)::BIGINT AS n FROM (SELECT dataset, unnest({category_array()}) AS category FROM both_versions "
+            "WHERE version = 'corrected') GROUP BY ALL", *loop_ctes[:3]),
         "chart_data": with_pairs(
             "SELECT category, dataset, version, n, "
             f"(CASE dataset WHEN {q(QQ.DATASET)} THEN 1 WHEN {q(QQ.CLEANED_DATASET)} THEN 2 END)::BIGINT AS dataset_rank, "

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairwright.fixed_values import SEED_MULTI, SEED_SINGLE
 from pairwright.functions.text import ALL_ADVERBS, FREQUENCY_ADVERBS
-from pairwright.operators import audit, cleaning, diagnostics, structure, wordlists
+from pairwright.operators import audit, cleaning, deltas, diagnostics, structure, wordlists
 from pairwright.operators import candidates as C
 from pairwright.operators.glue import glue
 from pairwright.operators.indexing import row_index
@@ -38,6 +38,7 @@ from pairwright.session import ensure_parallelism, scratch_path
 from pairwright.sources import tables
 from pairwright.sources.fixture import load_fixture_pairs, load_structure_pairs
 from pairwright.sources.pairs import CSV_OPTIONS, read_json_pairs, read_pairs, select_pairs, write_pairs
+from pairwright.sources.snapshots import Snapshots
 from pairwright.sources.splits import read_json_array_pairs, read_quoted_csv_pairs
 
 PAIR = ["pair_id", "nl_sentence", "fol_expression"]
@@ -657,3 +658,39 @@ QUERIES.update({
     "sample_per_category": _sample_per_category(GROUP_SAMPLE_N),
     "sample_per_category_large": _sample_per_category(1200),
 })
+
+
+# --- versions of stored tables, counts from changes ----------------------------------------
+
+SNAPSHOT_SCHEMA = "pair_id BIGINT, fol_expression STRING, dataset STRING"
+
+
+def _snapshots(spark, sf_dir):
+    """Two versions of the two corpora, and a write that never committed."""
+    table = Snapshots(spark, scratch_path(spark, "snapshots"), SNAPSHOT_SCHEMA, ["dataset"])
+    both = _corpora(spark, sf_dir).select("pair_id", "fol_expression", "dataset")
+    table.commit(both)
+    table.commit(both.where((F.col("dataset") == DATASET) & F.col("fol_expression").contains("→")))
+    table.stage(both.withColumn("fol_expression", F.lit("lost")))
+    return table
+
+
+def _snapshot(version):
+    def run(spark, sf_dir):
+        return _snapshots(spark, sf_dir).read(version)
+    return run
+
+
+def q_candidate_counts_delta(spark, sf_dir):
+    """Candidate counts after the corrections, from stored counts and the changed rows."""
+    table = _stored_corrected(spark, sf_dir)
+    path = scratch_path(spark, "counts-original")
+    C.candidate_counts(table, keys=("dataset",)).write.parquet(path)
+    return deltas.merge_counts(spark.read.parquet(path), deltas.candidate_deltas(table))
+
+
+QUERIES.update({
+    "source_snapshot": _snapshot(None),
+    "source_snapshot_older": _snapshot(1),
+    "candidate_counts_delta": q_candidate_counts_delta,
+})
