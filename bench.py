@@ -35,6 +35,12 @@ HEADLINE = [
     "annotate_single",
     "correct_pairs",
     "before_after_counts",
+    "free_variables",
+    "cand_missing_parentheses",
+    "negation_scopes",
+    "word_list_matches",
+    "sample_per_category",
+    "candidate_counts_delta",
     "strip_special_chars_documents",
     "punctuated_tokens_documents",
 ]

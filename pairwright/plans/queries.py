@@ -36,6 +36,7 @@ from pairwright.plans.model_job import (
 )
 from pairwright.session import ensure_parallelism, scratch_path
 from pairwright.sources import tables
+from pairwright.sources.answers_fixture import corrector_answers, multi_answers, single_answers
 from pairwright.sources.fixture import load_fixture_pairs, load_structure_pairs
 from pairwright.sources.pairs import CSV_OPTIONS, read_json_pairs, read_pairs, select_pairs, write_pairs
 from pairwright.sources.snapshots import Snapshots
@@ -265,31 +266,6 @@ def q_catalogue_text(spark, sf_dir):
 # --- model job ----------------------------------------------------------------
 
 
-# Answer tables. A model that works in batches takes the table of pending
-# requests and returns a table of answers; these rules stand in its place.
-
-def single_answers(pending: DataFrame) -> DataFrame:
-    d = F.substr(F.md5("prompt"), F.lit(1), F.lit(1))
-    answer = (F.when(d <= "7", cat.ANSWER_APPLIES).when(d <= "d", cat.ANSWER_NOT_APPLIES)
-              .when(d == "e", cat.ANSWER_APPLIES + ".").otherwise(cat.NO_LABEL))
-    return pending.select("key", answer.alias("answer"))
-
-
-def multi_answers(layout):
-    def answers(pending: DataFrame) -> DataFrame:
-        sentence, formula = layout.parts("prompt")
-        labels = C.category_array("f", "s")
-        rows = pending.select("key", sentence.alias("s"), formula.alias("f"))
-        return rows.select("key", F.to_json(F.when(F.size(labels) == 0, F.array(F.lit(cat.NO_LABEL))).otherwise(labels)).alias("answer"))
-    return answers
-
-
-def corrector_answers(layout):
-    def answers(pending: DataFrame) -> DataFrame:
-        return pending.select("key", F.replace(layout.parts("prompt")[1], F.lit("∀y"), F.lit("∃y")).alias("answer"))
-    return answers
-
-
 SINGLE = AnswerExchange("rule-single", single_answers)
 UNFILTERED = ("missing_category", "missing_parentheses", "predicate_naming_error", cat.PREDICATE_NESTING)
 SINGLE_CATEGORY = "wrong_variable_binding"
