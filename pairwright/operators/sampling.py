@@ -42,6 +42,10 @@ def _rank_prefix(rank: Column) -> Column:
     return F.conv(F.substr(rank, F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
+def _row_hash(cols: list[str]) -> Column:
+    return F.xxhash64(*cols).bitwiseAND(F.lit(_TOP))
+
+
 def _nth_band(ranks: DataFrame, col: str, need: int, band_rows: int) -> tuple[int, int, int, int]:
     """(low, high, rows in the band, still needed of it) of the band of ``col`` with the need-th row."""
     lo, hi = 0, _TOP
@@ -74,8 +78,8 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_
         cutoff = int((n + 6 * n ** 0.5 + 36) / total * _TOP) if total else 0
         near = df.where(_rank_prefix(rank) <= cutoff)
         if n <= total and n <= near.count() <= 2 * band_rows:
-            return near.orderBy(rank, id_col, F.xxhash64(*cols)).limit(n)
-    keyed = df.withColumns({"_rank": rank, "_h": _rank_prefix(rank), "_t": F.xxhash64(*cols).bitwiseAND(F.lit(_TOP))})
+            return near.orderBy(rank, id_col, _row_hash(cols)).limit(n)
+    keyed = df.withColumns({"_rank": rank, "_h": _rank_prefix(rank), "_t": _row_hash(cols)})
     path = scratch_path(spark, "sample-ranks")
     keyed.select("_h", "_t").write.parquet(path)
     ranks = spark.read.schema("_h BIGINT, _t BIGINT").parquet(path)
@@ -112,7 +116,7 @@ def sample_per_group(df: DataFrame, n: int, groups, seed: int = SEED_MULTI, id_c
         raise ValueError("n must be >= 0")
     groups, cols = list(groups), df.columns
     order = [F.col("_rank"), F.col(id_col), F.col("_t")]
-    keyed = df.withColumns({"_rank": sample_rank(id_col, seed), "_t": F.xxhash64(*cols)})
+    keyed = df.withColumns({"_rank": sample_rank(id_col, seed), "_t": _row_hash(cols)})
     if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         keyed = _first_of_each_task(keyed.sortWithinPartitions(*groups, *order), groups, n)
     first = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
