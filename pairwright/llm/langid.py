@@ -209,3 +209,63 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     langs, protos = prototypes(docs.where(~held_out(id_col)), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return predict(rows, langs, protos).drop("text")
+
+
+# --- rejecting texts of no learned language --------------------------------------------
+
+#: A text is rejected under this share of the median cosine of its language and length.
+SHARE = 0.3
+#: Rows that a median needs, and the least cutoff (noise of the vectors).
+LEAST_ROWS = 30
+LEAST_COSINE = 0.05
+#: Lengths are binned by powers of two.
+BINS = 32
+
+
+def length_bin(text: Column) -> Column:
+    return F.least(F.floor(F.log2(F.length(text) + 1)), F.lit(BINS - 1)).cast("int")
+
+
+def cutoffs(trained: DataFrame, pred: str = "lang_pred", score: str = "score", text_col: str = "text") -> dict[tuple[str, int], float]:
+    """Lowest cosine to accept, by predicted language and length bin, from the rows that were learned from.
+
+    A bin with fewer than ``LEAST_ROWS`` rows of a language takes the median over
+    all languages, and one with too few of these the next shorter bin's cutoff:
+    cosines rise with length, so that is on the safe side. One row a language and
+    bin reaches the driver.
+    """
+    rows = trained.where(F.col(pred) != UND).select(F.col(pred).alias("l"), length_bin(F.col(text_col)).alias("b"), F.col(score).alias("s"))
+    per = rows.groupBy("l", "b").agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5).alias("m")).collect()
+    pooled = {r.b: r.m for r in rows.groupBy("b").agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5).alias("m")).collect() if r.n >= LEAST_ROWS}
+    own = {(r.l, r.b): r.m for r in per if r.n >= LEAST_ROWS}
+    out = {}
+    for lang in {r.l for r in per}:
+        last = LEAST_COSINE
+        for b in range(BINS):
+            m = own.get((lang, b), pooled.get(b))
+            last = max(last, SHARE * m) if m is not None else last
+            out[lang, b] = last
+    return out
+
+
+def drop_unlearned(predicted: DataFrame, learned: Column, pred: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:
+    """The rows of ``predicted`` in a learned language; cutoffs come from its rows where ``learned`` holds.
+
+    ``predicted`` is read twice, so it should be a stored table. Without learned
+    rows nothing is known and ``LEAST_COSINE`` alone decides.
+    """
+    found = cutoffs(predicted.where(learned), pred, score, text_col)
+    least = F.lit(LEAST_COSINE)
+    if found:
+        names = []
+        for name in ("cut_lang", "cut_bin", "cut_least"):
+            while name.lower() in {c.lower() for c in predicted.columns}:
+                name = f"_{name}"
+            names.append(name)
+        table = predicted.sparkSession.createDataFrame([(*k, v) for k, v in sorted(found.items())], f"{names[0]} string, {names[1]} int, {names[2]} double")
+        # At most MAX_LANGS times BINS small rows.
+        near = (F.col(pred) == F.col(names[0])) & (length_bin(F.col(text_col)) == F.col(names[1]))
+        predicted = predicted.join(F.broadcast(table), near, "left").drop(*names[:2])
+        least = F.coalesce(F.col(names[2]), least)
+        return predicted.where((F.col(pred) != UND) & (F.col(score) >= least)).drop(names[2])
+    return predicted.where((F.col(pred) != UND) & (F.col(score) >= least))

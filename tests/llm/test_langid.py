@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairwright.llm import langid
 from llm_fixtures import ODD, docs_of, empty, odd  # noqa: F401
@@ -46,3 +47,26 @@ def test_bundle_is_the_sum_of_bound_vectors():
     a, b, c = seq[:3]
     want = np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
     assert (langid.gram_vectors(gram[:1], letters)[0] == want).all()
+
+
+def test_texts_of_no_learned_language_are_dropped(spark):
+    """Random letters and unknown scripts go, clean texts stay, short ones too."""
+    rnd = random.Random(3)
+    rows = [(i, sentence(lang, rnd.choice([1, 3, 8, 30, 120]), rnd), lang) for i in range(1500) for lang in [rnd.choice(list(SYLLABLES))]]
+    letters = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(n))
+    signs = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    rows += [(10000 + i, letters(rnd.choice([30, 120, 400])), None) for i in range(100)] + [(20000 + i, signs(rnd.choice([100, 500])), None) for i in range(100)]
+    rows += [(30000, None, None), (30001, "", None), (30002, "12 34", None)]
+    docs = docs_of(spark, rows, extra=True).selectExpr("*", "1 AS cut_bin", "2 AS CUT_LANG")
+    learned = ~langid.held_out() & F.col("lang").isNotNull()
+    langs, protos = langid.prototypes(docs.where(learned))
+    predicted = langid.predict(docs, langs, protos, pred="p", score="s").cache()
+    kept = langid.drop_unlearned(predicted, learned, "p", "s")
+    assert kept.columns == predicted.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    clean = [i for i in ids if i < 10000]
+    assert len(clean) >= 0.98 * 1500 and len(set(ids)) == len(ids)
+    assert sum(10000 <= i < 20000 for i in ids) <= 5 and sum(20000 <= i < 30000 for i in ids) <= 5
+    assert not {30000, 30001, 30002} & set(ids)
+    nothing = langid.drop_unlearned(predicted, F.col("doc_id") < 0, "p", "s")
+    assert nothing.count() >= 1500
