@@ -19,10 +19,6 @@ from pairwright.llm import bpe, decontaminate, langid, near_dedup, secret_scan
 from pairwright.llm.queries import tokenizer_files
 from pairwright.session import scratch_path
 
-#: Below this cosine to the nearest language prototype a text is no language
-#: that was learned; one-word texts of a known language reach more.
-LEAST_COSINE = 0.05
-
 #: SQL cannot express hyperdimensional vectors or token merges.
 ORACLE_SQL = None
 
@@ -36,11 +32,13 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts of no learned language: without a letter, or far from every prototype."""
-    langs, protos = langid.prototypes(docs.where(~langid.held_out()))
+    """Drop texts of no learned language: without a letter, or under the cutoff of their language and length."""
+    learned = ~langid.held_out() & F.col("lang").isNotNull()
+    langs, protos = langid.prototypes(docs.where(learned))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
-    out = langid.predict(docs, langs, protos, pred=pred, score=score)
-    return out.where((F.col(pred) != langid.UND) & (F.col(score) >= LEAST_COSINE)).select(*docs.columns)
+    path = scratch_path(spark, "pipeline-languages")
+    langid.predict(docs, langs, protos, pred=pred, score=score).write.parquet(path)
+    return langid.drop_unlearned(spark.read.parquet(path), learned, pred, score).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
