@@ -229,14 +229,18 @@ def length_bin(text: Column) -> Column:
 def cutoffs(trained: DataFrame, pred: str = "lang_pred", score: str = "score", text_col: str = "text") -> dict[tuple[str, int], float]:
     """Lowest cosine to accept, by predicted language and length bin, from the rows that were learned from.
 
-    A bin with fewer than ``LEAST_ROWS`` rows of a language takes the median over
-    all languages, and one with too few of these the next shorter bin's cutoff:
+    A bin with fewer than ``LEAST_ROWS`` rows of a language takes the lowest median
+    of all languages, and one with too few of these the next shorter bin's cutoff:
     cosines rise with length, so that is on the safe side. One row a language and
     bin reaches the driver.
     """
-    rows = trained.where(F.col(pred) != UND).select(F.col(pred).alias("l"), length_bin(F.col(text_col)).alias("b"), F.col(score).alias("s"))
-    per = rows.groupBy("l", "b").agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5).alias("m")).collect()
-    pooled = {r.b: r.m for r in rows.groupBy("b").agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5).alias("m")).collect() if r.n >= LEAST_ROWS}
+    rows = trained.where(F.col(pred) != UND).groupBy(F.col(pred).alias("l"), length_bin(F.col(text_col)).alias("b"))
+    per = rows.agg(F.count("*").alias("n"), F.percentile_approx(score, 0.5).alias("m")).collect()
+    of_bin: dict[int, list] = {}
+    for r in per:
+        of_bin.setdefault(r.b, []).append(r)
+    # Over all languages: the lowest of their medians.
+    pooled = {b: min(r.m for r in rs) for b, rs in of_bin.items() if sum(r.n for r in rs) >= LEAST_ROWS}
     own = {(r.l, r.b): r.m for r in per if r.n >= LEAST_ROWS}
     out = {}
     for lang in {r.l for r in per}:
@@ -248,13 +252,11 @@ def cutoffs(trained: DataFrame, pred: str = "lang_pred", score: str = "score", t
     return out
 
 
-def drop_unlearned(predicted: DataFrame, learned: Column, pred: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:
-    """The rows of ``predicted`` in a learned language; cutoffs come from its rows where ``learned`` holds.
+def drop_unlearned(predicted: DataFrame, found: dict[tuple[str, int], float], pred: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:
+    """The rows of ``predicted`` that reach the cutoff (``cutoffs``) of their language and length.
 
-    ``predicted`` is read twice, so it should be a stored table. Without learned
-    rows nothing is known and ``LEAST_COSINE`` alone decides.
+    Without any cutoff ``LEAST_COSINE`` alone decides.
     """
-    found = cutoffs(predicted.where(learned), pred, score, text_col)
     least = F.lit(LEAST_COSINE)
     if found:
         names = []

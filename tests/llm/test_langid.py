@@ -61,12 +61,12 @@ def test_texts_of_no_learned_language_are_dropped(spark):
     learned = ~langid.held_out() & F.col("lang").isNotNull()
     langs, protos = langid.prototypes(docs.where(learned))
     predicted = langid.predict(docs, langs, protos, pred="p", score="s").cache()
-    kept = langid.drop_unlearned(predicted, learned, "p", "s")
+    kept = langid.drop_unlearned(predicted, langid.cutoffs(predicted.where(learned), "p", "s"), "p", "s")
     assert kept.columns == predicted.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     clean = [i for i in ids if i < 10000]
     assert len(clean) >= 0.98 * 1500 and len(set(ids)) == len(ids)
     assert sum(10000 <= i < 20000 for i in ids) <= 5 and sum(20000 <= i < 30000 for i in ids) <= 5
     assert not {30000, 30001, 30002} & set(ids)
-    nothing = langid.drop_unlearned(predicted, F.col("doc_id") < 0, "p", "s")
+    nothing = langid.drop_unlearned(predicted, langid.cutoffs(predicted.where("false"), "p", "s"), "p", "s")
     assert nothing.count() >= 1500
