@@ -36,9 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     learned = ~langid.held_out() & F.col("lang").isNotNull()
     langs, protos = langid.prototypes(docs.where(learned))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
-    path = scratch_path(spark, "pipeline-languages")
-    langid.predict(docs, langs, protos, pred=pred, score=score).write.parquet(path)
-    return langid.drop_unlearned(spark.read.parquet(path), learned, pred, score).select(*docs.columns)
+    # The training rows are scored once more for the cutoffs: no copy of the texts is stored.
+    scored = lambda rows: langid.predict(rows, langs, protos, pred=pred, score=score)
+    found = langid.cutoffs(scored(docs.where(learned)), pred, score)
+    return langid.drop_unlearned(scored(docs), found, pred, score).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
