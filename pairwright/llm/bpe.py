@@ -27,10 +27,10 @@ import base64
 import hashlib
 import heapq
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +41,16 @@ from pairwright.session import checkpoint_root, ship_package
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 32 << 20
+#: Chunks expected of an input partition (128 MB by Spark's default).
+CHUNKS_A_SCAN = 4
+#: Hash buckets of words at most: a chunk sends up to one row to each.
+MOST_BUCKETS = 4096
+#: Words an encoding task remembers; it starts anew beyond (the ids are the same).
+KNOWN_WORDS = 2_000_000
+#: Requests (a chunk's words of one bucket) encoded at once.
+REQUEST_ROWS = 32
+#: White space of any kind beside a space, or a space at an end of the text.
+ODD_SPACES = r"\A | \z| [\t-\r\x1c-\x1f\x{85}\pZ]|[\t-\r\x1c-\x1f\x{85}\pZ] "
 #: Texts in a batch of the result.
 OUT_ROWS = 200
 #: Words longer than this are merged with a heap.
@@ -110,49 +120,143 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merges:
+    """The merges as a sorted array of id pairs, to encode many words at once.
+
+    A pair of tokens merges where their bytes together are a token, so every
+    way to part a token into two tokens is an entry.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+        pairs = {(ranks[t[:i]] << 32) + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ids = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        #: Stands for "these two don't merge"; above every id.
+        self.none = max(ranks.values()) + 1
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(a.shape, self.none)
+        key = (a << 32) + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], self.none)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each word), as ``merge_word`` gives them."""
+        flat, size = [], 0
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+
+        def put(which, ids):
+            nonlocal size
+            m, n = ids.shape
+            start[which], count[which] = size + np.arange(m) * n, n
+            flat.append(ids.ravel())
+            size += m * n
+
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            if (r := self.ranks.get(w)) is not None:
+                put(np.array([k]), np.array([[r]]))
+            elif len(w) > LONG_WORD:
+                put(np.array([k]), np.array([merge_word(w, self.ranks)]))
+            else:
+                by_size.setdefault(len(w), []).append(k)
+        for n, which in by_size.items():
+            ids = self.byte[np.frombuffer(b"".join([words[k] for k in which]), np.uint8).reshape(len(which), n)]
+            which = np.array(which)
+            pair = self.merged(ids[:, :-1], ids[:, 1:])
+            # All words left have the same number of ids, one fewer each time.
+            while len(which):
+                at = pair.argmin(axis=1) if pair.shape[1] else np.zeros(len(which), np.int64)
+                best = pair[np.arange(len(which)), at] if pair.shape[1] else np.full(len(which), self.none)
+                more = best < self.none
+                if not more.all():
+                    put(which[~more], ids[~more])
+                    which, ids, pair, at, best = which[more], ids[more], pair[more], at[more], best[more]
+                    if not len(which):
+                        break
+                row, width = np.arange(len(which)), ids.shape[1] - 1
+                ids[row, at] = best
+                col = np.arange(width)
+                ids = np.take_along_axis(ids, col + (col > at[:, None]), axis=1)
+                col = col[:-1]
+                pair = np.take_along_axis(pair, col + (col >= at[:, None]), axis=1)
+                left, right = at > 0, at < width - 1
+                pair[row[left], at[left] - 1] = self.merged(ids[row[left], at[left] - 1], best[left])
+                pair[row[right], at[right]] = self.merged(best[right], ids[row[right], at[right] + 1])
+        out = np.concatenate([*flat, np.zeros(0, np.int64)])
+        ends = np.cumsum(count)
+        return out[np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)], count
+
+
+def odd_spaces(texts: pa.Array) -> list[bool]:
+    """Which texts have a space next to other white space, or at an end."""
+    return pc.fill_null(pc.match_substring_regex(texts, ODD_SPACES), False).to_pylist()
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Pretokenizer:
-    """Splits texts by the pattern, with a cache of what lies between single spaces.
+    """Splits the texts of a chunk by the pattern, each distinct piece between single spaces once.
 
     A space with a non-space on both sides can only start a token, so the
-    text may be cut before it; each distinct piece is then split once. A text
-    with other spaces next to a space is split as a whole.
+    text may be cut before it. A text with other spaces next to a space is
+    one piece. The first reading only collects pieces (``learn``), the second
+    numbers them in each text (``__call__``); both meet them in the same
+    order, so ``finish`` numbers the words alike.
     """
 
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
+        self.pieces = _Numbers()
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int] | None] = {}
-
-    def _numbers(self, piece: str) -> list[int]:
-        words = self.words
-        return [words.setdefault(w, len(words)) for w in self.find(piece)]
-
-    def _piece(self, p: str) -> list[int] | None:
-        """Word numbers of " " + p; None if p is empty or has a space at an end."""
-        if not p or p[0].isspace() or p[-1].isspace():
-            return None
-        words = self.words
-        if p.isalpha():
-            return [words.setdefault(" " + p, len(words))]
-        if p[-1] in ".," and p[:-1].isalpha():
-            return [words.setdefault(" " + p[:-1], len(words)), words.setdefault(p[-1], len(words))]
-        return self._numbers(" " + p)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        pieces, parts = self.pieces, text.split(" ")
-        if not parts[0] or parts[0][-1].isspace():
-            return np.array(self._numbers(text), np.uint32)
-        lists = [self._numbers(parts[0])]
-        for p in parts[1:]:
-            got = pieces.get(p, 0)
-            if got == 0:
-                got = pieces[p] = self._piece(p)
-            if got is None:
-                return np.array(self._numbers(text), np.uint32)
-            lists.append(got)
-        return np.fromiter(chain.from_iterable(lists), np.uint32)
+
+    def _parts(self, text: str, odd: bool) -> list[str]:
+        """The pieces of a text; those that begin a text have a space before them, as no others have."""
+        if odd:
+            return [" " + text]
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+
+    def learn(self, text: str | None, odd: bool) -> None:
+        """``odd``: a space of the text has another next to it or lies at an end (``odd_spaces``)."""
+        if text:
+            self.pieces.update(dict.fromkeys(self._parts(text, odd)))
+
+    def __call__(self, text: str | None, odd: bool) -> np.ndarray:
+        """The text's piece numbers."""
+        return np.fromiter(map(self.pieces.__getitem__, self._parts(text, odd)), np.uint32) if text else np.zeros(0, np.uint32)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all pieces in a row, where each piece's end); fills ``words``."""
+        words, out, ends = self.words, [], []
+        for p in self.pieces:
+            if p.isalpha():
+                out.append(words.setdefault(" " + p, len(words)))
+            elif p[-1] in ".," and p[:-1].isalpha():
+                out.append(words.setdefault(" " + p[:-1], len(words)))
+                out.append(words.setdefault(p[-1], len(words)))
+            else:
+                # What begins a text was marked by a space that isn't its own.
+                out += [words.setdefault(w, len(words)) for w in self.find(p[1:] if p[0] == " " else " " + p)]
+            ends.append(len(out))
+        return np.array(out, np.uint32), np.array(ends, np.int64)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches flat[start:start + count] of the entries ``which``, in a row."""
+    n = count[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -178,24 +282,32 @@ def unpack(b: bytes) -> np.ndarray:
     return np.add.reduceat((a & 0x7F).astype(np.int64) << shift, starts)
 
 
-def _chunks(batches, pattern: str):
-    """(chunk id, distinct words, ids and word numbers of its texts), chunk by chunk."""
+def _chunks(batches, pattern: str, keep: bool):
+    """(chunk id, distinct words, (id, word numbers) of its texts if kept), chunk by chunk."""
     seq, held, size, split = 0, [], 0, Pretokenizer(pattern)
 
     def done():
+        flat, ends = split.finish()
         words = list(split.words)
         h = hashlib.sha256(f"{TaskContext.get().partitionId()}/{seq}".encode())
         h.update("\0".join(words).encode("utf-8", "replace"))
-        return int.from_bytes(h.digest()[:8], "little", signed=True), words, held
+        count = np.diff(ends, prepend=0)
+        start = ends - count
+        return (int.from_bytes(h.digest()[:8], "little", signed=True), words,
+                [(doc_id, gather(flat, start, count, v)) for doc_id, v in held])
 
     for b in batches:
-        for doc_id, text in zip(b.column("doc_id"), b.column("t").to_pylist()):
-            held.append((doc_id, split(text or "")))
-            size += len(text or "")
+        sizes = pc.fill_null(pc.binary_length(b.column("t")), 0).to_pylist()
+        for doc_id, text, odd, n_bytes in zip(b.column("doc_id") if keep else sizes, b.column("t").to_pylist(), odd_spaces(b.column("t")), sizes):
+            if keep:
+                held.append((doc_id, split(text, odd)))
+            else:
+                split.learn(text, odd)
+            size += n_bytes
             if size >= CHUNK_BYTES:
                 yield done()
                 seq, held, size, split = seq + 1, [], 0, Pretokenizer(pattern)
-    if held:
+    if held or split.pieces:
         yield done()
 
 
@@ -233,17 +345,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     small_batches(spark)
     ship_package(spark)
     loaded = load_ranks(ranks_path)
-    ranks = spark.sparkContext.broadcast(loaded)
+    merges = spark.sparkContext.broadcast(Merges(loaded))
     table_sent = spark.sparkContext.broadcast(token_table(loaded))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     if checkpoint_input:
         checkpoint_root(spark)
         rows = rows.checkpoint()
     id_type = dict(rows.dtypes)["doc_id"]
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # More input, more tasks: an input partition is a few chunks, and a task takes about one.
+    scans = rows.rdd.getNumPartitions()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CHUNKS_A_SCAN * scans)
+    buckets = min(4 * tasks, MOST_BUCKETS)
 
     def words_of(batches):
-        for chunk, words, _ in _chunks(batches, pattern):
+        for chunk, words, _ in _chunks(batches, pattern, False):
             own: list[list[str]] = [[] for _ in range(buckets)]
             at: list[list[int]] = [[] for _ in range(buckets)]
             for i, w in enumerate(words):
@@ -256,25 +371,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                  pa.array([pack(np.diff(at[k], prepend=0)) for k in used], pa.binary())], ["bucket", "chunk", "words", "at"])
 
     def encode_words(batches):
-        known: dict[str, list[int]] = {}
-        table = ranks.value
+        known: dict[str, bytes] = {}
+        table = merges.value
         for b in batches:
-            ids_out, n_out = [], []
-            for words in b.column("words").to_pylist():
-                flat: list[int] = []
-                n = []
-                for w in words:
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = merge_word(w.encode("utf-8", "replace"), table)
-                    flat += ids
-                    n.append(len(ids))
-                ids_out.append(pack(np.array(flat, np.uint32)))
-                n_out.append(pack(np.array(n, np.uint32)))
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("at"), pa.array(ids_out, pa.binary()), pa.array(n_out, pa.binary())], ["chunk", "at", "ids", "n"])
+            for i in range(0, b.num_rows, REQUEST_ROWS):
+                part = b.slice(i, REQUEST_ROWS)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                lists = part.column("words").to_pylist()
+                new = list(set().union(*lists).difference(known))
+                ids, n = table.encode([w.encode("utf-8", "replace") for w in new])
+                raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(n)).tolist()
+                known.update(zip(new, (raw[x:y] for x, y in zip([0, *ends], ends))))
+                ids_out, n_out = [], []
+                for words in lists:
+                    got = [known[w] for w in words]
+                    ids_out.append(pack(np.frombuffer(b"".join(got), np.int32)))
+                    n_out.append(pack(np.fromiter(map(len, got), np.int64, len(got)) >> 2))
+                yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("at"), pa.array(ids_out, pa.binary()), pa.array(n_out, pa.binary())], ["chunk", "at", "ids", "n"])
 
     def texts_of(batches):
-        for chunk, _, held in _chunks(batches, pattern):
+        for chunk, _, held in _chunks(batches, pattern, True):
             for i in range(0, len(held), 500):
                 part = held[i:i + 500]
                 yield pa.RecordBatch.from_arrays(
@@ -296,9 +413,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             v = unpack(packed)
             if len(v) and v.max() >= len(at):
                 raise RuntimeError("the input gave other rows when read again; pass checkpoint_input=True")
-            c = count[v]
-            ends = np.cumsum(c)
-            return flat[np.repeat(start[v] - ends + c, c) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+            return gather(flat, start, count, v).astype(np.int32)
 
         # Small batches: a chunk's ids are never in one piece.
         out = []
@@ -313,10 +428,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out.append(pa.RecordBatch.from_pydict(columns))
         return pa.Table.from_batches(out) if out else pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array([], pa.list_(pa.int32()))} | ({"decoded": pa.array([], pa.binary())} if decoded else {}))
 
-    requests = rows.mapInArrow(words_of, "bucket int, chunk long, words array<string>, at binary").repartition("bucket")
+    requests = rows.mapInArrow(words_of, "bucket int, chunk long, words array<string>, at binary").repartition(min(tasks, buckets), "bucket")
     replies = requests.select("chunk", "words", "at").mapInArrow(encode_words, "chunk long, at binary, ids binary, n binary")
     texts = rows.mapInArrow(texts_of, f"chunk long, doc_id {id_type}, numbers binary")
-    joined = texts.groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    # A task's share stays about one chunk however large the input is.
+    joined = texts.repartition(tasks, "chunk").groupBy("chunk").cogroup(replies.repartition(tasks, "chunk").groupBy("chunk"))
     return joined.applyInArrow(assemble, f"doc_id {id_type}, ids array<int>" + ", decoded binary" * decoded)
 
 

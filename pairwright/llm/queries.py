@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_files() -> tuple[str, str]:
-    """(rank file, split pattern) of the public tokenizer; PAIRWRIGHT_RANKS names another file."""
+    """(rank file, split pattern) of the public tokenizer."""
     import public_tokenizers
 
-    return os.environ.get("PAIRWRIGHT_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_minhash_odd_sketch(spark, sf_dir):

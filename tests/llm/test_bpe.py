@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -13,11 +15,25 @@ RANKS = bpe.load_ranks(PATH)
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def ours(text):
+MERGES = bpe.Merges(RANKS)
+
+
+def ours(text, *before):
+    """Ids of a text of a chunk, after others."""
     split = bpe.Pretokenizer(P.PATTERN)
-    numbers, words = split(text), None
-    words = list(split.words)
-    return [i for n in numbers for i in bpe.merge_word(words[n].encode(), RANKS)]
+    texts = [*before, text]
+    odd = bpe.odd_spaces(pa.array(texts))
+    numbers = [split(t, o) for t, o in zip(texts, odd)][-1]
+    flat, ends = split.finish()
+    count = np.diff(ends, prepend=0)
+    learned = bpe.Pretokenizer(P.PATTERN)
+    for t, o in zip(texts, odd):
+        learned.learn(t, o)
+    learned.finish()
+    assert list(learned.words) == list(split.words)
+    words = [w.encode() for w in split.words]
+    ids, n = MERGES.encode(words)
+    return bpe.gather(ids, np.cumsum(n) - n, n, bpe.gather(flat, ends - count, count, numbers)).tolist()
 
 
 @pytest.mark.parametrize("seed", range(4))
