@@ -7,18 +7,23 @@ Everything runs on DataFrame functions.
    social security numbers). A pattern's matches are marked in the text, the
    text is split at the marks, and the running sum of the parts' lengths
    (code points) gives each span its place.
-2. Every span gets format and context features in a few bins each. Spans of
-   the base generators are labelled by the base checks (digit counts, Luhn,
-   octets). Spark counts each combination of bins over all texts; there are
-   at most a few ten thousand combinations, whatever the corpus, and gradient
-   boosting of depth-2 trees runs on those counts.
-3. The trees go back as one SQL expression. A threshold a kind, the lowest at
-   which the spans of a calibration fold reach ``PRECISION``, selects what is
-   added; spans that pass the base checks always stay, and added spans never
-   overlap them.
+2. Every loose span gets format and context features in a few bins each. Its
+   label is evidence from the words before it: the nearest of the cue words of
+   its kind ("call", "ssn") and the counter-cues ("invoice", "part") decides.
+   Spans without either count as negatives of weight ``UNTOLD``, so a format
+   that is mostly seen without cues isn't taken for personal data. Spark sums
+   each combination of bins over all texts; there are at most a few thousand
+   combinations, whatever the corpus, and gradient boosting of depth-2 trees
+   runs on those sums.
+3. The trees go back as one SQL expression. A threshold a kind, the lowest
+   (above even odds) at which the spans of a calibration fold reach
+   ``PRECISION``, selects what is added; a kind that never reaches it adds
+   nothing, one without spans of even odds in that fold takes even odds.
+   Spans that pass the base checks always stay, and added spans never overlap them.
 
 Defined cases: a null text is an empty one; repeated rows are rows of their
-own; an empty table gives no rows and trains nothing (no span is added);
+own; an empty table gives no rows, and where no loose span has a cue
+nothing is trained (no span is added);
 other columns of the input are not read. The marks are two control
 characters; where a text has them itself they count as another control
 character of equal length, which no pattern can match.
@@ -55,9 +60,20 @@ GENERATORS = {
 }
 BASE = ("email", "ip", "card", "phone")
 _OPEN, _SHUT = "\u0001", "\u0002"
-CUE = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|ssn|social|addr)"
+LOOSE = tuple(g for g in GENERATORS if g not in BASE)
+#: Characters before a span that are searched for cues.
+AHEAD = 48
+CUES = {
+    "email": "e-?mail|mail|contact|write|reach|address|send|reply",
+    "phone": "tel|telephone|phone|call|fax|mobile|cell|dial|ring|reach|contact|sms|whatsapp|hotline",
+    "ssn": "ssn|social security|social|security|taxpayer",
+}
+COUNTER = ("invoice|order|part|item|sku|serial|model|ref|reference|ticket|isbn|batch|lot|tracking|product|catalog|catalogue"
+           "|version|case|article|shipment|parcel|bill|receipt|code|build")
 
-ROUNDS, RATE, LEAF = 30, 0.3, 5.0
+ROUNDS, RATE, LEAF = 30, 0.3, 1.0
+#: Weight of a span without a cue or counter-cue, as a negative.
+UNTOLD = 0.25
 PRECISION = 0.95
 FOLDS = 5
 FEATURES = ("kind", "digits", "seps", "before", "after", "cue", "valid", "size")
@@ -77,7 +93,7 @@ def _parts(text: Column, gen: str) -> Column:
         return F.struct(
             F.lit(gen).alias("gen"), i.alias("i"),
             (F.length(x) - F.when(i == 0, 0).otherwise(1)).cast("long").alias("n"),
-            own.alias("m"), F.right(x, F.lit(16)).alias("tail"),
+            own.alias("m"), F.right(x, F.lit(AHEAD)).alias("tail"),
             F.substring(F.substring_index(x, _SHUT, -1), 1, 1).alias("next"))
 
     rows = F.transform(parts, one)
@@ -97,6 +113,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(marks, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
+def _cue(gen: Column, ahead: Column) -> Column:
+    """2 where the nearest cue or counter-cue before a loose span speaks for it, 1 where against, 0 without one."""
+    out = None
+    for g in LOOSE:
+        cues = CUES[GENERATORS[g][0]]
+        nearest = F.lower(F.regexp_extract(ahead, rf"(?is)^.*(?<!\p{{L}})({cues}|{COUNTER})s?(?!\p{{L}})", 1))
+        told = F.when(nearest.rlike(f"^(?:{cues})$"), 2).when(nearest != "", 1).otherwise(0)
+        out = F.when(gen == g, told) if out is None else out.when(gen == g, told)
+    return F.coalesce(out, F.lit(0))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """uid, doc_id and, for each proposed span, gen, start, stop, m and the features.
 
@@ -134,7 +161,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(n < 6, 0).when(n < 9, 1).when(n < 10, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n < 20, 6).otherwise(7).alias("digits"),
         F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(5)).alias("seps"),
         _class(last).alias("before"), _class(F.col("next")).alias("after"),
-        F.col("ahead").rlike(CUE).cast("int").alias("cue"), valid.cast("int").alias("valid"),
+        _cue(F.col("gen"), F.col("ahead")).alias("cue"), valid.cast("int").alias("valid"),
         F.when(F.length(m) < 10, 0).when(F.length(m) < 16, 1).when(F.length(m) < 24, 2).otherwise(3).alias("size"))
 
 
@@ -146,6 +173,7 @@ class Boosted:
         total, positive = sum(r[1] for r in rows), sum(r[2] for r in rows)
         rate = (positive + 0.5) / (total + 1)
         self.bias = math.log(rate / (1 - rate))
+        self.learned = positive > 0
         self.trees: list[tuple] = []
         score = [self.bias] * len(rows)
         for _ in range(ROUNDS if total else 0):
@@ -202,29 +230,30 @@ class Boosted:
 
 
 def thresholds(model: Boosted, rows: list[tuple[tuple[int, ...], float, float]]) -> dict[int, float]:
-    """Per kind, the lowest score from which on the calibration spans are right often enough."""
+    """Per kind, the lowest score of even odds or more from which on the calibration spans are right often enough.
+
+    Infinite where a kind has calibration spans of such scores and they never are.
+    """
     out = {}
     for kind in {r[0][0] for r in rows}:
         scored = sorted(((model.score(b), n, p) for b, n, p in rows if b[0] == kind), reverse=True)
         n = p = 0.0
-        best = None
+        out[kind] = math.inf if scored[0][0] >= 0 else 0.0
         for k, (s, a, b) in enumerate(scored):
             n, p = n + a, p + b
-            if (k + 1 == len(scored) or scored[k + 1][0] < s) and p >= PRECISION * n:
-                best = s
-        if best is not None:
-            out[kind] = best
+            if (k + 1 == len(scored) or scored[k + 1][0] < s) and p >= PRECISION * n and s >= 0:
+                out[kind] = s
     return out
 
 
 def train(found: DataFrame) -> tuple[Boosted, dict[int, float]]:
-    """Trees and thresholds from the base generators' spans of all texts."""
+    """Trees from the loose spans of all texts, and thresholds from those of the calibration fold with a cue or counter-cue."""
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0).alias("calibration")
-    table = found.where(F.col("gen").isin(*BASE)).groupBy(fold, *FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("base").cast("long")).alias("p")).collect()
-    rows = [(r.calibration, (tuple(r[f] or 0 for f in FEATURES), float(r.n), float(r.p))) for r in table]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    model = Boosted([r for c, r in rows if not c])
-    return model, thresholds(model, [r for c, r in rows if c])
+    table = found.where(F.col("gen").isin(*LOOSE)).groupBy(fold, *FEATURES).agg(F.count("*").alias("n")).collect()
+    rows = sorted((r.calibration, tuple(r[f] or 0 for f in FEATURES), float(r.n)) for r in table)
+    cue = FEATURES.index("cue")
+    model = Boosted([(b, n if b[cue] else UNTOLD * n, n if b[cue] == 2 else 0.0) for c, b, n in rows if not c])
+    return model, thresholds(model, [(b, n, n if b[cue] == 2 else 0.0) for c, b, n in rows if c and b[cue]])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,13 +264,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     candidates(docs, id_col, text_col).write.parquet(path)
     found = spark.read.parquet(path)
     model, least = train(found)
-    # Kinds without labelled spans (ssn) take the strictest threshold.
-    if least:
-        strict = max(least.values())
-        limit = F.create_map(*(F.lit(x) for k in range(len(KINDS)) for x in (k, float(least.get(k, strict)))))[F.col("kind")]
-        chosen = (F.expr(model.sql()) >= limit) & ~F.col("gen").isin(*BASE)
-    else:
-        chosen = F.lit(False)
+    # A kind without calibration spans takes even odds.
+    limit = F.create_map(*(F.lit(x) for k in range(len(KINDS)) for x in (k, float(least.get(k, 0.0)))))[F.col("kind")]
+    chosen = F.col("gen").isin(*LOOSE) & (F.expr(model.sql()) >= limit) if model.learned else F.lit(False)
     scored = found.withColumn("added", F.coalesce(chosen, F.lit(False))).where("base or added or gen is null")
     # A span added must lie clear of the base spans and of added spans before it.
     own = Window.partitionBy("uid").orderBy("start", F.desc("base"), "stop", "gen")

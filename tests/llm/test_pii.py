@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from pairwright.llm import pii
 from llm_fixtures import ODD, docs_of, empty, odd  # noqa: F401
 
@@ -66,15 +68,50 @@ def test_very_long_runs(spark):
     check(rows, docs_of(spark, rows))
 
 
-def test_loose_spans_are_added_beside_labelled_ones(spark):
-    rnd = random.Random(4)
-    rows = []
-    for i in range(400):
-        number = f"({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
-        rows.append((i, f"call +1 {number} today" if i % 4 else f"card {rnd.randrange(10**12, 10**13)} sku {rnd.randrange(10**6)}"))
-    rows += [(1000, "please call (206) 555-0147 now")]
-    got = {r.doc_id: r for r in check(rows, docs_of(spark, rows))}
-    assert got[1000].spans in ("", "phone:12:26") and got[1000].n_phone == 0
+def planted(n, seed, decoys=True):
+    """(rows, id -> spans to add) with n texts of every sort."""
+    rnd = random.Random(seed)
+    rows, want = [], {}
+    d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+
+    def put(before, kind, span, after):
+        i = len(rows)
+        rows.append((i, before + span + after))
+        want[i] = f"{kind}:{len(before)}:{len(before) + len(span)}" if kind else ""
+
+    for _ in range(n):
+        put(rnd.choice(["please call our office at ", "Phone: ", "to reach me on my mobile, dial "]), "phone", f"({rnd.randrange(200, 999)}) {d(3)}-{d(4)}", " today")
+        put(rnd.choice(["her SSN is ", "the Social Security number "]), "ssn", f"{rnd.randrange(100, 600)}-{d(2)}-{d(4)}", ", she said")
+        put(rnd.choice(["contact ", "my mail is "]), "email", f"jo{d(2)} [at] host{d(2)} [dot] org", " please")
+        put("nothing here but ", "", d(3), " words")
+        if decoys:
+            put(rnd.choice(["call about invoice number ", "ticket "]), "", f"{rnd.randrange(200, 999)}-{d(3)}-{d(4)}", " was paid")
+            put(rnd.choice(["we have part ", "Serial: "]), "", f"{rnd.randrange(100, 600)}-{d(2)}-{d(4)}", " in stock")
+            put("lines of ", "", f"{rnd.randrange(200, 999)}.{d(3)}.{d(4)}", " and more")
+    return rows, want
+
+
+@pytest.mark.parametrize("n,decoys", [(10, True), (150, True), (150, False)])
+def test_loose_spans_are_told_apart(spark, n, decoys):
+    rows, want = planted(n, n, decoys)
+    got = {r.doc_id: r.spans for r in check(rows, docs_of(spark, rows))}
+    for kind in ("phone", "ssn", "email"):
+        ids = [i for i, w in want.items() if w.startswith(kind)]
+        assert sum(got[i] == want[i] for i in ids) >= 0.9 * len(ids), kind
+    clean = [i for i, w in want.items() if not w]
+    assert sum(got[i] != "" for i in clean) <= 0.02 * len(clean)
+
+
+def test_spans_without_evidence_are_not_added(spark):
+    rows = [(i, f"we saw 206-555-{1000 + i} and 123-45-{1000 + i} there") for i in range(40)]
+    assert {r.spans for r in check(rows, docs_of(spark, rows))} == {""}
+
+
+def test_nearest_cue_decides(spark):
+    texts = {"call about the invoice ": 1, "invoice questions: call ": 2, "recall department ": 0, "CALLS to ": 2, "": 0, "appel ": 0}
+    rows = [(i, f"{t}206-555-0147") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.cue for r in pii.candidates(docs_of(spark, rows)).where("gen = 'phone_loose'").collect()}
+    assert got == dict(enumerate(texts.values()))
 
 
 def test_boosting_learns_and_sql_agrees(spark):
