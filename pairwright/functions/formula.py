@@ -1,15 +1,19 @@
-"""Formulas read token by token: automata as folds over the token array, no UDF.
+"""Formulas read token by token: small automata over batches of token arrays.
 
-A formula is cut into tokens that cover it whole, each with a kind:
+Spark cuts a formula into tokens that cover it whole (``tokens``, one expression);
+each token has a kind:
 
     q  quantifier with its variable (``∀x``)      c  name with its opening bracket (``Holds (``)
     n  name                                       o  opening bracket of a group    x  closing bracket
     u  negation      b  binary connective         r  relation or term sign         ,  comma      s  space
 
-``tokens`` is the token array; every automaton takes that array (a column), so one
-cut serves several. A fold carries its stack as an array in a struct. Keep the
-array in a column that Catalyst can't write inline (``operators.structure.computed``),
-or it cuts the text again for every use.
+Every automaton is an Arrow UDF over that array (a column), so one cut serves
+several. Kinds and lengths are found once for each distinct token of a batch, and
+tokens that an automaton doesn't look at are dropped before its loop: a formula
+costs one step for each token that matters, with a Python list as the stack.
+(As folds of SQL expressions the same automata built a new array and struct a
+token.) Keep the array in a column that Catalyst can't write inline
+(``operators.structure.computed``), or it cuts the text again for every use.
 
 Precedence, strongest first: term signs, negation and quantifiers, ∧, then ∨ and
 ⊕, → (to the right), ↔. A quantifier or negation covers the next unit: a group,
@@ -18,8 +22,11 @@ an atom, or a unit with further prefixes before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,70 +49,95 @@ TOKEN = rf"(?U)[{QUANTIFIERS}]\s*{NAME}|{NAMES}\s*\(|{NAMES}|[{TERM_SIGNS}]+|\S|
 PRECEDENCE = {"↔": 1, "→": 2, "∨": 3, "⊕": 3, "∧": 4}
 PREFIX, TERM = 5, 6
 
-Token = Column
+#: Kind of a token by its first sign; other tokens are names or calls.
+_KINDS = {c: kind for signs, kind in ((NEGATION, "u"), (JUNCTIONS + ARROWS, "b"), (OPENING, "o"), (CLOSING, "x"), (",", ","), (TERM_SIGNS + QUANTIFIERS, "r")) for c in signs}
+#: Space as in the token pattern (Unicode's White_Space).
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_KINDS.update(dict.fromkeys(SPACE, "s"))
+_FITS = dict(zip(OPENING, CLOSING))
+_VARIABLE = re.compile("[a-z]")
 
 
-def kind_of(t: Column) -> Column:
+def kind_of(t: str) -> str:
     """Kind of a token, by its first sign, its last one and its length."""
-    first, last, long = F.substr(t, F.lit(1), F.lit(1)), F.right(t, F.lit(1)), F.length(t) > 1
-    among = lambda signs: F.instr(F.lit(signs), first) > 0
-    return (F.when(among(QUANTIFIERS) & long, "q").when(among(NEGATION), "u").when(among(JUNCTIONS + ARROWS), "b")
-            .when(among(OPENING), "o").when(among(CLOSING), "x").when(first == ",", ",").when(among(TERM_SIGNS + QUANTIFIERS), "r")
-            .when(t.rlike(r"(?U)^\s"), "s").when((last == "(") & long, "c").otherwise("n"))
+    if len(t) > 1 and t[0] in QUANTIFIERS:
+        return "q"
+    return _KINDS.get(t[0]) or ("c" if len(t) > 1 and t[-1] == "(" else "n")
 
 
-def name_of(t: Column) -> Column:
+def name_of(t: str) -> str:
     """The name in a call (without bracket) or a quantifier (without its sign)."""
-    return F.regexp_replace(t, rf"(?U)^[{QUANTIFIERS}]\s*|\s*\($", "")
+    if t[0] in QUANTIFIERS:
+        t = t[1:].lstrip(SPACE)
+    return t[:-1].rstrip(SPACE) if t[-1:] == "(" else t
 
 
 def tokens(c: str | Column) -> Column:
-    """array<struct<t, k, at>>: text, kind and 1-based place (code points) of every token but spaces."""
-    def place(runs: Column) -> Column:
-        zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<t:string,k:string,at:int>>").alias("out"))
-        step = lambda s, t: F.struct(
-            (s["at"] + F.length(t)).alias("at"),
-            F.when(t.rlike(r"(?U)^\s"), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(t.alias("t"), kind_of(t).alias("k"), s["at"].alias("at"))))).alias("out"))
-        return F.aggregate(runs, zero, step, lambda s: s["out"])
-
-    return F.when(col_of(c).isNotNull(), bind(extract_all(c, TOKEN), place))
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def fold(toks: str | Column, zero: Column, step: Callable[[Column, Token], Column], finish: Callable[[Column], Column]) -> Column:
-    """Fold ``step`` over the token array; null for a null one."""
-    return F.when(col_of(toks).isNotNull(), F.aggregate(toks, zero, step, finish))
-
-
-def empty(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
-
-def top(stack: Column) -> Column:
-    """Last entry, null where there is none."""
-    return F.get(stack, F.size(stack) - 1)
-
-
-def pop(stack: Column) -> Column:
-    return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-
-
-def push(stack: Column, entry: Column) -> Column:
-    return F.concat(stack, F.array(entry))
-
-
-def state(s: Column, fields: str, /, **changed: Column) -> Column:
-    """The state struct with some of its fields replaced."""
-    return F.struct(*[changed.get(f, s[f]).alias(f) for f in fields.split()])
+    """array<string>: the tokens that cover a formula, spaces included; null for a null one."""
+    return extract_all(c, TOKEN)
+
+
+class Formulas:
+    """The tokens of a batch of formulas in flat arrays: text, kind, 1-based place (code points)."""
+
+    def __init__(self, arrays: pa.ListArray):
+        values = arrays.flatten().dictionary_encode()
+        self.words = values.dictionary.to_pylist()
+        self.code = values.indices.to_numpy(zero_copy_only=False)
+        self.null = arrays.is_null().to_numpy(zero_copy_only=False)
+        sizes = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.kinds = [kind_of(w) for w in self.words]
+        length = np.array([len(w) for w in self.words], np.int64)[self.code] if self.words else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(length)])
+        self.at = before[:-1] - np.repeat(before[self.first[:-1]], sizes) + 1
+
+    def rows(self, kinds: str) -> Iterator[tuple[int, list]]:
+        """(row, [(kind, text, place), ...]) of the rows with tokens of these kinds, those tokens alone."""
+        wanted = np.array([k in kinds for k in self.kinds], bool)[self.code] if self.words else np.zeros(0, bool)
+        first = np.concatenate([[0], np.cumsum(wanted)])[self.first]
+        at = self.at[wanted].tolist()
+        code = self.code[wanted].tolist()
+        toks = [(self.kinds[c], self.words[c], a) for c, a in zip(code, at)]
+        has = np.flatnonzero(np.diff(first))
+        for row, i, j in zip(has.tolist(), first[has].tolist(), first[has + 1].tolist()):
+            yield row, toks[i:j]
+
+    def column(self, found: dict, kind: pa.DataType, default=None) -> pa.Array:
+        """``found`` by row; ``default`` for other rows, null for null formulas."""
+        out = [default] * len(self.null)
+        for row, value in found.items():
+            out[row] = value
+        for row in np.flatnonzero(self.null).tolist():
+            out[row] = None
+        return pa.array(out, kind)
+
+
+def automaton(kind: str) -> Callable:
+    """An Arrow UDF over a token array from a function of ``Formulas``."""
+    def wrap(run: Callable[[Formulas], pa.Array]) -> Callable[[str | Column], Column]:
+        def over(arrays):
+            return run(Formulas(arrays))
+
+        over.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
+        over.__name__ = run.__name__
+
+        def column(toks: str | Column) -> Column:
+            return F.arrow_udf(over, kind)(col_of(toks))
+
+        column.__name__, column.__doc__ = run.__name__, run.__doc__
+        return column
+    return wrap
+
+
+def _struct(**fields: pa.DataType) -> pa.StructType:
+    return pa.struct(list(fields.items()))
 
 
 # --- variables ---------------------------------------------------------------------
 
-def free_variables(toks: str | Column) -> Column:
+@automaton("array<string>")
+def free_variables(formulas: Formulas) -> pa.Array:
     """One-letter variables that occur outside every quantifier of their name, in order.
 
     The stack holds the quantified names with the bracket depth where their scope
@@ -113,55 +145,58 @@ def free_variables(toks: str | Column) -> Column:
     closing bracket those begun inside. A name that opens a bracket is no variable.
     ``∀x, y`` quantifies both. A quantifier inside another of the same name ends alone.
     """
-    fields = "depth bound row out"
-    # row: 1 after a quantified name, 2 after a comma behind one.
-    zero = F.struct(F.lit(0).alias("depth"), empty("struct<v:string,d:int>").alias("bound"), F.lit(0).alias("row"), empty("string").alias("out"))
-
-    def step(s: Column, t: Token) -> Column:
-        k, name = t["k"], name_of(t["t"])
-        binds = (k == "q") | ((s["row"] == 2) & k.isin("n", "c"))
-        opens, ends = k.isin("o", "c"), k.isin("b", ",") & ~((k == ",") & (s["row"] == 1))
-        depth = F.when(opens, s["depth"] + 1).when(k == "x", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        bound = (F.when(binds, push(s["bound"], F.struct(name.alias("v"), s["depth"].alias("d"))))
-                 .when(k == "x", F.filter(s["bound"], lambda b: b["d"] < s["depth"]))
-                 .when(ends, F.filter(s["bound"], lambda b: b["d"] < s["depth"])).otherwise(s["bound"]))
-        row = F.when(binds & (k != "c"), 1).when((k == ",") & (s["row"] == 1), 2).otherwise(0)
-        free = (k == "n") & ~binds & t["t"].rlike("^[a-z]$") & ~F.exists(s["bound"], lambda b: b["v"] == t["t"]) & ~F.array_contains(s["out"], t["t"])
-        return state(s, fields, depth=depth, bound=bound, row=row, out=F.when(free, push(s["out"], t["t"])).otherwise(s["out"]))
-
-    return fold(toks, zero, step, lambda s: s["out"])
+    found = {}
+    for formula, toks in formulas.rows("qcnoxubr,"):
+        # row: 1 after a quantified name, 2 after a comma behind one.
+        depth, bound, row, out = 0, [], 0, []
+        for k, t, _ in toks:
+            binds = k == "q" or (row == 2 and k in "nc")
+            if binds:
+                bound.append((name_of(t), depth))
+            elif k == "x" or k == "b" or (k == "," and row != 1):
+                while bound and bound[-1][1] >= depth:
+                    bound.pop()
+            elif k == "n" and len(t) == 1 and _VARIABLE.match(t) and t not in out and all(v != t for v, _ in bound):
+                out.append(t)
+            if k in "oc":
+                depth += 1
+            elif k == "x" and depth:
+                depth -= 1
+            row = 1 if binds and k != "c" else 2 if k == "," and row == 1 else 0
+        if out:
+            found[formula] = out
+    return formulas.column(found, pa.list_(pa.string()), [])
 
 
 # --- brackets ------------------------------------------------------------------------
 
-BRACKET_FAULT = "struct<fault:string,at:int,open:int>"
-
-
-def bracket_fault(toks: str | Column) -> Column:
+@automaton("struct<fault:string,at:int,open:int>")
+def bracket_fault(formulas: Formulas) -> pa.Array:
     """First bracket that doesn't fit: (fault, at, open), null where all fit.
 
     ``unopened`` and ``mismatched`` stand at the closing bracket, ``unclosed`` at
     the first bracket that is never closed; ``open`` is how many are open there.
     """
-    zero = F.struct(empty("struct<o:string,at:int>").alias("stack"), F.lit(None).cast(BRACKET_FAULT).alias("fault"))
-
-    def step(s: Column, t: Token) -> Column:
-        k, held = t["k"], top(s["stack"])
-        fits = F.translate(held["o"], OPENING, CLOSING) == t["t"]
-        fault = F.when(s["fault"].isNull() & (k == "x") & ~F.coalesce(fits, F.lit(False)),
-                       F.struct(F.when(held.isNull(), "unopened").otherwise("mismatched").alias("fault"), t["at"].alias("at"), F.size(s["stack"]).alias("open")))
-        at = t["at"] + F.length(t["t"]) - 1
-        stack = (F.when(k.isin("o", "c"), push(s["stack"], F.struct(F.right(t["t"], F.lit(1)).alias("o"), at.alias("at"))))
-                 .when(k == "x", pop(s["stack"])).otherwise(s["stack"]))
-        return F.struct(stack.alias("stack"), F.coalesce(s["fault"], fault).alias("fault"))
-
-    first = lambda s: F.get(s["stack"], F.lit(0))
-    unclosed = lambda s: F.when(F.size(s["stack"]) > 0, F.struct(
-        F.lit("unclosed").alias("fault"), first(s)["at"].alias("at"), F.size(s["stack"]).alias("open")))
-    return fold(toks, zero, step, lambda s: F.coalesce(s["fault"], unclosed(s)))
-
-
-def mixed_connectives(toks: str | Column) -> Column:
+    found = {}
+    for formula, toks in formulas.rows("ocx"):
+        stack, fault = [], None
+        for k, t, at in toks:
+            if k != "x":
+                stack.append((t[-1], at + len(t) - 1))
+            elif not stack or _FITS[stack[-1][0]] != t:
+                fault = {"fault": "mismatched" if stack else "unopened", "at": at, "open": len(stack)}
+                break
+            else:
+                stack.pop()
+        if fault is None and stack:
+            fault = {"fault": "unclosed", "at": stack[0][1], "open": len(stack)}
+        if fault:
+            found[formula] = fault
+    return formulas.column(found, _struct(fault=pa.string(), at=pa.int32(), open=pa.int32()))
+
+
+@automaton("array<struct<at:int,before:string,sign:string>>")
+def mixed_connectives(formulas: Formulas) -> pa.Array:
     """array<struct<at, before, sign>>: connectives whose grouping rests on precedence alone.
 
     Within one bracket: a junction next to another kind of junction (``A ∨ B ∧ C``),
@@ -169,20 +204,53 @@ def mixed_connectives(toks: str | Column) -> Column:
     has none. The stack holds, for each open bracket, the last junction since an
     arrow and the last arrow; a comma begins anew.
     """
-    fresh = lambda: F.struct(F.lit("").alias("junction"), F.lit("").alias("arrow"))
-    zero = F.struct(F.array(fresh()).alias("stack"), empty("struct<at:int,before:string,sign:string>").alias("out"))
-
-    def step(s: Column, t: Token) -> Column:
-        k, sign, frame = t["k"], t["t"], F.coalesce(top(s["stack"]), fresh())
-        arrow = F.instr(F.lit(ARROWS), sign) > 0
-        before = F.when(arrow, frame["arrow"]).when(frame["junction"] != sign, frame["junction"]).otherwise("")
-        met = F.when(arrow, F.struct(F.lit("").alias("junction"), sign.alias("arrow"))).otherwise(F.struct(sign.alias("junction"), frame["arrow"].alias("arrow")))
-        stack = (F.when(k.isin("o", "c"), push(s["stack"], fresh())).when((k == "x") & (F.size(s["stack"]) > 1), pop(s["stack"]))
-                 .when(k == "b", push(pop(s["stack"]), met)).when(k == ",", push(pop(s["stack"]), fresh())).otherwise(s["stack"]))
-        clash = (k == "b") & (before != "")
-        return F.struct(stack.alias("stack"), F.when(clash, push(s["out"], F.struct(t["at"].alias("at"), before.alias("before"), sign.alias("sign")))).otherwise(s["out"]).alias("out"))
-
-    return fold(toks, zero, step, lambda s: s["out"])
+    found = {}
+    for formula, toks in formulas.rows("ocxb,"):
+        stack, out = [("", "")], []
+        for k, t, at in toks:
+            if k == "b":
+                junction, arrow = stack[-1]
+                if t in ARROWS:
+                    before, stack[-1] = arrow, ("", t)
+                else:
+                    before, stack[-1] = junction if junction != t else "", (t, arrow)
+                if before:
+                    out.append({"at": at, "before": before, "sign": t})
+            elif k == ",":
+                stack[-1] = ("", "")
+            elif k != "x":
+                stack.append(("", ""))
+            elif len(stack) > 1:
+                stack.pop()
+        if out:
+            found[formula] = out
+    return formulas.column(found, pa.list_(_struct(at=pa.int32(), before=pa.string(), sign=pa.string())), [])
+
+
+@automaton("array<struct<at:int,outer:string,inner:string,term:boolean>>")
+def _nested(formulas: Formulas) -> pa.Array:
+    """What stands in a term's place; ``term``: a call that no predicate of the formula is named like."""
+    found = {}
+    for formula, toks in formulas.rows("cobuqx"):
+        # The names of the open calls, "" for groups.
+        stack, outer, calls, out = [], [], set(), []
+        for k, t, at in toks:
+            if k == "x":
+                if stack and stack.pop():
+                    outer.pop()
+                continue
+            inner = name_of(t) if k == "c" else t[0] if k == "q" else t
+            if outer and k != "o":
+                out.append((at, outer[-1], inner, k == "c"))
+            elif k == "c":
+                calls.add(inner)
+            if k in "oc":
+                stack.append(k == "c")
+                if k == "c":
+                    outer.append(inner)
+        if out:
+            found[formula] = [{"at": at, "outer": o, "inner": i, "term": call and i not in calls} for at, o, i, call in out]
+    return formulas.column(found, pa.list_(_struct(at=pa.int32(), outer=pa.string(), inner=pa.string(), term=pa.bool_())), [])
 
 
 def nested_predicates(toks: str | Column) -> Column:
@@ -194,63 +262,94 @@ def nested_predicates(toks: str | Column) -> Column:
     letter or also stands as a predicate in the formula. ``outer`` is the name of
     the innermost call around it.
     """
-    fields = "stack calls found"
-    zero = F.struct(empty("string").alias("stack"), empty("string").alias("calls"), empty("struct<at:int,outer:string,inner:string,call:boolean>").alias("found"))
-
-    def step(s: Column, t: Token) -> Column:
-        k = t["k"]
-        outer = F.get(F.filter(F.reverse(s["stack"]), lambda f: f != ""), F.lit(0))
-        inner = F.when(k == "c", name_of(t["t"])).when(k == "q", F.substr(t["t"], F.lit(1), F.lit(1))).otherwise(t["t"])
-        entry = F.struct(t["at"].alias("at"), outer.alias("outer"), inner.alias("inner"), (k == "c").alias("call"))
-        stack = (F.when(k == "c", push(s["stack"], inner)).when(k == "o", push(s["stack"], F.lit("")))
-                 .when(k == "x", pop(s["stack"])).otherwise(s["stack"]))
-        return state(s, fields, stack=stack, calls=F.when((k == "c") & outer.isNull(), push(s["calls"], inner)).otherwise(s["calls"]),
-                     found=F.when(k.isin("c", "b", "u", "q") & outer.isNotNull(), push(s["found"], entry)).otherwise(s["found"]))
-
-    def finish(s: Column) -> Column:
-        capital = lambda n: (F.substr(n, F.lit(1), F.lit(1)) != F.lower(F.substr(n, F.lit(1), F.lit(1))))
-        wrong = F.filter(s["found"], lambda e: ~e["call"] | capital(e["inner"]) | F.array_contains(s["calls"], e["inner"]))
-        return F.transform(wrong, lambda e: F.struct(e["at"].alias("at"), e["outer"].alias("outer"), e["inner"].alias("inner")))
-
-    return fold(toks, zero, step, finish)
+    first = lambda n: F.substr(n, F.lit(1), F.lit(1))
+    wrong = F.filter(_nested(toks), lambda e: ~e["term"] | (first(e["inner"]) != F.lower(first(e["inner"]))))
+    return F.transform(wrong, lambda e: F.struct(e["at"].alias("at"), e["outer"].alias("outer"), e["inner"].alias("inner")))
 
 
 # --- negation ------------------------------------------------------------------------
 
-NODE = "struct<s:int,e:int,neg:boolean,pos:boolean,whole:boolean>"
-ANALYSIS = ("struct<well_formed:boolean,negations:array<struct<at:int,first:int,last:int>>,"
-            "implications:array<struct<at:int,left:boolean,right:boolean>>,global:boolean>")
-_REDUCED = "ops nodes negations implications ok"
+class _Reading:
+    """Operator-precedence reduction of one formula.
 
-
-def _reduced(s: Column, least: Column, right: Column) -> Column:
-    """Operators from the top of the stack that bind at least as strongly as ``least`` applied to the nodes.
-
-    A sign that groups to the right leaves its equals standing. Brackets (precedence 0) stop.
+    ``ops`` has (sign, precedence, place), ``nodes`` (first place, last place, has
+    an atom under an odd number of negations, has one under an even number, is
+    denied as a whole).
     """
-    start = F.struct(*[s[f].alias(f) for f in _REDUCED.split()], F.lit(True).alias("go"))
-
-    def one(r: Column, op: Column) -> Column:
-        go = r["go"] & (op["p"] > 0) & ((op["p"] > least) | ((op["p"] == least) & ~right))
-        prefix, b, a = op["p"] == PREFIX, top(r["nodes"]), F.get(r["nodes"], F.size(r["nodes"]) - 2)
-        ok = r["ok"] & (F.size(r["nodes"]) >= F.when(prefix, 1).otherwise(2))
-        no = op["o"] == NEGATION
-        under = F.struct(op["at"].alias("s"), b["e"].alias("e"), F.when(no, b["pos"]).otherwise(b["neg"]).alias("neg"), F.when(no, b["neg"]).otherwise(b["pos"]).alias("pos"),
-                         F.when(no, ~b["whole"]).otherwise(b["whole"]).alias("whole"))
-        # A term's sign joins two terms to one atom.
-        both = F.struct(a["s"].alias("s"), b["e"].alias("e"), (a["neg"] | b["neg"]).alias("neg"), (a["pos"] | b["pos"]).alias("pos"), F.lit(False).alias("whole"))
-        nodes = F.when(prefix, push(pop(r["nodes"]), under)).otherwise(push(pop(pop(r["nodes"])), both))
-        scope = F.struct(op["at"].alias("at"), b["s"].alias("first"), b["e"].alias("last"))
-        sides = F.struct(op["at"].alias("at"), a["neg"].alias("left"), b["neg"].alias("right"))
-        return F.when(~go, state(r, _REDUCED + " go", go=F.lit(False))).otherwise(state(
-            r, _REDUCED + " go", ops=pop(r["ops"]), ok=ok, nodes=F.when(ok, nodes).otherwise(r["nodes"]),
-            negations=F.when(ok & prefix & no, push(r["negations"], scope)).otherwise(r["negations"]),
-            implications=F.when(ok & (op["o"] == "→"), push(r["implications"], sides)).otherwise(r["implications"])))
-
-    return F.aggregate(F.reverse(s["ops"]), start, one)
-
-
-def negation_analysis(toks: str | Column) -> Column:
+
+    def __init__(self):
+        self.ops, self.nodes, self.negations, self.implications = [], [], [], []
+
+    def reduce(self, least: int, right: bool) -> bool:
+        """Apply the operators from the top that bind at least as strongly as ``least``; false if nodes are missing.
+
+        A sign that groups to the right leaves its equals standing. Brackets (precedence 0) stop.
+        """
+        ops, nodes = self.ops, self.nodes
+        while ops and ops[-1][1] > 0 and (ops[-1][1] > least or (ops[-1][1] == least and not right)):
+            sign, p, at = ops.pop()
+            if len(nodes) < (1 if p == PREFIX else 2):
+                return False
+            s, e, neg, pos, whole = nodes.pop()
+            if p != PREFIX:
+                # A term's sign joins two terms to one atom.
+                a = nodes.pop()
+                nodes.append((a[0], e, a[2] or neg, a[3] or pos, False))
+                if sign == "→":
+                    self.implications.append({"at": at, "left": a[2], "right": neg})
+            elif sign == NEGATION:
+                self.negations.append({"at": at, "first": s, "last": e})
+                nodes.append((at, e, pos, neg, not whole))
+            else:
+                nodes.append((at, e, neg, pos, whole))
+        return True
+
+    def read(self, toks: list) -> bool:
+        """Whether the tokens reduce to one node."""
+        ops, nodes = self.ops, self.nodes
+        operand, args = False, 0
+        for k, t, at in toks:
+            if args:
+                # An argument list belongs to its atom: only its brackets are followed.
+                if k in "co":
+                    args += 1
+                elif k == "x":
+                    args -= 1
+                    if not args:
+                        s, _, *rest = nodes[-1]
+                        nodes[-1] = (s, at + len(t) - 1, *rest)
+            elif k in "nc":
+                if operand:
+                    return False
+                operand, args = True, int(k == "c")
+                nodes.append((at, at + len(t) - 1, False, True, False))
+            elif k in "uqo":
+                if operand:
+                    return False
+                ops.append((t[0], 0 if k == "o" else PREFIX, at))
+            elif k in "br":
+                least = PRECEDENCE.get(t, TERM if k == "r" else 1)
+                if not operand or not self.reduce(least, t == "→"):
+                    return False
+                ops.append((t[0], least, at))
+                operand = False
+            elif k == "x":
+                if not operand or not self.reduce(1, False) or not ops or _FITS.get(ops[-1][0]) != t:
+                    return False
+                nodes[-1] = (ops.pop()[2], at + len(t) - 1, *nodes[-1][2:])
+            else:
+                return False
+        return self.reduce(1, False) and operand and not args and len(nodes) == 1 and not ops
+
+
+_SCOPE = _struct(at=pa.int32(), first=pa.int32(), last=pa.int32())
+_SIDES = _struct(at=pa.int32(), left=pa.bool_(), right=pa.bool_())
+_UNREAD = {"well_formed": False, "negations": [], "implications": [], "global": False}
+
+
+@automaton("struct<well_formed:boolean,negations:array<struct<at:int,first:int,last:int>>,"
+           "implications:array<struct<at:int,left:boolean,right:boolean>>,global:boolean>")
+def negation_analysis(formulas: Formulas) -> pa.Array:
     """What each ¬ and → of a formula covers, by operator-precedence reduction.
 
     ``well_formed``: the formula reduces to one node. Then ``negations`` has, for
@@ -260,48 +359,10 @@ def negation_analysis(toks: str | Column) -> Column:
     the formula, behind its quantifiers, is a denial as a whole. Lists are in the
     order of their places. In a formula that isn't well-formed they are empty.
     """
-    fields = "ops nodes negations implications ok operand args"
-    zero = F.struct(
-        empty("struct<o:string,p:int,at:int>").alias("ops"), empty(NODE).alias("nodes"), empty("struct<at:int,first:int,last:int>").alias("negations"),
-        empty("struct<at:int,left:boolean,right:boolean>").alias("implications"), F.lit(True).alias("ok"), F.lit(False).alias("operand"), F.lit(0).alias("args"))
-    op = lambda t, p: F.struct(F.substr(t["t"], F.lit(1), F.lit(1)).alias("o"), p.cast("int").alias("p"), t["at"].alias("at"))
-    end = lambda t: t["at"] + F.length(t["t"]) - 1
-
-    def step(s: Column, t: Token) -> Column:
-        k, inside = t["k"], s["args"] > 0
-        least = F.coalesce(*[F.when(t["t"] == sign, p) for sign, p in PRECEDENCE.items()], F.when(k == "r", TERM).otherwise(1))
-
-        def after(r: Column) -> Column:
-            # An argument list belongs to its atom: only its brackets are followed.
-            args = F.when(k.isin("c", "o"), s["args"] + 1).when(k == "x", s["args"] - 1).otherwise(s["args"])
-            stretched = push(pop(s["nodes"]), state(top(s["nodes"]), "s e neg pos whole", e=end(t)))
-            atom = F.struct(t["at"].alias("s"), end(t).alias("e"), F.lit(False).alias("neg"), F.lit(True).alias("pos"), F.lit(False).alias("whole"))
-            group = top(r["ops"])  # r is null for tokens that don't reduce
-            closed = push(pop(r["nodes"]), state(top(r["nodes"]), "s e neg pos whole", s=group["at"], e=end(t)))
-            same = lambda **ch: state(s, fields, **ch)
-            return (
-                F.when(inside, same(args=args, nodes=F.when(args == 0, stretched).otherwise(s["nodes"])))
-                .when(k.isin("n", "c"), same(ok=s["ok"] & ~s["operand"], operand=F.lit(True), nodes=push(s["nodes"], atom), args=F.when(k == "c", 1).otherwise(0)))
-                .when(k.isin("u", "q"), same(ok=s["ok"] & ~s["operand"], ops=push(s["ops"], op(t, F.lit(PREFIX)))))
-                .when(k == "o", same(ok=s["ok"] & ~s["operand"], ops=push(s["ops"], op(t, F.lit(0)))))
-                .when(k.isin("b", "r"), state(s, fields, ops=push(r["ops"], op(t, least)), nodes=r["nodes"], negations=r["negations"], implications=r["implications"],
-                                              ok=r["ok"] & s["operand"], operand=F.lit(False)))
-                .when(k == "x", state(s, fields, ops=pop(r["ops"]), nodes=F.when(F.size(r["nodes"]) > 0, closed).otherwise(r["nodes"]), negations=r["negations"],
-                                      implications=r["implications"], operand=F.lit(True),
-                                      ok=r["ok"] & s["operand"] & F.coalesce(F.translate(group["o"], OPENING, CLOSING) == t["t"], F.lit(False))))
-                .otherwise(same(ok=F.lit(False))))
-
-        # Only these reduce; for other tokens the value isn't computed.
-        return bind(F.when(~inside & k.isin("b", "r", "x"), _reduced(s, least, t["t"] == "→")), after)
-
-    def finish(s: Column) -> Column:
-        def told(r: Column) -> Column:
-            good = r["ok"] & s["operand"] & (s["args"] == 0) & (F.size(r["nodes"]) == 1) & (F.size(r["ops"]) == 0)
-            root = top(r["nodes"])
-            return F.struct(
-                good.alias("well_formed"), F.when(good, F.array_sort(r["negations"])).otherwise(F.slice(r["negations"], 1, 0)).alias("negations"),
-                F.when(good, F.array_sort(r["implications"])).otherwise(F.slice(r["implications"], 1, 0)).alias("implications"),
-                (good & F.coalesce(root["whole"], F.lit(False))).alias("global"))
-        return bind(_reduced(s, F.lit(1), F.lit(False)), told)
-
-    return fold(toks, zero, step, finish)
+    place = lambda e: e["at"]
+    found = {}
+    for formula, toks in formulas.rows("qcnoxubr,"):
+        r = _Reading()
+        if r.read(toks):
+            found[formula] = {"well_formed": True, "negations": sorted(r.negations, key=place), "implications": sorted(r.implications, key=place), "global": r.nodes[0][4]}
+    return formulas.column(found, _struct(well_formed=pa.bool_(), negations=pa.list_(_SCOPE), implications=pa.list_(_SIDES), **{"global": pa.bool_()}), _UNREAD)

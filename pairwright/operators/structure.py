@@ -15,6 +15,7 @@ from pairwright.fixed_values import PREDICATE_NESTING
 from pairwright.functions import formula as FO
 from pairwright.functions.text import count_char
 from pairwright.operators.candidates import FOL, free_variable
+from pairwright.session import ship_package
 
 
 TOKENS = "_tokens"
@@ -32,6 +33,7 @@ def computed(df: DataFrame, **values: Column) -> DataFrame:
 
 def tokenized(df: DataFrame, cheap: Column | None = None, formula: str = FOL) -> DataFrame:
     """Rows past the cheap test with the token array of their formula."""
+    ship_package(df.sparkSession)
     return computed(df if cheap is None else df.where(cheap), **{TOKENS: FO.tokens(F.col(formula))})
 
 
