@@ -29,6 +29,8 @@ from pairwright.session import scratch_path
 SELECT_BUCKETS = 1024
 #: Rows of the last band, which one task sorts.
 BAND_ROWS = 100_000
+#: Hex digits of a rank by which the rows of every group are counted.
+CUTOFF_DIGITS = 3
 _TOP = (1 << 60) - 1
 
 
@@ -107,22 +109,43 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED_MULTI, id_col: str = "pair_
 def sample_per_group(df: DataFrame, n: int, groups, seed: int = SEED_MULTI, id_col: str = "pair_id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows of every group, by the ranks of ``sample_n``.
 
-    Each task keeps the first ``n`` of its rows of a group before the shuffle
-    (a group limit on the window, which merges like a bottom-k), so a group that
-    holds a third of all rows sends ``n`` rows a task. Above the optimizer's
-    limit for that step, each task's sorted rows are cut here in the same way.
+    Rows past the cutoff of their group are dropped first, before anything is
+    sorted (``_below_cutoff``). Of the rest each task keeps the first ``n`` of its
+    rows of a group before the shuffle (a group limit on the window, which merges
+    like a bottom-k), so ranks that many rows share send ``n`` rows a task. Above
+    the optimizer's limit for that step, each task's sorted rows are cut here in
+    the same way.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
     groups, cols = list(groups), df.columns
     order = [F.col("_rank"), F.col(id_col), F.col("_t")]
     keyed = df.withColumns({"_rank": sample_rank(id_col, seed), "_t": _row_hash(cols)})
+    keyed = _below_cutoff(keyed, groups, n)
     if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         keyed = _first_of_each_task(keyed.sortWithinPartitions(*groups, *order), groups, n)
     first = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     return keyed.withColumn("_n", first).where(F.col("_n") <= n).select(*cols)
 
 
+def _below_cutoff(keyed: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """The rows up to the rank, cut to ``CUTOFF_DIGITS`` digits, by which their group has ``n``.
+
+    One pass counts the rows by group and cut rank (combined map-side); the
+    cutoffs, one row a group, are stored, so that the join knows their real size.
+    """
+    near = F.substr(F.col("_rank"), F.lit(1), F.lit(CUTOFF_DIGITS))
+    counts = keyed.groupBy(*groups, near.alias("_near")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*groups).orderBy("_near").rowsBetween(Window.unboundedPreceding, -1))
+    needed = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n)
+    path = scratch_path(keyed.sparkSession, "sample-cutoffs")
+    own = [F.col(g).alias(f"_of{i}") for i, g in enumerate(groups)]
+    needed.groupBy(*own).agg(F.max("_near").alias("_cutoff")).write.parquet(path)
+    cutoffs = keyed.sparkSession.read.parquet(path)
+    same = [F.col(g).eqNullSafe(F.col(f"_of{i}")) for i, g in enumerate(groups)]
+    return keyed.join(cutoffs, [*same, near <= F.col("_cutoff")]).select(*keyed.columns)
+
+
 def _first_of_each_task(rows: DataFrame, groups: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group in every partition (sorted by group)."""
     import pyarrow as pa
