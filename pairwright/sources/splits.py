@@ -12,7 +12,8 @@ text reader cuts them into pieces at a sign (``}`` or line feed), split by split
 3. Each split cuts its records from its true start. What stands before its first
    record's end, or after its last one, is a fragment; fragments that follow
    each other are joined to a record. There are two a split at most, and nothing
-   else moves between tasks.
+   else moves between tasks. Records and fragments are stored, so the cut runs
+   once.
 4. ``from_json`` / ``from_csv`` parse the records.
 
 The starts that don't stand between records go to the tasks with the code: one
@@ -33,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.session import ship_package
+from pairwright.session import scratch_path, ship_package
 from pairwright.sources.pairs import CSV_OPTIONS, JSON_PAIR_SCHEMA, PAIR_COLUMNS, PAIR_SCHEMA, select_pairs
 
+#: Bytes of a task that reads small splits.
+TASK_BYTES = 1 << 24
+
 _ESCAPED = re.compile(r"\\.", re.S)
 
 #: What a piece does: (flips the quotes, depth moved if it starts outside, if inside).
@@ -96,8 +100,13 @@ def _pieces(spark: SparkSession, path: str, form, split_bytes: int | None) -> Da
         reader = spark.newSession()
         reader.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
         reader.conf.set("spark.sql.files.openCostInBytes", "0")
-    return reader.read.option("lineSep", form.sign).text(path).select(
+    pieces = reader.read.option("lineSep", form.sign).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    if split_bytes and split_bytes < TASK_BYTES:
+        # A task takes several small splits, one after the other.
+        tasks = pieces.rdd.getNumPartitions() * split_bytes // TASK_BYTES
+        pieces = pieces.coalesce(max(tasks, 4 * spark.sparkContext.defaultParallelism))
+    return pieces
 
 
 def split_effects(pieces: DataFrame, form) -> DataFrame:
@@ -185,6 +194,11 @@ def records(spark: SparkSession, path: str, form, header: bool = False, split_by
     whole = cut.where(F.col("kind") == WHOLE).select(F.col("text").alias("record"))
     if not starts:
         return whole
+    # Both kinds of rows are needed: cut once, stored.
+    stored = scratch_path(spark, "cut-records")
+    cut.write.parquet(stored)
+    cut = spark.read.schema("file string, block long, kind int, text string").parquet(stored)
+    whole = cut.where(F.col("kind") == WHOLE).select(F.col("text").alias("record"))
     # A record runs from a tail over whole splits to the next head.
     order = Window.partitionBy("file").orderBy("block", F.col("kind") == TAIL)
     parts = cut.where(F.col("kind") != WHOLE).withColumn("chain", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
