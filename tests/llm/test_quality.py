@@ -64,3 +64,81 @@ def test_counts_cover_all_texts(spark):
         raw = np.frombuffer(t.encode(), np.uint8)
         want.update(Q.grams(raw, np.array([0, len(raw)]))[1].tolist())
     assert got == want
+
+
+def strings_of(rows):
+    """n-grams of every text as tuples of code points, ends as None; ASCII only."""
+    pad = [None] * (Q.ORDER - 1)
+    return [[tuple(seq[k:k + Q.ORDER]) for k in range(len(seq) - Q.ORDER + 1)] for seq in (pad + [ord(c) for c in t] + [None] for _, t in rows)]
+
+
+def test_grams_keep_every_character():
+    texts = ["aA.,", "жЖжж", "\u4e2d\u4e2e\u4e34", "\U0001F600\U0001F607", "\u0000 ", "\u077f\u0780"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    sym, first = Q.codes(raw, offsets)
+    seen = [tuple(sym[a:b]) for a, b in zip(first, first[1:])]
+    assert [len(x) for x in seen] == [4, 4, 6, 4, 3, 3]
+    assert (sym > 0).all() and (sym < Q.CLASSES).all()
+    # Signs, cases and characters seven code points apart differ.
+    for x, text in zip(seen, texts):
+        step = len(x) // len(text)
+        if len(x) == step * len(text):
+            assert len({x[k:k + step] for k in range(0, len(x), step)}) == len(set(text))
+    of, code = Q.grams(raw, offsets)
+    assert np.bincount(of).tolist() == [len(x) + 1 for x in seen]
+    assert (code >= 0).all()
+
+
+def plain_logs(texts):
+    """log10 probability by interpolated modified Kneser-Ney, in dictionaries."""
+    counts = [Counter(g for t in texts for g in t)]
+    for _ in range(Q.ORDER - 1):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+    counts.reverse()
+    tables = []
+    for c in counts:
+        d = Q._discounts(*[sum(n == k for n in c.values()) for k in (1, 2, 3, 4)])
+        total, weight = Counter(), Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            weight[g[:-1]] += d[min(n, 3)]
+        tables.append((c, d, total, weight))
+
+    def p(g):
+        if not g:
+            return 1 / Q.CLASSES
+        c, d, total, weight = tables[len(g) - 1]
+        n, below = c.get(g, 0), p(g[1:])
+        return (n - d[min(n, 3)] + weight[g[:-1]] * below) / total[g[:-1]] if total[g[:-1]] else below
+
+    return lambda g: np.log10(p(g))
+
+
+def test_perplexity_equals_plain_model_of_the_other_half(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["Ab", "ab", "a,b", "a.b", "cd!", "xyz"], 12))) for i in range(24)] + [(100, "qq zz 12 345 qq zz 12 345 77")]
+    docs = docs_of(spark, rows)
+    half = {r.doc_id: r.h for r in docs.select("doc_id", Q.half_of(docs.text).alias("h")).collect()}
+    grams = dict(zip([d for d, _ in rows], strings_of(rows)))
+    models = [plain_logs([grams[d] for d, _ in rows if half[d] == h]) for h in (0, 1)]
+    want = {d: 10 ** -np.mean([models[1 - half[d]](g) for g in grams[d]]) for d, _ in rows}
+    # All n-grams in the tasks' arrays, some of them, none.
+    for head in (10 ** 6, 60, 0):
+        monkeypatch.setattr(Q, "HEAD", head)
+        got = {r.doc_id: r.perplexity for r in Q.quality_rules(docs).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[d] / want[d] - 1) < 1e-4 for d in want)
+
+
+def test_table_grows_with_the_texts_and_copies_do_not_vouch(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 50)
+    rows = [(i, chr(0x4e00 + i) * 3 + chr(0x400 + i)) for i in range(40)]
+    logs = Q.gram_logs(Q.count_grams(docs_of(spark, rows), halves=True))
+    assert logs.count() == len({g for t in strings_of([(i, t.replace(chr(0x4e00 + i), "\ue000" + chr(0xf000 + i))) for i, t in rows]) for g in t})
+    rng = np.random.default_rng(6)
+    clean = [(i, " ".join(rng.choice(["река", "дом", "лес", "поле", "вода", "гора"], 80)), "ru") for i in range(120)]
+    junk = "".join(rng.choice(list("абвгдежзиклмнопрстуфхцчшщ    "), 400))
+    got = {r.doc_id: r for r in Q.quality_rules(docs_of(spark, clean + [(1000 + k, junk, "ru") for k in range(30)])).collect()}
+    assert not any(got[1000 + k].kept for k in range(30))
+    assert sum(got[i].kept or got[i].base_failed for i in range(120)) >= 118
