@@ -67,7 +67,8 @@ def lower_first(t: Column) -> Column:
 
 def count_char(c: str | Column, ch: str) -> Column:
     """How often the literal character ``ch`` occurs."""
-    return F.regexp_count(col_of(c), F.lit(_quote_regex(ch)))
+    c = col_of(c)
+    return F.char_length(c) - F.char_length(F.replace(c, F.lit(ch), F.lit("")))
 
 
 def _quote_regex(s: str) -> str:

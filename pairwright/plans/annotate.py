@@ -49,10 +49,11 @@ def annotate_categories(df: DataFrame, categories, *, backend, store: str, out:
     every listed category it is a candidate for (column ``category``)."""
     labels = [C.label_of(c) for c in categories]
     P.cat.entries(labels)  # raises KeyError for a label outside the catalogue
-    flagged = F.array_compact(F.array(*[
+    # Nulls go after the explode: without a lambda the step is compiled.
+    flagged = F.array(*[
         F.when(C.predicate(lab, formula, sentence), F.lit(lab)) if lab in C.LABEL_TO_SHORT else F.lit(lab)
-        for lab in labels]))
-    rows = df.withColumn("category", F.explode(flagged))
+        for lab in labels])
+    rows = df.withColumn("category", F.explode(flagged)).where("category is not null")
     return with_answers(rows, P.single_prompt_spec(), ["category", sentence, formula], out,
                         backend=backend, store=store, **job)
 

@@ -17,6 +17,7 @@
    store); a task lost during the calls re-reads this small table.
 6. The calls run in commits of about ``commit_rows`` requests, each appended
    to the store on its own, so a crash loses the calls of one commit at most.
+   A commit reads its own folder of the pending requests only.
    A client's failures are per prompt: answered prompts are kept, failed ones
    are called again with growing pauses, and in the end become
    ``status='failed'`` rows with the full error text. An ``AnswerExchange``
@@ -43,6 +44,7 @@ from pairwright.plans.prompts import PromptSpec
 from pairwright.session import checkpoint_root, path_exists, scratch_path, ship_package
 
 ANSWER_SCHEMA = "key STRING, answer STRING, status STRING, error STRING, attempts INT, model STRING, digest STRING"
+PENDING_SCHEMA = "key STRING, digest STRING, prompt STRING"
 CALL_SCHEMA = "key STRING, digest STRING, answer STRING, status STRING, error STRING, attempts INT"
 SEP = "\u0001"
 #: Requests of one commit.
@@ -187,10 +189,17 @@ def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, mo
     model = model or backend.name
     path = f"{store}/_pending/{uuid.uuid4().hex}"
     pending_requests(requests, spec, store=store, model=model).write.parquet(path)
-    pending = spark.read.schema("key STRING, digest STRING, prompt STRING").parquet(path)
+    pending = spark.read.schema(PENDING_SCHEMA).parquet(path)
     commits = max(1, -(-pending.count() // commit_rows))
+    if commits > 1:
+        # A folder for each commit, so that none reads the requests of the others.
+        commit = F.pmod(F.xxhash64("key"), F.lit(commits)).cast("int").alias("commit")
+        pending.select("*", commit).repartition("commit").write.partitionBy("commit").parquet(f"{path}-commits")
     for k in range(commits):
-        part = pending if commits == 1 else pending.where(F.pmod(F.xxhash64("key"), F.lit(commits)) == k)
+        folder = path if commits == 1 else f"{path}-commits/commit={k}"
+        if commits > 1 and not path_exists(spark, folder):
+            continue
+        part = spark.read.schema(PENDING_SCHEMA).parquet(folder)
         if isinstance(backend, AnswerExchange):
             import_answers(part, backend.answers(part), store=store, model=model)
         else:
@@ -198,18 +207,24 @@ def call_model(requests: DataFrame, spec: PromptSpec, *, backend, store: str, mo
             call = _caller(backend, spec.system, max_retries, batch_size, backoff)
             _append(part.repartition(concurrency or spark.sparkContext.defaultParallelism).mapInPandas(call, CALL_SCHEMA), store, model)
     _delete(spark, path)
+    _delete(spark, f"{path}-commits")
     return read_answers(spark, store, model, spec.digests)
 
 
 def keyed_rows(df: DataFrame, spec: PromptSpec, inputs, model: str) -> DataFrame:
-    """``df`` with ``_digest``, ``_key`` and the inputs as ``_in0`` ..., stored once."""
+    """``df`` with ``_digest``, ``_key`` and the inputs as ``_in0`` ..., stored once.
+
+    Inputs that are columns of ``df`` aren't stored a second time.
+    """
     spark = df.sparkSession
+    named = {f"_in{i}": c for i, c in enumerate(inputs) if isinstance(c, str) and c in df.columns}
     inputs = [F.col(c) if isinstance(c, str) else c for c in inputs]
     digest = spec.digest_of(*inputs)
     path = scratch_path(spark, "keyed")
     df.select("*", digest.alias("_digest"), request_key(model, digest, *spec.hashed(*inputs)).alias("_key"),
-              *[c.alias(f"_in{i}") for i, c in enumerate(inputs)]).write.parquet(path)
-    return spark.read.parquet(path)
+              *[c.alias(f"_in{i}") for i, c in enumerate(inputs) if f"_in{i}" not in named]).write.parquet(path)
+    kept = spark.read.parquet(path)
+    return kept.select(*df.columns, "_digest", "_key", *[F.col(named.get(f"_in{i}", f"_in{i}")).alias(f"_in{i}") for i in range(len(inputs))])
 
 
 def requests_of(keyed: DataFrame) -> DataFrame:

@@ -88,14 +88,14 @@ TEMPLATE_ARRAY_SQL = _template_array(TEMPLATES)
 
 def pairs_from_parts(part: DataFrame, templates=None) -> DataFrame:
     """Explode every part row into the fourteen template pairs, or those of ``templates``."""
-    words = part.select(
+    # Spread before anything is computed: a small file is one scan task.
+    words = ensure_parallelism(part.select("p_partkey", "p_name", "p_type")).select(
         "p_partkey",
         _capitalised(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("a"),
         _capitalised(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("b"),
         F.concat(F.substr("p_type", F.lit(1), F.lit(1)),
                  F.lower(F.substr("p_type", F.lit(2)))).alias("c"),
     )
-    words = ensure_parallelism(words)
     exploded = words.select("p_partkey", "a", "b", "c", F.expr(TEMPLATE_ARRAY_SQL if templates is None else _template_array(templates)))
     return exploded.select(
         (F.col("p_partkey") * 100 + F.col("k")).cast("bigint").alias("pair_id"),

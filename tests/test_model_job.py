@@ -211,3 +211,27 @@ def test_unknown_category_is_rejected(pairs, tmp_dir):
         AN.annotate_categories(pairs, ["no_such_category"], backend=B.SingleAnswerRule(), store=tmp_dir)
     with pytest.raises(KeyError):
         AN.annotate_single(pairs, "no_such_category", backend=B.SingleAnswerRule(), store=tmp_dir)
+
+
+def test_commits_read_their_own_requests_only(spark, pairs, tmp_dir):
+    spec = PR.layout_single("conjunction_instead_implication").spec()
+    requests = M.requests_of(M.keyed_rows(C.candidates(pairs, "conjunction"), spec, ["nl_sentence", "fol_expression"], "t"))
+    files, seen = [], []
+
+    def answers(part):
+        files.append(set(part.inputFiles()))
+        seen.append({r.key for r in part.collect()})
+        return part.select("key", F.lit("x").alias("answer"))
+
+    got = M.call_model(requests, spec, backend=AnswerExchange("t", answers), store=tmp_dir, commit_rows=50)
+    total = requests.select("key").distinct().count()
+    assert len(files) > 2 and sum(map(len, files)) == len(set().union(*files))
+    assert sum(map(len, seen)) == len(set().union(*seen)) == got.count() == total
+
+
+def test_inputs_are_stored_once(spark, pairs):
+    spec = PR.layout_single("invalid_xor_usage").spec()
+    keyed = M.keyed_rows(C.candidates(pairs, "xor"), spec, ["nl_sentence", F.upper("fol_expression")], "t")
+    stored = spark.read.parquet(*keyed.inputFiles()).columns
+    assert "_in0" not in stored and "_in1" in stored
+    assert keyed.where("_in0 <> nl_sentence or _in1 <> upper(fol_expression)").count() == 0 and keyed.columns[-2:] == ["_in0", "_in1"]
